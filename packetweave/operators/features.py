@@ -136,21 +136,29 @@ def feature_frame(
     keep: tuple[str, ...] = (),
     extra: Mapping[str, Column] | None = None,
     bucket_frames: int = BUCKET_FRAMES,
+    seed: DataFrame | None = None,
+    forward_only: bool = False,
 ) -> DataFrame:
     """Keys, ``frame_number``, ``packet_number``, kept columns and the features.
 
     Row-local features come first, so the one shuffle of the sequence step
     carries flags and kept columns rather than raw text.  ``extra`` adds user
-    features as expressions over the canonical packet columns.
+    features as expressions over the canonical packet columns.  The name
+    ``packet_length`` in ``keep`` stands for the parsed length, nulls included.
+    ``seed`` continues the sequence of earlier packets; ``forward_only`` turns
+    the negative deltas of late packets into 0.
     """
     extra = dict(extra or {})
+    if "packet_length" in keep:
+        packets = packets.withColumn("packet_length", _number(packets, "length"))
     carried = list(dict.fromkeys([*by, "frame_number", *keep]))
     staged = packets.withColumns({f"_extra_{n}": c for n, c in extra.items()}) if extra else packets
     build = _extended if profile.ranked else _basic
     flat, clock = build(staged, carried + [f"_extra_{n}" for n in extra])
-    ordered = with_sequence(flat, clock, by, bucket_frames=bucket_frames)
+    ordered = with_sequence(flat, clock, by, bucket_frames=bucket_frames, seed=seed)
 
-    made = {"time_delta": delta(clock)}
+    step = delta(clock)
+    made = {"time_delta": F.greatest(step, F.lit(0.0)) if forward_only else step}
     if profile.ranked:
         if facts is None:
             raise ValueError("the extended profile needs scope facts")

@@ -27,11 +27,13 @@ def with_sequence(
     by: tuple[str, ...] = (),
     order: str = "frame_number",
     bucket_frames: int = BUCKET_FRAMES,
+    seed: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``packet_number`` (1-based position) and ``_previous`` (value before).
 
     ``value`` is a double; ``_previous`` is null on the first row of a scope
-    and wherever the row before has no value.
+    and wherever the row before has no value.  ``seed`` continues an earlier
+    part of the data: keys, ``seed_rows`` and ``seed_value``, one row per scope.
     """
     place = F.coalesce(F.col(order), F.lit(0))
     staged = df.withColumn("_value", value).withColumn(
@@ -50,6 +52,13 @@ def with_sequence(
         ).alias("_before"),
         F.lag("_tail").over(buckets).alias("_carried"),
     )
+    if seed is not None:
+        edges = edges.join(seed, list(by), "left") if by else edges.crossJoin(F.broadcast(seed))
+        edges = edges.select(
+            *keys,
+            (F.col("_before") + F.coalesce("seed_rows", F.lit(0))).alias("_before"),
+            F.when(F.col("_before") == 0, F.col("seed_value")).otherwise(F.col("_carried")).alias("_carried"),
+        )
 
     inside = Window.partitionBy(*keys).orderBy(order)
     numbered = staged.select(
