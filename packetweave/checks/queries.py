@@ -103,11 +103,11 @@ def scan_ragged_csv(spark, sf_dir):
         F.concat_ws(",", *quoted[:4])
     )
     path = scratch_path(spark, "ragged")
-    header = spark.range(1).select(F.lit(",".join(S.RAW_COLUMNS)).alias("value"))
-    header.write.text(path)
-    spark_packets(spark, sf_dir).select(line.alias("value")).write.mode("append").text(path)
-    read = readers.read_packets(spark, [path], "extended", mode="tolerant")
-    return read.filter("frame_number is not null").select("frame_number", "src_ip", "dst_ip", "protocol", "length", "info")
+    # The lines are finished text: one column named like the header, no quoting.
+    lines = spark_packets(spark, sf_dir).select(line.alias(",".join(S.RAW_COLUMNS)))
+    lines.write.option("header", True).option("sep", "\u0001").option("quote", "").csv(path)
+    read = readers.read_packets(spark, path, "extended")
+    return read.select("frame_number", "src_ip", "dst_ip", "protocol", "length", "info")
 
 
 def encoding_fallback(spark, sf_dir):

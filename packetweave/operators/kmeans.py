@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetweave.operators.scaling import Terms, with_z, z_names
-from packetweave.storage import freeze
+from packetweave.storage import in_driver, is_small, materialize
 
 CENTRE_PLACES = 9
 
@@ -42,10 +42,10 @@ def nearest(scaled: DataFrame, terms: Terms, keep: list[str]) -> DataFrame:
     )
 
 
-def _cluster_means(features: DataFrame, names: tuple[str, ...], terms: Terms, limit: int | None = None) -> DataFrame:
+def _cluster_means(features: DataFrame, names: tuple[str, ...], terms: Terms, small: bool | None = None) -> DataFrame:
     """One step: ``(*by, cluster_id, centre)`` with rounded means."""
     z = z_names(len(names))
-    placed = terms.place(features, limit)
+    placed = terms.place(features, small)
     scaled = with_z(placed, names, terms, [*terms.by, *terms.columns()])
     assigned = nearest(scaled, terms, [*terms.by, *z])
     means = assigned.groupBy(*terms.by, "cluster_id").agg(*[F.expr(f"avg({c})").alias(c) for c in z])
@@ -86,21 +86,25 @@ def _lloyd_keyed(
     features: DataFrame, names: tuple[str, ...], start: DataFrame, by: tuple[str, ...], k: int,
     iterations: int, limit: int | None,
 ) -> DataFrame:
-    """All scopes step together; their centres stay in a table between steps."""
+    """All scopes step together, in one job per step.
+
+    Between steps the centres of few scopes (checked) stay with the driver,
+    those of many scopes in a table.
+    """
     rows = start
+    small = is_small(rows, limit)
     for _ in range(iterations):
-        means = _cluster_means(features, names, Terms.of(rows, by, len(names), k), limit)
+        means = _cluster_means(features, names, Terms.of(rows, by, len(names), k), small)
         found = means.groupBy(*by).agg(
             F.map_from_entries(F.collect_list(F.struct("cluster_id", "centre"))).alias("_found")
         )
         stepped = rows.join(found, list(by), "left").withColumn(
             "_next", F.expr("transform(centres, (c, i) -> coalesce(try_element_at(_found, i), c))")
         )
-        rows = freeze(
-            stepped.select(*by, "means", "scales", F.col("_next").alias("centres"),
-                           (F.col("_next") != F.col("centres")).alias("_moved")),
-            by, "centres",
+        stepped = stepped.select(
+            *by, "means", "scales", F.col("_next").alias("centres"), (F.col("_next") != F.col("centres")).alias("_moved")
         )
+        rows = in_driver(stepped) if small else materialize(stepped, "centres")
         still = rows.filter("_moved").isEmpty()
         rows = rows.drop("_moved")
         if still:

@@ -76,8 +76,8 @@ class Terms:
         """Centre columns that projections must carry along."""
         return [n for c in self.centres for n in c] if self.rows is not None else []
 
-    def place(self, facts: DataFrame, limit: int | None = None) -> DataFrame:
-        return facts if self.rows is None else attach(facts, self.rows, self.by, limit=limit)
+    def place(self, facts: DataFrame, small: bool | None = None) -> DataFrame:
+        return facts if self.rows is None else attach(facts, self.rows, self.by, small=small)
 
 
 def with_z(df: DataFrame, features: tuple[str, ...], terms: Terms, keep: list[str]) -> DataFrame:

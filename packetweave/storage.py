@@ -43,12 +43,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_driver(rows: DataFrame) -> DataFrame:
+    """Evaluate rows of a known small number and keep them as a local relation."""
+    return rows.sparkSession.createDataFrame(rows.toArrow(), schema=rows.schema)
+
+
 def freeze(rows: DataFrame, by: tuple[str, ...], label: str) -> DataFrame:
     """Evaluate scope rows now: one row in memory, or a table when keyed."""
-    if by:
-        return materialize(rows, label)
     # No keys means a global aggregate, so there is exactly one row.
-    return rows.sparkSession.createDataFrame(rows.toArrow(), schema=rows.schema)
+    return materialize(rows, label) if by else in_driver(rows)
 
 
 def is_small(rows: DataFrame, limit: int | None = None) -> bool:
@@ -63,16 +66,18 @@ def attach(
     by: tuple[str, ...],
     spread: str = "frame_number",
     limit: int | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """Put the scope row of each packet's scope next to the packet.
 
     Without keys ``rows`` is a single row, held by the driver once frozen.  With keys a checked-small table is
     broadcast.  A larger one is replicated over a salt and shuffle-joined, so
     that a capture holding much of the data spreads over ``SALTS`` tasks.
+    Loops pass ``small`` to check the size once.
     """
     if not by:
         return facts.crossJoin(F.broadcast(rows))
-    if is_small(rows, limit):
+    if is_small(rows, limit) if small is None else small:
         return facts.join(F.broadcast(rows), list(by), "left")
     salted = rows.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     spread_facts = facts.withColumn(
