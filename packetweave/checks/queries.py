@@ -42,10 +42,14 @@ def _round(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+def _key(spark: SparkSession, sf_dir: str, profile, captures: bool, options: dict) -> tuple:
+    return spark.sparkContext.applicationId, sf_dir, profile.name, captures, tuple(sorted(options.items()))
+
+
 def _fitted(spark: SparkSession, sf_dir: str, profile=EXTENDED, captures: bool = False, **options) -> Analysis:
-    key = (spark.sparkContext.applicationId, sf_dir, profile.name, captures, tuple(sorted(options.items())))
+    key = _key(spark, sf_dir, profile, captures, options)
     if key not in _fits:
-        keep = ("src_ip", "dst_ip", "protocol", "info", "packet_length") if profile is BASIC else ("protocol",)
+        keep = KEPT if profile is BASIC else ("protocol",)
         packets = spark_packets(spark, sf_dir, captures)
         _fits[key] = fit(packets, profile=profile, by=CAPTURE if captures else (), keep=keep, **options)
     return _fits[key]
@@ -293,8 +297,9 @@ def score_stats(spark, sf_dir):
 
 def flagged_packets(spark, sf_dir):
     """The flagship question: which packets stand out, and in which cluster."""
-    scored = fit(spark_packets(spark, sf_dir)).scored()
-    return scored.select("frame_number", "cluster_id", *_r6("anomaly_score"), "is_anomaly")
+    model = fit(spark_packets(spark, sf_dir), keep=("protocol",))
+    _fits[_key(spark, sf_dir, EXTENDED, False, {})] = model
+    return model.scored().select("frame_number", "cluster_id", *_r6("anomaly_score"), "is_anomaly")
 
 
 def analysis_summary(spark, sf_dir):

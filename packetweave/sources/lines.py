@@ -39,6 +39,10 @@ def latin1(value: Column) -> Column:
     return F.decode(value.cast("binary"), "ISO-8859-1")
 
 
+def without_mark(value: Column) -> Column:
+    return F.ltrim(value, F.lit(BYTE_ORDER_MARK))
+
+
 def header_text(lines: DataFrame) -> str | None:
     """First line of the first file, without a byte-order mark."""
     row = lines.filter(F.col("_split") == 0).select("value").first()
@@ -96,9 +100,10 @@ class Inspection:
     header: str
 
     def odd_files(self) -> DataFrame:
-        """Files that need another encoding or the tolerant split; usually none."""
-        return self.files.filter(~F.col("utf8") | F.col("overlong")).select(
-            "_file", (~F.col("utf8")).alias("_latin1"), F.col("overlong").alias("_ragged")
+        """Files that need another encoding or the tolerant split, or lack the header; usually none."""
+        return self.files.filter(~F.col("utf8") | F.col("overlong") | ~F.col("has_header")).select(
+            "_file", (~F.col("utf8")).alias("_latin1"), F.col("overlong").alias("_ragged"),
+            (~F.col("has_header")).alias("_foreign"),
         )
 
 
@@ -108,6 +113,6 @@ def inspect(lines: DataFrame, header: str, width: int, escapes: bool) -> Inspect
         F.count(F.when(F.col("value") != header, 1)).alias("rows"),
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
         F.bool_or(F.get(strict_fields(F.col("value"), width, escapes), F.lit(width)).isNotNull()).alias("overlong"),
-        F.bool_or(F.col("value") == header).alias("has_header"),
+        F.bool_or(without_mark(F.col("value")) == header).alias("has_header"),
     )
     return Inspection(files, header)

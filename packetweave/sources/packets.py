@@ -13,7 +13,7 @@ from packetweave import schema as S
 from packetweave.functions.numbers import to_number
 from packetweave.operators.features import with_defaults
 from packetweave.sources import lines as L
-from packetweave.storage import materialize
+from packetweave.storage import attach, materialize
 
 
 class SourceError(ValueError):
@@ -132,12 +132,15 @@ def read_packets(
         raise SourceError(f"not a packet list, missing {', '.join(report.missing)}")
     width = len(columns)
 
-    body = raw.filter(F.ltrim(F.col("value"), F.lit(L.BYTE_ORDER_MARK)) != header)
+    body = raw.filter(L.without_mark(F.col("value")) != header)
     value, ragged = F.col("value"), F.lit(mode == "tolerant")
     if mode == "auto":
         odd = materialize(L.inspect(raw, header, width, extended).odd_files(), "odd")
+        foreign = [r["_file"] for r in odd.filter("_foreign").limit(3).collect()]
+        if foreign:
+            raise SourceError(f"another header than {header!r} in {', '.join(foreign)}; read each layout on its own")
         if not odd.isEmpty():
-            body = body.join(odd, "_file", "left")
+            body = attach(body, odd.drop("_foreign"), ("_file",), spread="value")
             value = F.when(F.col("_latin1"), L.latin1(value)).otherwise(value)
             # Only the extended read has a tolerant second attempt.
             if extended:
