@@ -3,7 +3,8 @@
 Pass one: a mergeable sketch brackets the wanted rank.  Pass two: one combined
 count in which all rows under the bracket fall together and rows inside it are
 counted per distinct value.  Only the distinct values of the bracket, a fixed
-share of about ``4 / accuracy`` of a scope, are ordered.
+share of about ``4 / accuracy`` of a scope, are ordered.  Where even that share
+is large, the bracket is narrowed by sketching its own rows first.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetweave.functions.numbers import interpolate
-from packetweave.storage import attach, freeze
+from packetweave.storage import attach, freeze, in_driver
 
 ACCURACY = 100_000
+# Rows one task may have to order; more of them means another narrowing pass.
+ORDERED_ROWS = 2_000_000
 
 
 def _bracket(df: DataFrame, value: str, q: float, by: tuple[str, ...], margin: float, accuracy: int) -> DataFrame:
@@ -36,6 +39,40 @@ def _bracket(df: DataFrame, value: str, q: float, by: tuple[str, ...], margin: f
     )
 
 
+def _narrowed(data: DataFrame, value: str, ends: DataFrame, accuracy: int, limit: int) -> DataFrame:
+    """Shrink the bracket of a single scope until about ``limit`` rows lie inside.
+
+    Each round is one filtered pass; its sketch works on the ranks inside the
+    bracket.  A round whose sketch misses the wanted ranks keeps its bracket.
+    """
+    while True:
+        row = ends.first()
+        low, high = row["_low"], row["_high"]
+        if not row["n"] or row["n"] * 4.0 / accuracy <= limit or low == high:
+            return ends
+        counts = data.agg(
+            F.count(F.when(F.col(value) < low, 1)).alias("below"),
+            F.count(F.when((F.col(value) >= low) & (F.col(value) <= high), 1)).alias("inside"),
+        ).first()
+        if counts["inside"] <= limit:
+            return ends
+        first, second = row["_first"] - counts["below"], row["_second"] - counts["below"]
+        if first < 1 or second > counts["inside"]:
+            return ends
+        margin = 2.0 / accuracy
+        wanted = [max((first - 1) / counts["inside"] - margin, 0.0), min(second / counts["inside"] + margin, 1.0)]
+        inner = data.filter((F.col(value) >= low) & (F.col(value) <= high))
+        tight = inner.agg(F.percentile_approx(value, wanted, accuracy).alias("e")).first()["e"]
+        found = data.agg(
+            F.count(F.when(F.col(value) < tight[0], 1)).alias("under"),
+            F.count(F.when(F.col(value) <= tight[1], 1)).alias("upto"),
+        ).first()
+        covered = found["under"] < row["_first"] and found["upto"] >= row["_second"]
+        if not covered or (tight[0], tight[1]) == (low, high):
+            return ends
+        ends = in_driver(ends.withColumns({"_low": F.lit(tight[0]), "_high": F.lit(tight[1])}))
+
+
 def quantile_rows(
     df: DataFrame,
     value: str,
@@ -44,6 +81,7 @@ def quantile_rows(
     name: str = "quantile",
     accuracy: int = ACCURACY,
     spread: str = "frame_number",
+    limit: int = ORDERED_ROWS,
 ) -> DataFrame:
     """Frozen rows ``(*by, n, name)`` with the exact quantile; null for no values.
 
@@ -56,6 +94,8 @@ def quantile_rows(
     margin = 2.0 / accuracy
     while True:
         ends = freeze(_bracket(data, value, q, by, margin, accuracy), by, "bracket")
+        if not by:
+            ends = _narrowed(data, value, ends, accuracy, limit)
         slot = F.when(F.col(value) >= F.col("_low"), F.col(value))
         counted = (
             attach(data, ends.select(*by, "_low", "_high"), by, spread=spread)

@@ -57,6 +57,15 @@ def test_quantile_matches_linear_interpolation(spark, q):
     assert quantile_rows(only, "v", q).first()["quantile"] == pytest.approx(np.quantile(groups["hot"], q), abs=1e-12)
 
 
+@pytest.mark.parametrize("q", [0.05, 0.5, 0.9, 0.999])
+def test_large_brackets_are_narrowed(spark, q):
+    draw = random.Random(3)
+    values = [draw.gauss(0, 5) for _ in range(4000)] + [1.25] * 900
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "frame_number int, v double")
+    found = quantile_rows(df, "v", q, accuracy=40, limit=20).first()["quantile"]
+    assert found == pytest.approx(np.quantile(values, q), abs=1e-12)
+
+
 def test_seventeen_scores(spark):
     df = spark.range(17).select((F.col("id") / 16.0).alias("v"))
     cut = quantile_rows(df, "v", 0.9).first()["quantile"]
