@@ -208,6 +208,7 @@ def statements() -> dict[str, str]:
           dst_ip as "Destination", protocol as "Protocol", info as "Info" from packets""",
         "capture_catalog": f"""with packets as ({duckdb_packets(True)})
           select distinct capture_id, 'cap' as suffix, 2 as depth, true as below_limit from packets""",
+        "latest_capture": "select 'cap' as suffix, 1 as depth, count(*) > 0 as has_content from events",
         "multi_capture_counts": f"""with packets as ({duckdb_packets(True)})
           select capture_id, count(*) as packets, cast(count(distinct frame_number) as bigint) as frames
           from packets group by capture_id""",
@@ -328,6 +329,22 @@ def statements() -> dict[str, str]:
           from (select *, row_number() over (partition by cluster_id order by packet_number) as place from lab)
           where place <= 2""",
         "cluster_members": f"{bs} select packet_number, cluster_id from lab where cluster_id = 1",
+        "cluster_profile": f"""{bs}, shape as (
+            select cluster_id, avg(packet_length) as avg_length, max(packet_length) as max_length,
+              arg_min({line50}, packet_number) as first_line from lab group by cluster_id),
+          counted as (
+            select cluster_id, 'protocol' as kind, protocol as item, count(*) as n from lab group by 1, 3
+            union all select cluster_id, 'src_ip', src_ip, count(*) from lab group by 1, 3
+            union all select cluster_id, 'dst_ip', dst_ip, count(*) from lab group by 1, 3),
+          leading_items as (
+            select cluster_id, max(case when kind = 'protocol' then item end) as top_protocol,
+              max(case when kind = 'src_ip' then item end) as top_source,
+              max(case when kind = 'dst_ip' then item end) as top_destination
+            from (select *, row_number() over (partition by cluster_id, kind order by n desc, item) as place
+              from counted where item is not null) where place = 1 group by cluster_id)
+          select cluster_id, packets, round(percent, 6) as percent, round(avg_length, 6) as avg_length, max_length,
+            is_small, top_protocol, top_source, top_destination, first_line
+          from sizes join shape using (cluster_id) join leading_items using (cluster_id)""",
         "small_cluster_packets": f"""{small} select packet_number, cluster_id from lab
           where cluster_id in (select cluster_id from sizes where is_small)""",
         # anomalies
@@ -391,6 +408,9 @@ def statements() -> dict[str, str]:
         "stream_delta": f"""with packets as ({duckdb_packets(True)})
           select capture_id, frame_number, round(coalesce("timestamp" - lag("timestamp") over
             (partition by capture_id order by frame_number), 0.0), 6) as time_delta from packets""",
+        "stream_refit": f"""{pk}, n as (select count(*) as total from packets)
+          select 0 as batch_id, total // 2 as packets_so_far, total // 2 as total_packets from n
+          union all select 1, total, total from n""",
         "stream_counts": f"""with packets as ({duckdb_packets(True)})
           select capture_id, protocol, count(*) as packets from packets where protocol is not null group by 1, 2""",
         # extension and guards

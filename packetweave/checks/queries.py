@@ -387,7 +387,15 @@ def score_cutoff(spark, sf_dir):
 
 
 def cluster_profile(spark, sf_dir):
-    return clusters.cluster_profile(_bas(spark, sf_dir), "packet_length")
+    """The profile laid flat: sizes, lengths, leading values and the first line."""
+    rows = clusters.cluster_profile(_bas(spark, sf_dir), "packet_length")
+    return rows.select(
+        "cluster_id", "packets", *_r6("percent", "avg_length"), "max_length", "is_small",
+        F.get("top_protocol", F.lit(0))["item"].alias("top_protocol"),
+        F.get("top_src_ip", F.lit(0))["item"].alias("top_source"),
+        F.get("top_dst_ip", F.lit(0))["item"].alias("top_destination"),
+        F.get("samples", F.lit(0))["line"].alias("first_line"),
+    )
 
 
 # ---- components ------------------------------------------------------------
@@ -450,7 +458,7 @@ def stream_refit(spark, sf_dir):
     refitter = Refitter(scratch_path(spark, "refit"), {"iterations": 3})
     for folder in _in_parts(spark, sf_dir, captures=False, parts=2):
         refitter.start(packet_stream(spark, folder), availableNow=True).awaitTermination()
-    return refitter.fits(spark)
+    return refitter.fits(spark).select("batch_id", "packets_so_far", "total_packets")
 
 
 def stream_counts(spark, sf_dir):
