@@ -120,5 +120,34 @@ select doc_id, size, source_size, target,
 from drawn"""
 
 
+_FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP4 = f"""
+with items as (select item_id::VARCHAR as item_id, {_FOLDED} as words from benchmark),
+windows as (
+  select item_id, 13 as n, array_to_string(words[i:i + 12], ' ') as win
+  from (select item_id, words, unnest(range(1, len(words) - 11)) as i from items where len(words) >= 13)
+  union all select item_id, len(words), array_to_string(words, ' ') from items where len(words) between 1 and 12),
+docs as (select row_number() over () as k, doc_id, {_FOLDED} as words from documents),
+places as (select k, n, p, array_to_string(words[p:p + n - 1], ' ') as win
+  from (select k, words, n, unnest(range(1, len(words) - n + 2)) as p from docs, (select distinct n from windows))),
+hits as (select k, places.n, p, item_id from places join windows on places.n = windows.n and places.win = windows.win),
+marked as (select k, count(distinct w) as n_hit from (select k, unnest(range(p, p + n)) as w from hits) group by k),
+found as (select k, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from hits group by k)
+select doc_id, len(words) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(words) as contaminated
+from docs left join marked using (k) left join found using (k)"""
+
+OP9 = """
+with rows as (select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hexed from pages),
+firsts as (select payload, min(page_id) as first from rows group by payload)
+select page_id, strlen(payload) as payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+    ((('0x' || substr(hexed, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), 'string_agg', '') as payload_digest,
+  case when page_id is distinct from first and first is not null then 'revisit' else 'response' end as record_type,
+  case when page_id is distinct from first then first end as refers_to
+from rows join firsts using (payload)"""
+
+
 def statements() -> dict[str, str]:
-    return {"op2_mix": OP2, "op8_secrets": OP8, "op10_pii": OP10}
+    return {"op2_mix": OP2, "op4_decontamination": OP4, "op8_secrets": OP8, "op9_warc": OP9, "op10_pii": OP10}

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetweave.llm import mixing, pii, secrets
+from packetweave.llm import decontamination, mixing, pii, secrets, simhash, warc
 from packetweave.llm.spans import labels
+from packetweave.storage import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,19 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secrets.scan_history(_table(spark, sf_dir, "documents"))
     base = F.filter("findings", lambda s: s["kind"].isin(*secrets.BASE))
@@ -32,6 +46,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(labels(base), 256).alias("base_sha256"), labels(F.col("findings")).alias("spans"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc-archive")
+    warc.write_warc(_table(spark, sf_dir, "pages"), folder)
+    return warc.page_records(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
@@ -41,4 +61,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix": op2_mix, "op8_secrets": op8_secrets, "op10_pii": op10_pii}
+    return {"op2_mix": op2_mix, "op4_decontamination": op4_decontamination, "op5_simhash": op5_simhash, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_pii": op10_pii}
