@@ -7,6 +7,12 @@ once: with the triples of each half of the positions, any 5 shared bytes contain
 a posted triple.  In each posting, pairs are tallied for shared positional bytes,
 those with the guaranteed minimum are kept, and their bits are compared.
 
+Fingerprints are big-endian bytes; one of several words of 64 bits serves a
+looser threshold.  ``WIDE`` does so for near copies at a similarity of about 0.8 on five-word
+shingles: 256 bits, of which such texts differ in 39 on average.  No number of shared
+bytes is guaranteed there; 64 seeded triples of the 32 positions find such a pair with
+a probability of 0.7 at 0.8, 0.9 at 0.85 and 0.99 at 0.9, and the rest may be linked through other copies.
+
 Equal fingerprints meet once, as one class.  A posting of more than ``TILE`` fingerprints is
 dealt out as pairs of tiles, and each task returns a spanning forest of the
 links it finds rather than all of them.
@@ -18,7 +24,9 @@ empty table gives no rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -30,53 +38,84 @@ from pyspark.sql import functions as F
 from packetweave.llm.components import components
 from packetweave.storage import materialize
 
-# Fixed values of the fingerprint.
+# Fixed values of the narrow fingerprint.
 SHINGLE, SEED, BITS = 3, 42, 3
-POSITIONS = 8
-TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 TILE = 2048
 # Rows that a task holds at a time besides one posting, and links it holds before it merges them.
 ROWS, LINKS = 1 << 16, 1 << 20
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """A bit is set when it is set in over half the shingles' hashes; signed 64-bit."""
+@dataclass(frozen=True)
+class Design:
+    """What is hashed, how many words of 64 bits, the most differing bits, the posted positions."""
+
+    shingle: int
+    words: int
+    bits: int
+    triples: tuple[tuple[int, int, int], ...]
+
+    @property
+    def least_shared(self) -> int:
+        """Shared positional bytes that a pair must have: what is guaranteed, or a posted triple."""
+        return max(3, 8 * self.words - self.bits)
+
+
+NARROW = Design(SHINGLE, 1, BITS, (*combinations(range(4), 3), *combinations(range(4, 8), 3)))
+_draw = random.Random(SEED)
+WIDE = Design(5, 4, 42, tuple(tuple(sorted(_draw.sample(range(32), 3))) for _ in range(64)))
+
+
+def _further(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Independent hashes for the next words: multiply and shift, as splitmix64 does."""
+    if word == 0:
+        return hashes
+    mixed = hashes + np.uint64(word * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return mixed ^ (mixed >> np.uint64(31))
+
+
+def fingerprint(text: bytes, design: Design = NARROW) -> bytes:
+    """A bit is set when it is set in over half the shingles' hashes."""
     words = text.lower().split()
     if not words:
-        return 0
-    digest, size = xxhash.xxh64_intdigest, min(shingle, len(words))
+        return bytes(8 * design.words)
+    digest, size = xxhash.xxh64_intdigest, min(design.shingle, len(words))
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - size + 1)
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    majority = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(majority, bitorder="little").view("<i8")[0])
+    count = len(words) - size + 1
+    spans = zip(starts[:count].tolist(), ends[size - 1 :].tolist(), strict=True)
+    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, count)
+    made = []
+    for word in range(design.words):
+        bits = np.unpackbits(_further(hashes, word).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        made.append(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > count).tobytes())
+    return b"".join(made)
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", design: Design = NARROW) -> DataFrame:
     """(doc_id, fp) of every document."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py() or b"", shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            found = [fingerprint(t.as_py() or b"", design) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("binary"))
-    return rows.mapInArrow(of, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return rows.mapInArrow(of, f"doc_id {dict(rows.dtypes)['doc_id']}, fp binary")
 
 
-def _postings(distinct: DataFrame) -> DataFrame:
-    """(posting, tile pair, fp): one row per fingerprint and posted triple, more in tiled postings."""
-    byte = lambda i: F.shiftrightunsigned(F.col("fp"), 8 * i).bitwiseAND(F.lit(255))
-    keys = [F.lit(n << 24) + byte(a) * 65536 + byte(b) * 256 + byte(c) for n, (a, b, c) in enumerate(TRIPLES)]
+def _postings(distinct: DataFrame, design: Design) -> DataFrame:
+    """(posting, pair of tiles, fp): one row per fingerprint and posted triple, more in tiled postings."""
+    byte = lambda i: F.substring("fp", i + 1, 1)
+    keys = [F.concat(F.lit(bytes([n])), byte(a), byte(b), byte(c)) for n, (a, b, c) in enumerate(design.triples)]
     rows = distinct.select("fp", F.explode(F.array(*keys)).alias("posting"))
     full = rows.groupBy("posting").count().filter(F.col("count") > TILE)
     tiles = materialize(full.select("posting", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "full-postings")
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(own, o) * 65536 + F.greatest(own, o))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least(own, o) * 32768 + F.greatest(own, o))
     dealt = rows.join(tiles, "posting", "left")
     return dealt.select("fp", "posting", F.explode(F.when(F.col("tiles").isNotNull(), pairs).otherwise(F.array(F.lit(0)))).alias("pair"))
 
@@ -93,17 +132,16 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = shorter
 
 
-def forest(group: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what lies within ``bits`` in each run of equal ``group``."""
+def forest(group: np.ndarray, fp: np.ndarray, design: Design) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose links connect what is near in each run of equal ``group``; fp: 64-bit words by row."""
     n = len(fp)
     label, a, b, held = np.arange(n), [], [], 0
     rows, shift = np.arange(n), 1
     while len(rows := rows[rows + shift < n]):
         rows = rows[group[rows] == group[rows + shift]]
         differ = fp[rows] ^ fp[rows + shift]
-        shared = (differ.view(np.uint8).reshape(-1, POSITIONS) == 0).sum(axis=1)
-        near = shared >= POSITIONS - bits
-        near[near] = np.bitwise_count(differ[near]) <= bits
+        near = np.flatnonzero((differ.view(np.uint8) == 0).sum(axis=1) >= design.least_shared)
+        near = near[np.bitwise_count(differ[near]).sum(axis=1) <= design.bits]
         linked = rows[near]
         a.append(linked)
         b.append(linked + shift)
@@ -114,38 +152,43 @@ def forest(group: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np
     if held:
         label = _merge(label, np.concatenate(a), np.concatenate(b))
     apart = np.flatnonzero(label != np.arange(n))
-    return fp[apart], fp[label[apart]]
+    return apart, label[apart]
 
 
-def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """(u, v) links between distinct fingerprints that keep every connection within ``bits``."""
-    if not 0 <= bits <= 3:
-        raise ValueError("the posted triples guarantee up to 3 differing bits")
+def links(distinct: DataFrame, design: Design = NARROW) -> DataFrame:
+    """(u, v) links between distinct fingerprints that keep every connection the index finds."""
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: np.ndarray) -> pa.RecordBatch:
-            u, v = forest(rows[:, 1], np.ascontiguousarray(rows[:, 0]), bits)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-        held = np.empty((0, 2), np.int64)
-        for batch in batches:
-            held = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns])])
-            if len(held) >= ROWS:
-                cut = np.searchsorted(held[:, 1], held[-1, 1])
-                if cut:
-                    yield done(held[:cut])
-                    held = held[cut:]
-        yield done(held)
-
-    dealt = _postings(distinct).select("fp", (F.col("posting").cast("long") * F.lit(1 << 32) + F.col("pair")).alias("bucket"))
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(connect, "u long, v long").distinct()
+        def words(column: pa.Array, kind: type, n: int) -> np.ndarray:
+            return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, n)
 
+        def done(group: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+            ends = [pa.array([x.tobytes() for x in fp[rows]], pa.binary()) for rows in forest(group, fp, design)]
+            return pa.RecordBatch.from_arrays(ends, names=["u", "v"])
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest id reachable over links within ``bits``."""
-    prints = materialize(fingerprints(docs, key, text, shingle), "fingerprints")
+        group, fp = np.empty(0, np.int64), np.empty((0, design.words), np.uint64)
+        for batch in batches:
+            fp = np.concatenate([fp, words(batch.column(0), np.uint64, design.words)])
+            posting = words(batch.column(1), np.uint32, 1)[:, 0].astype(np.int64)
+            group = np.concatenate([group, posting << 31 | batch.column(2).to_numpy()])
+            if len(group) >= ROWS:
+                cut = np.flatnonzero(group != group[-1])
+                if len(cut):
+                    cut = cut[-1] + 1
+                    yield done(group[:cut], fp[:cut])
+                    group, fp = group[cut:], fp[cut:]
+        yield done(group, fp)
+
+    dealt = _postings(distinct, design).select("fp", "posting", "pair")
+    sorted_rows = dealt.repartition("posting", "pair").sortWithinPartitions("posting", "pair")
+    return sorted_rows.mapInArrow(connect, "u binary, v binary").distinct()
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", design: Design = NARROW) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest id reachable over near fingerprints."""
+    prints = materialize(fingerprints(docs, key, text, design), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    found = components(links(classes.select("fp"), bits))
+    found = components(links(classes.select("fp"), design))
     placed = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
