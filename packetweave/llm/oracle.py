@@ -120,6 +120,15 @@ select doc_id, size, source_size, target,
 from drawn"""
 
 
+OP3 = """
+with v as (select vec_id, row_number() over () as k, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) as c from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.k, q.vec_id as query_id, c.vec_id, list_inner_product(q.c, c.c)::BIGINT as score
+  from v q join v c on q.vec_id % 20 = 0 and q.k <> c.k and len(q.c) = len(c.c)),
+ranked as (select *, row_number() over (partition by k order by score desc, vec_id) as place from pairs)
+select query_id, place::INTEGER as rank, vec_id, score from ranked where place <= 20"""
+
 _FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 OP4 = f"""
@@ -150,4 +159,4 @@ from rows join firsts using (payload)"""
 
 
 def statements() -> dict[str, str]:
-    return {"op2_mix": OP2, "op4_decontamination": OP4, "op8_secrets": OP8, "op9_warc": OP9, "op10_pii": OP10}
+    return {"op2_mix": OP2, "op3_topk": OP3, "op4_decontamination": OP4, "op8_secrets": OP8, "op9_warc": OP9, "op10_pii": OP10}

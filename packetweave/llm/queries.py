@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetweave.llm import decontamination, mixing, pii, secrets, simhash, warc
+from packetweave.llm import decontamination, langid, mixing, pii, secrets, simhash, topk, warc
 from packetweave.llm.spans import labels
 from packetweave.storage import scratch_path
 
@@ -20,11 +20,24 @@ def _count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.document_languages(_table(spark, sf_dir, "documents"))
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.page_languages(_table(spark, sf_dir, "pages"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.scaled(_table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -61,4 +74,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mix": op2_mix, "op4_decontamination": op4_decontamination, "op5_simhash": op5_simhash, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_pii": op10_pii}
+    return {"op1_language": op1_language, "op2_mix": op2_mix, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_simhash": op5_simhash, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_pii": op10_pii,
+            "page_language": page_language}

@@ -10,8 +10,8 @@ those with the guaranteed minimum are kept, and their bits are compared.
 Fingerprints are big-endian bytes; one of several words of 64 bits serves a
 looser threshold.  ``WIDE`` does so for near copies at a similarity of about 0.8 on five-word
 shingles: 256 bits, of which such texts differ in 39 on average.  No number of shared
-bytes is guaranteed there; 64 seeded triples of the 32 positions find such a pair with
-a probability of 0.7 at 0.8, 0.9 at 0.85 and 0.99 at 0.9, and the rest may be linked through other copies.
+bytes is guaranteed there; 96 seeded triples of the 32 positions find about two thirds of such pairs at 0.8,
+nine in ten at 0.88 and nearly all from 0.9, and others are linked through further copies.
 
 Equal fingerprints meet once, as one class.  A posting of more than ``TILE`` fingerprints is
 dealt out as pairs of tiles, and each task returns a spanning forest of the
@@ -62,7 +62,7 @@ class Design:
 
 NARROW = Design(SHINGLE, 1, BITS, (*combinations(range(4), 3), *combinations(range(4, 8), 3)))
 _draw = random.Random(SEED)
-WIDE = Design(5, 4, 42, tuple(tuple(sorted(_draw.sample(range(32), 3))) for _ in range(64)))
+WIDE = Design(5, 4, 42, tuple(tuple(sorted(_draw.sample(range(32), 3))) for _ in range(96)))
 
 
 def _further(hashes: np.ndarray, word: int) -> np.ndarray:
