@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetweave.llm import decontamination, extraction, langid, mixing, pii, secrets, simhash, topk, warc
+from packetweave.llm import decontamination, extraction, langid, mixing, pii, secrets, simhash, suffix_dedup, topk, warc
 from packetweave.llm.spans import labels
 from packetweave.storage import scratch_path
 
@@ -51,6 +51,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents"))
+
+
 def op7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(_table(spark, sf_dir, "pages"))
 
@@ -78,5 +82,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language": op1_language, "op2_mix": op2_mix, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_simhash": op5_simhash, "op7_text": op7_text, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_pii": op10_pii,
+    return {"op1_language": op1_language, "op2_mix": op2_mix, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_simhash": op5_simhash, "op6_repeats": op6_repeats, "op7_text": op7_text, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_pii": op10_pii,
             "page_language": page_language}
