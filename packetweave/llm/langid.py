@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetweave.llm.rows import row_key, unused
 from packetweave.storage import materialize
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -201,8 +202,9 @@ def page_languages(pages: DataFrame) -> DataFrame:
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that are accepted; equal rows are judged once and alike."""
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    """The rows of ``documents`` that are accepted; rows equal in text, lang and source are judged alike."""
+    key = unused(docs.columns, "row_key")
+    marked = docs.withColumn(key, row_key("text", "lang", "source"))
     # Rejected rows are usually few, so that texts need not be shuffled; Spark checks their size.
-    rejected = materialize(document_languages(marked, "_row").filter("not accepted").select("_row").distinct(), "langid-rejected")
-    return marked.join(rejected, "_row", "left_anti").drop("_row")
+    rejected = materialize(document_languages(marked, key).filter("not accepted").select(key).distinct(), "langid-rejected")
+    return marked.join(rejected, key, "left_anti").select(*docs.columns)

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetweave.llm.rows import unused
 from packetweave.llm.spans import all_matches, located
 
 # The base kinds in their order, then the added kind.
@@ -94,15 +95,16 @@ def _score(text: Column, span: Column, kind: str) -> Column:
 def find_pii(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``pii``: confirmed spans by kind and start, with text and score."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumns({f"_{k}": all_matches(whole, p) for k, p in PATTERNS.items()})
+    held = {k: unused(docs.columns, f"found_{k}") for k in PATTERNS}
+    found = docs.withColumns({held[k]: all_matches(whole, p) for k, p in PATTERNS.items()})
     kinds = []
     for rank, (kind, pattern) in enumerate(PATTERNS.items()):
-        spans = F.filter(located(whole, F.col(f"_{kind}"), pattern), lambda s: VALID[kind](s["text"]))
+        spans = F.filter(located(whole, F.col(held[kind]), pattern), lambda s: VALID[kind](s["text"]))
         kinds.append(F.transform(spans, lambda s: F.struct(
             F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"),
             s["text"].alias("text"), _score(whole, s, kind).alias("score"))))
     spans = F.filter(F.array_sort(F.concat(*kinds).cast(PII)), lambda s: s["score"] >= threshold)
-    return found.withColumn("pii", spans).drop(*(f"_{k}" for k in PATTERNS))
+    return found.withColumn("pii", spans).drop(*held.values())
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -123,5 +125,6 @@ def masked(text: Column, spans: Column) -> Column:
 
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same columns, with confirmed personal data masked in the text."""
-    columns = docs.columns
-    return find_pii(docs, text).withColumn(text, masked(F.col(text), F.col("pii"))).select(*columns)
+    found = find_pii(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")))
+    mended = found.withColumn("row", F.col("row").withField(text, masked(F.col("text"), F.col("pii"))))
+    return mended.select("row.*")

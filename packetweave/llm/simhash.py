@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetweave.llm.components import components
+from packetweave.llm.rows import row_key, unused
 from packetweave.storage import materialize
 
 # Fixed values of the narrow fingerprint.
@@ -195,3 +196,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     # Written, so that a fingerprint with many copies can be split in the join below.
     named = materialize(placed.join(smallest, "component").select("fp", "component_id"), "fingerprint-components")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, design: Design = WIDE) -> DataFrame:
+    """One row of each group of near copies: that with the smallest id, nulls last.
+
+    Texts without words are copies of each other.  Of rows equal in id and text one stays.
+    """
+    key = unused(docs.columns, "row_key")
+    # Copies of a row meet before the shuffle, so that many of them don't gather in one task.
+    rows = docs.withColumn(key, row_key("doc_id", "text")).dropDuplicates([key])
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("key"))
+    named = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key")).select(order.alias("doc_id"), "text")
+    found = near_duplicates(named, "doc_id", "text", design)
+    kept = materialize(found.select(F.col("component_id.key").alias(key)).distinct(), "near-copies-kept")
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
