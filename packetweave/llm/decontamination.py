@@ -225,19 +225,31 @@ def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
+def _numbered(docs: DataFrame, text: str) -> tuple[DataFrame, str]:
+    """Columns by number, so that none is called like a result; and the name of the text."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), f"c{docs.columns.index(text)}"
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, text: str = "text", **limits) -> DataFrame:
+    """The documents below the coverage limit, as they are."""
+    plain, own = _numbered(docs, text)
+    return find_contamination(plain, items, own, **limits).filter("not contaminated").select(*plain.columns).toDF(*docs.columns)
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **limits) -> DataFrame:
     """Drops documents over the coverage limit and cuts hit spans from the others."""
-    columns = docs.columns
-    judged = find_contamination(docs, items, text, **limits).filter("not contaminated")
+    plain, own = _numbered(docs, text)
+    columns = plain.columns
+    judged = find_contamination(plain, items, own, **limits).filter("not contaminated")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch.schema.get_field_index(text)
+            place = batch.schema.get_field_index(own)
             spans = batch.column(batch.schema.get_field_index("hit_spans")).to_pylist()
             texts = [
-                without_spans(t.as_py(), [(s["start"], s["end"]) for s in own]) if own else t.as_py()
-                for t, own in zip(batch.column(place).cast(pa.binary()), spans, strict=True)]
-            arrays = [pa.array(texts, pa.binary()).cast(pa.string()) if n == text else batch.column(batch.schema.get_field_index(n)) for n in columns]
+                without_spans(t.as_py(), [(s["start"], s["end"]) for s in found]) if found else t.as_py()
+                for t, found in zip(batch.column(place).cast(pa.binary()), spans, strict=True)]
+            arrays = [pa.array(texts, pa.binary()).cast(pa.string()) if n == own else batch.column(batch.schema.get_field_index(n)) for n in columns]
             yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return judged.select(*columns, "hit_spans").mapInArrow(cut, docs.schema)
+    return judged.select(*columns, "hit_spans").mapInArrow(cut, plain.schema).toDF(*docs.columns)

@@ -33,7 +33,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub "
-    "sup time tt u var wbr".split())
+    "sup time tt u var wbr audio button canvas iframe input noscript object script select style svg template textarea video".split())
 CONTAINERS = frozenset("aside details dialog div dl fieldset figure footer form header menu nav ol section table ul".split())
 DROPPED = frozenset(
     "aside audio button canvas dialog embed footer form frame frameset head header iframe input menu nav noframes noscript object script "
@@ -143,8 +143,8 @@ class _Builder:
 
 def parse(html: str) -> Page:
     """Elements and text blocks; text within dropped elements is left out."""
-    builder, at = _Builder(), 0
-    while at < len(html):
+    builder, at, size = _Builder(), 0, len(html)
+    while at < size:
         token = TOKEN.match(html, at)
         at = token.end()
         closing, tag, attributes = token.groups()
@@ -160,7 +160,7 @@ def parse(html: str) -> Page:
         builder.start(tag, attributes)
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(html, at)
-            end = stop.start() if stop else len(html)
+            end = stop.start() if stop else size
             builder.text(html[at:end])
             at = end
     builder.close_to(1)

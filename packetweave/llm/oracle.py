@@ -57,7 +57,7 @@ _LUHN = f"""case when length({_DIGITS}) between 16 and 19 then
     case when i % 2 = 1 then reverse({_DIGITS})[i]::INT
          when reverse({_DIGITS})[i]::INT > 4 then reverse({_DIGITS})[i]::INT * 2 - 9
          else reverse({_DIGITS})[i]::INT * 2 end)) % 10 = 0 else false end"""
-_PARTS = "list_bool_and(list_transform(string_split(hit, '.'), lambda p: ltrim(p, '0') = '' or (length(ltrim(p, '0')) <= 3 and ltrim(p, '0')[1:3]::INT <= 255)))"
+_PARTS = "list_bool_and(list_transform(string_split(hit, '.'), lambda p: ltrim(p, '0') = '' or (length(ltrim(p, '0')) <= 3 and try_cast(ltrim(p, '0')[1:3] as INT) <= 255)))"
 _PACKED = "replace(hit, ' ', '')"
 _TURNED = f"({_PACKED}[5:] || {_PACKED}[1:4])"
 _MOD97 = f"""length({_PACKED}) between 15 and 34 and list_reduce(list_transform(range(1, length({_TURNED}) + 1), lambda i:
@@ -132,7 +132,7 @@ select query_id, place::INTEGER as rank, vec_id, score from ranked where place <
 _FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 OP4 = f"""
-with items as (select item_id::VARCHAR as item_id, {_FOLDED} as words from benchmark),
+with items as (select coalesce(item_id::VARCHAR, 'null') as item_id, {_FOLDED} as words from benchmark),
 windows as (
   select item_id, 13 as n, array_to_string(words[i:i + 12], ' ') as win
   from (select item_id, words, unnest(range(1, len(words) - 11)) as i from items where len(words) >= 13)
