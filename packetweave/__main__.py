@@ -10,6 +10,7 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from packetweave import schema as S
 from packetweave.operators.features import BASIC, EXTENDED
@@ -40,7 +41,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     basic.add_argument("path", nargs="?")
     basic.add_argument("--file", "-f")
     basic.add_argument("--sample", "-s", type=int, help="analyse this many packets")
-    basic.add_argument("--output", "-o", help="folder for the projection (parquet)")
+    basic.add_argument("--output", "-o", help="folder for the reports and the projection (parquet)")
     basic.add_argument("--verbose", "-v", action="store_true")
     args = parser.parse_args(argv)
     if args.command == "basic":
@@ -50,9 +51,22 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     return args
 
 
-def _shown(title: str, frame: DataFrame, rows: int = 50) -> None:
+GLANCE = 50
+
+
+def _report(title: str, frame: DataFrame, folder: str | None, order: list[str]) -> None:
+    """Writes the whole report, sorted, as a table; prints its first rows, or all where nothing is written."""
     print(f"\n=== {title} ===")
-    frame.show(rows, truncate=False)
+    places = [F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c) for c in order]
+    ordered = frame.orderBy(*places) if places else frame
+    if folder:
+        path = f"{folder}/{title.lower().replace(' ', '_')}"
+        ordered.write.mode("overwrite").parquet(path)
+        print(f"(whole report in {path})")
+        ordered.show(GLANCE, truncate=False)
+        return
+    for row in ordered.toLocalIterator():
+        print(" | ".join(f"{k}: {v}" for k, v in row.asDict().items() if v is not None))
 
 
 def _write_series(analysis: Analysis, folder: str) -> None:
@@ -76,11 +90,15 @@ def _extended(spark: SparkSession, args: argparse.Namespace) -> None:
     by = ("capture_id",) if args.per_capture else ()
     trainer = args.trainer or (LLOYD if by else ML)
     analysis = fit(packets, profile=EXTENDED, by=by, k=args.clusters, percentile=args.threshold, trainer=trainer)
-    _shown("Summary", analysis.summary())
     if args.output and args.format == "json":
         sinks.write_json(analysis, args.output)
     elif args.output:
         sinks.write_csv(analysis, args.output)
+    # Beside the results, as those replace their whole folder.
+    reports = f"{args.output.rstrip('/')}-reports" if args.output else None
+    _report("Summary", analysis.summary(), reports, list(by))
+    if by:
+        _report("Rejected", analysis.rejected, reports, list(by))
     if args.series:
         _write_series(analysis, args.series)
 
@@ -89,24 +107,27 @@ def _basic(spark: SparkSession, args: argparse.Namespace) -> None:
     packets = read_packets(spark, args.path, "basic", args.mode)
     if args.sample:
         packets = sample_exact(packets, args.sample, ["capture_id", "frame_number"])
-    _shown("Traffic summary", traffic.traffic_summary(packets))
+    _report("Traffic summary", traffic.traffic_summary(packets), args.output, ["section", "-packets", "item"])
     analysis = fit(
         packets, profile=BASIC, k=args.clusters, percentile=args.threshold, trainer=args.trainer or ML,
         keep=("src_ip", "dst_ip", "protocol", "info", "packet_length"),
     )
     if args.verbose:
-        _shown("Features", analysis.packets.select(*BASIC.features), 5)
-    _shown("Clusters", clusters.cluster_profile(analysis, "packet_length"))
+        print("\n=== Features ===")
+        analysis.packets.select(*BASIC.features).show(5, truncate=False)
+    _report("Clusters", clusters.cluster_profile(analysis, "packet_length"), args.output, ["cluster_id"])
     found = series.components(analysis)
     if args.output:
         series.projection(analysis, found).write.mode("overwrite").parquet(f"{args.output}/projection")
         series.projected_centres(analysis, found).write.mode("overwrite").parquet(f"{args.output}/centres")
-    _shown("Component loadings", series.loadings(analysis, found))
-    _shown("Small clusters", anomalies.small_clusters(analysis))
-    _shown("Anomaly report", anomalies.anomaly_report(analysis, "packet_length"))
+    _report("Component loadings", series.loadings(analysis, found), args.output, ["component", "rank"])
+    _report("Small clusters", anomalies.small_clusters(analysis), args.output, ["packets", "cluster_id"])
+    _report("Anomaly report", anomalies.anomaly_report(analysis, "packet_length"), args.output, ["section", "-packets", "item"])
+    _report("Small cluster samples", anomalies.small_cluster_samples(analysis, "packet_length"), args.output, ["cluster_id", "rank"])
     long = anomalies.long_packets(analysis.packets, length="packet_length")
-    _shown("First long packets", anomalies.first_lines(long, length="packet_length"))
-    _shown("First error packets", anomalies.first_lines(anomalies.error_packets(analysis.packets), width=100, length=None))
+    _report("First long packets", anomalies.first_lines(long, length="packet_length"), args.output, ["rank"])
+    errors = anomalies.first_lines(anomalies.error_packets(analysis.packets), width=100, length=None)
+    _report("First error packets", errors, args.output, ["rank"])
 
 
 def main(argv: list[str] | None = None) -> int:

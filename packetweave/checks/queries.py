@@ -23,7 +23,7 @@ from packetweave.operators.ranking import most_frequent_first, top_n, value_coun
 from packetweave.operators.sampling import sample_exact
 from packetweave.operators.scaling import z_names
 from packetweave.plans import anomalies, clusters, series, traffic
-from packetweave.plans.analysis import ML, Analysis, fit
+from packetweave.plans.analysis import ML, Analysis, AnalysisError, Settings, check_counts, fit
 from packetweave.sources import catalog, sinks
 from packetweave.sources import packets as readers
 from packetweave.storage import scratch_path
@@ -174,18 +174,28 @@ def _capture_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 def capture_catalog(spark, sf_dir):
-    found = catalog.capture_catalog(spark, _capture_files(spark, sf_dir), below_bytes=None)
+    found = catalog.capture_catalog(spark, _capture_files(spark, sf_dir))
     return found.select(
-        F.regexp_extract("path", r"capture_id=([^/]+)/", 1).alias("capture_id"), "suffix", "depth",
-        (F.col("length") < S.CAPTURE_LIMIT_BYTES).alias("below_limit"),
-    ).distinct()
+        F.regexp_extract("path", r"capture_id=([^/]+)/", 1).alias("capture_id"), "suffix", "depth", "below_limit").distinct()
+
+
+def capture_facts(spark, sf_dir):
+    """File facts of each capture next to its packet count."""
+    folder = _capture_files(spark, sf_dir)
+    files = catalog.capture_catalog(spark, folder).withColumn("file_name", F.regexp_extract("path", r"capture_id=([^/]+)/", 1))
+    files = files.groupBy("file_name").agg(F.sum("length").alias("length"))
+    facts = catalog.capture_facts(files, spark_packets(spark, sf_dir, captures=True))
+    return facts.select(F.col("file_name").alias("capture_id"), "packets", (F.col("length") > 0).alias("has_content"))
 
 
 def latest_capture(spark, sf_dir):
-    path = scratch_path(spark, "flat")
-    _raw_named(spark_packets(spark, sf_dir)).write.option("header", True).option("extension", "cap").csv(path)
-    newest = catalog.capture_catalog(spark, path, max_depth=1, below_bytes=None, suffixes=["cap"]).limit(1)
-    return newest.select("suffix", "depth", (F.col("length") > 0).alias("has_content"))
+    """Two files, written one after the other: the packets, then how many they are."""
+    path, packets = scratch_path(spark, "flat"), _raw_named(spark_packets(spark, sf_dir))
+    packets.coalesce(1).write.option("header", True).option("extension", "pcap").csv(path)
+    counted = packets.agg(F.count(F.lit(1)).cast("string").alias("n"))
+    counted.coalesce(1).write.mode("append").option("extension", "pcapng").csv(path)
+    newest = catalog.latest_capture(spark, path)
+    return newest.select("suffix", "depth", (F.col("length") < 20).alias("is_count"))
 
 
 def multi_capture_counts(spark, sf_dir):
@@ -207,8 +217,7 @@ def json_results(spark, sf_dir):
 def csv_results(spark, sf_dir):
     path = scratch_path(spark, "results")
     sinks.write_csv(_ext(spark, sf_dir), path)
-    schema = "packet_number int, cluster_id int, anomaly_score double, is_anomaly boolean"
-    return _round(spark.read.option("header", True).schema(schema).csv(path), "anomaly_score")
+    return _round(spark.read.option("header", True).schema(sinks.RESULTS).csv(path), "anomaly_score")
 
 
 # ---- features --------------------------------------------------------------
@@ -363,6 +372,51 @@ def anomaly_reasons(spark, sf_dir):
     return _round(found, "anomaly_score").drop("score_band")
 
 
+def anomaly_reasons_by_capture(spark, sf_dir):
+    """The first capture has 27 protocols, the others one each per packet, so that none is common there."""
+    packets = spark_packets(spark, sf_dir, captures=True)
+    each = F.when(F.col("capture_id") != "cap0", F.concat(F.lit("E"), F.col("frame_number").cast("string"))).otherwise(F.col("protocol"))
+    model = fit(packets.withColumn("protocol", each), by=CAPTURE, keep=("protocol",))
+    found = anomalies.anomalous(model)
+    return found.select("capture_id", "packet_number", "rare_protocol", "error_flag").filter("rare_protocol or error_flag")
+
+
+def time_delta_many_captures(spark, sf_dir):
+    """One unkeyed fit over captures whose numbers all start at 1."""
+    packets = spark_packets(spark, sf_dir, captures=True)
+    again = F.expr("(frame_number - 1) div 3 + 1")
+    found = feature_frame(packets.withColumn("frame_number", again), BASIC, keep=("capture_id", "timestamp"))
+    return _round(found.select("capture_id", "frame_number", "packet_number", "time_delta"), "time_delta")
+
+
+def fit_with_short_captures(spark, sf_dir):
+    """Captures of one or two packets are rejected; the rest is fitted."""
+    packets = spark_packets(spark, sf_dir, captures=True)
+    short = F.when(F.col("frame_number") <= 4, F.concat(F.lit("short"), (F.col("frame_number") % 3).cast("string"))).otherwise(F.col("capture_id"))
+    model = fit(packets.withColumn("capture_id", short), by=CAPTURE)
+    fitted = model.cluster_sizes().groupBy("capture_id").agg(F.sum("packets").alias("packets"), F.lit(True).alias("fitted"))
+    return fitted.unionByName(model.rejected.select("capture_id", "packets", F.lit(False).alias("fitted")))
+
+
+def stream_new_capture(spark, sf_dir):
+    """The keyed model knows one capture of three; the others are scored by the pooled model."""
+    packets = spark_packets(spark, sf_dir, captures=True)
+    known = fit(packets.filter("capture_id = 'cap0'"), by=CAPTURE)
+    scorer = LiveScorer(known, scratch_path(spark, "live"), fallback=_ext(spark, sf_dir))
+    for folder in _in_parts(spark, sf_dir, captures=True, parts=2):
+        scorer.start(packet_stream(spark, folder, captures=True), availableNow=True).awaitTermination()
+    scored = scorer.results(spark)
+    return scored.groupBy("capture_id", "model").agg(
+        F.count("anomaly_score").alias("scored"), F.count("is_anomaly").alias("flagged"), F.count("cluster_id").alias("labelled"))
+
+
+def score_cutoff_by_capture(spark, sf_dir):
+    path = scratch_path(spark, "json")
+    sinks.write_json(_fitted(spark, sf_dir, captures=True), path)
+    kept = sinks.score_cutoff(sinks.read_results(spark, path, CAPTURE), 0.8)
+    return _round(kept, "anomaly_score").drop("is_anomaly")
+
+
 def long_packets(spark, sf_dir):
     packets = spark_packets(spark, sf_dir).withColumn("length", F.col("length").cast("double"))
     found = anomalies.long_packets(packets)
@@ -455,7 +509,7 @@ def stream_delta(spark, sf_dir):
 
 
 def stream_refit(spark, sf_dir):
-    refitter = Refitter(scratch_path(spark, "refit"), {"iterations": 3})
+    refitter = Refitter(scratch_path(spark, "refit"))
     for folder in _in_parts(spark, sf_dir, captures=False, parts=2):
         refitter.start(packet_stream(spark, folder), availableNow=True).awaitTermination()
     return refitter.fits(spark).select("batch_id", "packets_so_far", "total_packets")
@@ -478,7 +532,7 @@ def stream_counts(spark, sf_dir):
 
 def custom_feature(spark, sf_dir):
     model = fit(
-        spark_packets(spark, sf_dir), iterations=1,
+        spark_packets(spark, sf_dir),
         extra={"info_chars": F.length(F.coalesce("info", F.lit("")))},
     )
     place = model.feature_names.index("info_chars") + 1
@@ -487,11 +541,19 @@ def custom_feature(spark, sf_dir):
 
 
 def guards(spark, sf_dir):
-    counts = catalog.capture_counts(spark_packets(spark, sf_dir, captures=True))
-    return counts.select(
-        "capture_id", "packets", (F.col("packets") >= S.DEFAULT_CLUSTERS).alias("enough_for_k"),
-        (F.col("packets") >= S.STREAM_MINIMUM).alias("enough_for_analysis"),
-    )
+    """What the guards of the analysis and of the readers say about each capture."""
+    packets = spark_packets(spark, sf_dir, captures=True)
+    facts = scope_facts(packets, CAPTURE)
+    most = facts.agg(F.max("total")).first()[0]
+    short = check_counts(facts, Settings(by=CAPTURE, minimum_packets=most))
+    try:
+        check_counts(facts, Settings(by=CAPTURE, minimum_packets=most + 1))
+        refused = False
+    except AnalysisError:
+        refused = True
+    readers.require_packets(packets, 1)
+    marked = facts.select("capture_id", F.col("total").alias("packets")).join(short.select("capture_id", F.lit(True).alias("short")), "capture_id", "left")
+    return marked.select("capture_id", "packets", F.coalesce("short", F.lit(False)).alias("is_short"), F.lit(refused).alias("refused_above"))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -565,12 +627,19 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cluster_members": lambda s, d: anomalies.cluster_members(_bas(s, d), 1).select("packet_number", "cluster_id"),
         "cluster_profile": cluster_profile,
         "small_cluster_packets": lambda s, d: anomalies.in_small_cluster(_bas8(s, d)).select("packet_number", "cluster_id"),
+        "small_cluster_samples": lambda s, d: anomalies.small_cluster_samples(_bas8(s, d), "packet_length"),
         "long_packets": long_packets,
         "long_packet_lines": long_packet_lines,
         "error_packets": lambda s, d: anomalies.error_packets(_bas_features(s, d, ("protocol", "info"))).select(
             "packet_number", "protocol", "info"),
         "error_packet_lines": error_packet_lines,
         "anomaly_reasons": anomaly_reasons,
+        "anomaly_reasons_by_capture": anomaly_reasons_by_capture,
+        "time_delta_many_captures": time_delta_many_captures,
+        "fit_with_short_captures": fit_with_short_captures,
+        "stream_new_capture": stream_new_capture,
+        "score_cutoff_by_capture": score_cutoff_by_capture,
+        "capture_facts": capture_facts,
         "score_cutoff": score_cutoff,
         "anomaly_report": lambda s, d: _round(anomalies.anomaly_report(_bas8(s, d), "packet_length"), "avg_length"),
         "feature_importance": lambda s, d: _round(series.feature_importance(_ext(s, d)), "importance"),

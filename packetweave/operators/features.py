@@ -146,16 +146,19 @@ def feature_frame(
     features as expressions over the canonical packet columns.  The name
     ``packet_length`` in ``keep`` stands for the parsed length, nulls included.
     ``seed`` continues the sequence of earlier packets; ``forward_only`` turns
-    the negative deltas of late packets into 0.
+    the negative deltas of late packets into 0.  Captures that are no keys are
+    still kept apart: packets are ordered by capture and frame number, and the first of each
+    capture has delta 0.
     """
     extra = dict(extra or {})
     if "packet_length" in keep:
         packets = packets.withColumn("packet_length", _number(packets, "length"))
-    carried = list(dict.fromkeys([*by, "frame_number", *keep]))
+    within = (S.CAPTURE,) if S.CAPTURE in packets.columns and S.CAPTURE not in by and seed is None else ()
+    carried = list(dict.fromkeys([*by, *within, "frame_number", *keep]))
     staged = packets.withColumns({f"_extra_{n}": c for n, c in extra.items()}) if extra else packets
     build = _extended if profile.ranked else _basic
     flat, clock = build(staged, carried + [f"_extra_{n}" for n in extra])
-    ordered = with_sequence(flat, clock, by, bucket_frames=bucket_frames, seed=seed)
+    ordered = with_sequence(flat, clock, by, bucket_frames=bucket_frames, seed=seed, within=within)
 
     step = delta(clock)
     made = {"time_delta": F.greatest(step, F.lit(0.0)) if forward_only else step}
@@ -170,4 +173,4 @@ def feature_frame(
         made["Length"] = F.coalesce("_length", F.lit(0.0))
     columns = [made.get(n, F.col(n)).alias(n) for n in profile.features]
     columns += [F.coalesce(F.col(f"_extra_{n}").cast("double"), F.lit(0.0)).alias(n) for n in extra]
-    return ordered.select(*carried, "packet_number", *columns)
+    return ordered.select(*[c for c in carried if c not in within or c in keep], "packet_number", *columns)

@@ -28,29 +28,34 @@ def with_sequence(
     order: str = "frame_number",
     bucket_frames: int = BUCKET_FRAMES,
     seed: DataFrame | None = None,
+    within: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add ``packet_number`` (1-based position) and ``_previous`` (value before).
 
     ``value`` is a double; ``_previous`` is null on the first row of a scope
     and wherever the row before has no value.  ``seed`` continues an earlier
     part of the data: keys, ``seed_rows`` and ``seed_value``, one row per scope.
+    ``within`` names the captures of a scope that holds several: positions run
+    through them in order, values don't carry from one to the next, and each
+    capture has buckets of its own.  Equal places are ordered by value.
     """
     place = F.coalesce(F.col(order), F.lit(0))
     staged = df.withColumn("_value", value).withColumn(
         "_bucket", F.expr(f"coalesce({order}, 0) div {bucket_frames}")
     )
-    keys = [*by, "_bucket"]
+    staged = staged.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in within})
+    keys = [*by, *within, "_bucket"]
     edges = staged.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.max_by("_value", place).alias("_tail")
+        F.count(F.lit(1)).alias("_rows"), F.max(F.struct(place.alias("at"), "_value"))["_value"].alias("_tail")
     )
-    # One row per bucket from here on: 1/65536 of the packets.
-    buckets = Window.partitionBy(*by).orderBy("_bucket")
+    # One row per bucket from here on: 1/65536 of the packets, or one per small capture.
+    buckets = Window.partitionBy(*by).orderBy(*within, "_bucket")
     edges = edges.select(
         *keys,
         F.coalesce(
             F.sum("_rows").over(buckets.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("_before"),
-        F.lag("_tail").over(buckets).alias("_carried"),
+        F.lag("_tail").over(Window.partitionBy(*by, *within).orderBy("_bucket")).alias("_carried"),
     )
     if seed is not None:
         edges = edges.join(seed, list(by), "left") if by else edges.crossJoin(F.broadcast(seed))
@@ -60,7 +65,7 @@ def with_sequence(
             F.when(F.col("_before") == 0, F.col("seed_value")).otherwise(F.col("_carried")).alias("_carried"),
         )
 
-    inside = Window.partitionBy(*keys).orderBy(order)
+    inside = Window.partitionBy(*keys).orderBy(order, "_value")
     numbered = staged.select(
         "*",
         F.row_number().over(inside).alias("_position"),

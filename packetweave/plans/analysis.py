@@ -8,7 +8,7 @@ scores and flags are columns of the packet and no positional join exists.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,15 +53,18 @@ class Settings:
             raise AnalysisError("the ML trainer fits one model; use the Lloyd trainer per capture")
 
 
-def check_counts(facts: DataFrame, settings: Settings) -> None:
-    """Refuse empty input and scopes with fewer packets than needed."""
-    needed = max(settings.k, settings.minimum_packets or 0)
-    short = facts.filter(F.coalesce("total", F.lit(0)) < needed).limit(1).collect()
-    if short or facts.isEmpty():
-        row = short[0].asDict() if short else {}
-        found = row.get("total") or 0
-        where = " in " + ", ".join(str(row[c]) for c in settings.by) if short and settings.by else ""
-        raise AnalysisError(f"not enough packets ({found}){where}: {needed} needed")
+def needed_packets(settings: Settings) -> int:
+    return max(settings.k, settings.minimum_packets or 0)
+
+
+def check_counts(facts: DataFrame, settings: Settings) -> DataFrame:
+    """The scopes with too few packets; refuses input in which no scope has enough."""
+    needed = needed_packets(settings)
+    short = facts.filter(F.coalesce("total", F.lit(0)) < needed)
+    if facts.filter(F.col("total") >= needed).isEmpty():
+        most = facts.agg(F.max("total")).first()[0] or 0
+        raise AnalysisError(f"not enough packets ({most}): {needed} needed")
+    return short.select(*settings.by, F.col("total").alias("packets"), F.lit(needed).alias("needed"))
 
 
 @dataclass(frozen=True)
@@ -70,13 +73,15 @@ class Analysis:
 
     ``model`` has one row per scope.  ``packets`` is the stored table of the
     packets it was fitted on: keys, kept columns, features, ``cluster_id`` and
-    ``distance``.
+    ``distance``.  ``rejected`` has the scopes with too few packets (keys,
+    packets, needed); they have no model and the others are not affected.
     """
 
     settings: Settings
     feature_names: tuple[str, ...]
     model: DataFrame
     packets: DataFrame | None = None
+    rejected: DataFrame | None = None
 
     @property
     def by(self) -> tuple[str, ...]:
@@ -293,7 +298,10 @@ def fit(
     settings.check()
     by = settings.by
     facts = scope_facts(packets, by)
-    check_counts(facts, settings)
+    rejected = check_counts(facts, settings)
+    if by and not rejected.isEmpty():
+        facts = freeze(facts.filter(F.col("total") >= needed_packets(settings)), by, "scope")
+        packets = attach(packets, facts.select(*by, F.lit(True).alias("_fits")), by).filter("_fits").drop("_fits")
     names = settings.profile.features + tuple(extra or {})
     width = BUCKET_FRAMES if by else bucket_for(facts.first()["total"], packets.sparkSession)
     stored = materialize(
@@ -310,8 +318,4 @@ def fit(
         model = facts.join(trained, list(by)).join(scores, list(by))
     else:
         model = facts.crossJoin(F.broadcast(trained)).crossJoin(F.broadcast(scores))
-    return Analysis(settings, names, freeze(model, by, "model"), labelled)
-
-
-def with_settings(analysis: Analysis, **changes) -> Analysis:
-    return replace(analysis, settings=replace(analysis.settings, **changes))
+    return Analysis(settings, names, freeze(model, by, "model"), labelled, rejected)

@@ -67,12 +67,17 @@ def first_lines(
     return first.select(*by, "rank", "packet_number", line.alias("line"))
 
 
+def small_cluster_samples(analysis: Analysis, length: str = "length", n: int = 3) -> DataFrame:
+    """Text lines of the first ``n`` packets of each small cluster; needs the text kept."""
+    return first_lines(in_small_cluster(analysis), (*analysis.by, "cluster_id"), n, length=length)
+
+
 def reasons(analysis: Analysis, protocol: Column | None = None) -> DataFrame:
     """Every packet with its anomaly reasons; needs ``protocol`` and ``has_error`` kept.
 
     Per-scope facts (small cluster ids, common protocols, score range) are
     bounded arrays in one scope row.  A protocol is rare when it is not among
-    the at most 100 that reach 1 % of the scope.
+    the at most 100 that reach 1 % of the scope; where none does, all are.
     """
     by = analysis.by
     name = F.coalesce(protocol if protocol is not None else F.col("protocol"), F.lit("unknown"))
@@ -86,7 +91,7 @@ def reasons(analysis: Analysis, protocol: Column | None = None) -> DataFrame:
         *by, "packet_number", "cluster_id", score.alias("anomaly_score"),
         (F.col("distance") > F.col("cut")).alias("high_score"),
         F.array_contains("small_ids", F.col("cluster_id")).alias("small_cluster"),
-        (~F.array_contains("common", name)).alias("rare_protocol"),
+        (~F.array_contains(F.coalesce("common", F.array().cast("array<string>")), name)).alias("rare_protocol"),
         (F.col("has_error") == 1).alias("error_flag"),
     )
     marks = ["high_score", "small_cluster", "rare_protocol", "error_flag"]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# The column that names the capture of a packet.
+CAPTURE = "capture_id"
+
 # Packet-list header and canonical names.
 CANONICAL = {
     "No.": "frame_number",

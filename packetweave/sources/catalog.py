@@ -11,12 +11,13 @@ from packetweave import schema as S
 def capture_catalog(
     spark: SparkSession,
     folder: str,
-    max_depth: int | None = 2,
-    below_bytes: int | None = S.CAPTURE_LIMIT_BYTES,
+    max_depth: int | None = None,
+    below_bytes: int | None = None,
     suffixes: list[str] | None = None,
 ) -> DataFrame:
-    """Capture files under ``folder``, newest first.
+    """Capture files under ``folder``, newest first, with ``below_limit`` for the usual size limit.
 
+    All files are listed unless ``max_depth`` or ``below_bytes`` filter them.
     Only file metadata is read: the content column is pruned and the size
     filter is pushed into the listing.
     """
@@ -34,6 +35,7 @@ def capture_catalog(
     inner = F.substring_index("path", root + "/", -1)
     depth = F.size(F.split(inner, "/"))
     listed = found.withColumn("depth", depth).withColumn("file_name", F.substring_index("path", "/", -1))
+    listed = listed.withColumn("below_limit", F.col("length") < S.CAPTURE_LIMIT_BYTES)
     listed = listed.withColumn("suffix", F.lower(F.substring_index("file_name", ".", -1)))
     if max_depth is not None:
         listed = listed.filter(F.col("depth") <= max_depth)

@@ -13,10 +13,10 @@ QUOTE, COMMA, SLASH, SEPARATOR = "\ue000", "\ue001", "\ue002", "\ue003"
 BYTE_ORDER_MARK = "\ufeff"
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], capture_by: str = "file_name") -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], capture_by: str = "file_path") -> DataFrame:
     """``value``, ``capture_id`` and the file split of every non-blank line.
 
-    A capture is a file (``file_name`` or ``file_path``) or, for lists written
+    A capture is a file (``file_path``, or ``file_name`` where names are unique) or, for lists written
     as part files, a ``folder`` whose files follow each other by name.
     """
     if capture_by == "folder":
@@ -94,16 +94,17 @@ def tolerant_fields(value: Column, width: int) -> Column:
 
 @dataclass(frozen=True)
 class Inspection:
-    """Per file: rows, valid UTF-8, rows with too many fields, header seen."""
+    """Per file: rows, valid UTF-8, rows with too many fields, lines equal to the header."""
 
     files: DataFrame
     header: str
 
     def odd_files(self) -> DataFrame:
-        """Files that need another encoding or the tolerant split, or lack the header; usually none."""
-        return self.files.filter(~F.col("utf8") | F.col("overlong") | ~F.col("has_header")).select(
-            "_file", (~F.col("utf8")).alias("_latin1"), F.col("overlong").alias("_ragged"),
-            (~F.col("has_header")).alias("_foreign"),
+        """Files that need another encoding or the tolerant split, or lack or repeat the header; usually none."""
+        return self.files.filter(~F.col("utf8") | (F.col("overlong") > 0) | (F.col("headers") != 1)).select(
+            "_file", "capture_id", (~F.col("utf8")).alias("_latin1"), (F.col("overlong") > 0).alias("_ragged"),
+            F.col("overlong").alias("_overlong"), (F.col("headers") == 0).alias("_foreign"),
+            (F.col("headers") - 1).alias("_repeated"),
         )
 
 
@@ -112,7 +113,7 @@ def inspect(lines: DataFrame, header: str, width: int, escapes: bool) -> Inspect
     files = lines.groupBy("_file", "capture_id").agg(
         F.count(F.when(F.col("value") != header, 1)).alias("rows"),
         F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.bool_or(F.get(strict_fields(F.col("value"), width, escapes), F.lit(width)).isNotNull()).alias("overlong"),
-        F.bool_or(without_mark(F.col("value")) == header).alias("has_header"),
+        F.count_if(F.get(strict_fields(F.col("value"), width, escapes), F.lit(width)).isNotNull()).alias("overlong"),
+        F.count_if(without_mark(F.col("value")) == header).alias("headers"),
     )
     return Inspection(files, header)

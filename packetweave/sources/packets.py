@@ -34,14 +34,6 @@ def check_columns(columns: list[str]) -> SchemaReport:
     return SchemaReport(tuple(c for c in S.REQUIRED_COLUMNS if c not in columns))
 
 
-def null_tokens_removed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Texts that stand for a missing value become null."""
-    def cleaned(c):
-        return F.when(~F.col(c).isin(S.NULL_TOKENS), F.col(c)).alias(c)
-
-    return df.select(*[cleaned(c) if c in columns else F.col(c) for c in df.columns])
-
-
 def renamed(df: DataFrame) -> DataFrame:
     """Canonical names for the raw columns that are present."""
     return df.withColumnsRenamed({f"{k}": v for k, v in S.CANONICAL.items() if k in df.columns})
@@ -100,14 +92,18 @@ def read_packets(
     paths: str | list[str],
     profile: str = "extended",
     mode: str = "auto",
-    capture_by: str = "file_name",
+    capture_by: str = "file_path",
 ) -> DataFrame:
     """Canonical packets of one or many packet lists that share one header.
 
+    A capture is a file, named by its path, as files in different folders may
+    have one name.  Only the first line of a file is taken for its header.
+
     ``extended`` accepts doubled quotes and backslash escapes and fills missing
     values; ``basic`` accepts doubled quotes only and fills nothing.  ``mode``:
 
-    - ``strict``: UTF-8, at most as many fields as the header has;
+    - ``strict``: UTF-8, at most as many fields as the header has; a file with
+      a longer row, or another header, is refused;
     - ``tolerant``: split at commas outside quotes, pad short and cut long rows,
       keep blanks as empty text;
     - ``auto``: one inspection pass finds the files that are not UTF-8 (read as
@@ -134,17 +130,25 @@ def read_packets(
 
     body = raw.filter(L.without_mark(F.col("value")) != header)
     value, ragged = F.col("value"), F.lit(mode == "tolerant")
-    if mode == "auto":
-        odd = materialize(L.inspect(raw, header, width, extended).odd_files(), "odd")
-        foreign = [r["_file"] for r in odd.filter("_foreign").limit(3).collect()]
-        if foreign:
-            raise SourceError(f"another header than {header!r} in {', '.join(foreign)}; read each layout on its own")
-        if not odd.isEmpty():
-            body = attach(body, odd.drop("_foreign"), ("_file",), spread="value")
-            value = F.when(F.col("_latin1"), L.latin1(value)).otherwise(value)
-            # Only the extended read has a tolerant second attempt.
-            if extended:
-                ragged = F.coalesce(F.col("_ragged"), F.lit(False))
+    odd = materialize(L.inspect(raw, header, width, extended).odd_files(), "odd")
+    foreign = [r["_file"] for r in odd.filter("_foreign").limit(3).collect()]
+    if foreign:
+        raise SourceError(f"another header than {header!r} in {', '.join(foreign)}; read each layout on its own")
+    # Only the extended read has a tolerant second attempt.
+    if mode == "strict" or mode == "auto" and not extended:
+        longer = odd.filter("_ragged").select("_file", "_overlong").limit(3).collect()
+        if longer:
+            where = ", ".join(f"{r['_overlong']} in {r['_file']}" for r in longer)
+            raise SourceError(f"rows with more than {width} fields: {where}")
+    # Further lines equal to the header are rows like any other; they are equal, so any of them may be the first.
+    repeated = odd.filter("_repeated > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_repeated")))
+    if not repeated.isEmpty():
+        body = body.unionByName(repeated.select(F.lit(header).alias("value"), "capture_id", "_file", F.lit(0).cast("long").alias("_split")))
+    if mode == "auto" and not odd.isEmpty():
+        body = attach(body, odd.select("_file", "_latin1", "_ragged"), ("_file",), spread="value")
+        value = F.when(F.col("_latin1"), L.latin1(value)).otherwise(value)
+        if extended:
+            ragged = F.coalesce(F.col("_ragged"), F.lit(False))
     strict = F.slice(L.strict_fields(value, width, extended), 1, width)
     tokens = F.array(*[F.lit(t) for t in S.NULL_TOKENS])
     strict = F.transform(strict, lambda f: F.when(~F.array_contains(tokens, f), f))

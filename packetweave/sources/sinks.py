@@ -9,11 +9,7 @@ from packetweave.plans.analysis import Analysis
 
 
 def packet_results(analysis: Analysis) -> DataFrame:
-    return analysis.scored().select(
-        *analysis.by,
-        F.col("packet_number").cast("int").alias("packet_number") if not analysis.by else F.col("packet_number"),
-        "cluster_id", "anomaly_score", "is_anomaly",
-    )
+    return analysis.scored().select(*analysis.by, "packet_number", "cluster_id", "anomaly_score", "is_anomaly")
 
 
 def write_json(analysis: Analysis, folder: str) -> None:
@@ -37,11 +33,13 @@ def write_packets_csv(packets: DataFrame, folder: str, quote_all: bool = True, e
     (writer.partitionBy(*by) if by else writer).csv(folder)
 
 
-def read_results(spark: SparkSession, folder: str) -> DataFrame:
-    """Exported packet rows, with a fixed schema."""
-    return spark.read.schema(
-        "packet_number int, cluster_id int, anomaly_score double, is_anomaly boolean"
-    ).json(f"{folder}/packet_results")
+RESULTS = "packet_number bigint, cluster_id int, anomaly_score double, is_anomaly boolean"
+
+
+def read_results(spark: SparkSession, folder: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Exported packet rows, with a fixed schema and the keys of a keyed export."""
+    keys = "".join(f"`{c}` string, " for c in by)
+    return spark.read.schema(keys + RESULTS).json(f"{folder}/packet_results")
 
 
 def score_cutoff(results: DataFrame, cutoff: float = 0.8) -> DataFrame:

@@ -72,11 +72,18 @@ class _State:
 
 @dataclass
 class LiveScorer:
-    """Score a packet stream with a frozen analysis into ``folder/scored``."""
+    """Score a packet stream with a frozen analysis into ``folder/scored``.
+
+    ``fallback`` is an analysis without keys; with it, packets of captures that
+    the keyed ``analysis`` doesn't know are scored by the pooled model.  The
+    column ``model`` tells which was used: ``own``, ``pooled``, or null where
+    neither knows the capture.
+    """
 
     analysis: A.Analysis
     folder: str
     keep: tuple[str, ...] = ()
+    fallback: A.Analysis | None = None
     _state: _State = field(init=False)
 
     def __post_init__(self) -> None:
@@ -89,14 +96,27 @@ class LiveScorer:
         spark = batch.sparkSession
         earlier = self._state.before(spark, batch_id)
         seed = earlier.drop("seed_frame") if earlier is not None else None
-        facts = model.model.select(*by, "ranks", "t_min", "t_max") if profile.ranked else None
-        features = feature_frame(
-            batch, profile, facts, by, ("timestamp", *self.keep), seed=seed, forward_only=True
-        )
+        def features_by(own: A.Analysis) -> DataFrame:
+            """Features over the stream's scopes, ranked by the scope rows of ``own``."""
+            facts = own.model.select(*own.by, "ranks", "t_min", "t_max") if profile.ranked else None
+            if facts is not None and not own.by and by:
+                facts = batch.select(*by).distinct().crossJoin(F.broadcast(facts))
+            return feature_frame(
+                batch, profile, facts, by, ("timestamp", *self.keep), seed=seed, forward_only=True
+            )
+
         value = as_double(F.col("timestamp"), dict(batch.dtypes)["timestamp"])
         clock = F.coalesce(value, F.lit(0.0)) if profile.ranked else value
         self._state.advance(batch, clock, earlier, batch_id)
-        return model.scored(features, keep=("time_delta", *self.keep))
+        keep = ("time_delta", *self.keep)
+        scored = model.scored(features_by(model), keep=keep)
+        scored = scored.withColumn("model", F.when(F.col("cluster_id").isNotNull() & F.col("anomaly_score").isNotNull(), F.lit("own")))
+        if self.fallback is None or not by:
+            return scored
+        # One row per scope; Spark checks its size.
+        known = model.model.select(*by)
+        pooled = self.fallback.scored(features_by(self.fallback), keep=(*by, *keep)).join(known, list(by), "left_anti")
+        return scored.join(known, list(by), "left_semi").unionByName(pooled.withColumn("model", F.lit("pooled")))
 
     def _write(self, batch: DataFrame, batch_id: int) -> None:
         scored = self.score(batch, batch_id)

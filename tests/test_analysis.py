@@ -182,3 +182,19 @@ def test_results_do_not_depend_on_partitioning(spark, small, single):
     left = single.scored().select("packet_number", "cluster_id", F.round("anomaly_score", 7)).collect()
     right = shuffled.scored().select("packet_number", "cluster_id", F.round("anomaly_score", 7)).collect()
     assert sorted(map(tuple, left)) == sorted(map(tuple, right))
+
+
+def test_short_captures_are_rejected_and_the_rest_is_fitted(spark, small):
+    packets = spark_packets(spark, small, captures=True)
+    short = F.when(F.col("frame_number") == 7, F.lit("tiny")).otherwise(F.col("capture_id"))
+    model = fit(packets.withColumn("capture_id", short), by=("capture_id",), iterations=1)
+    assert [tuple(r) for r in model.rejected.collect()] == [("tiny", 1, 5)]
+    assert model.scored().count() == 999 and model.model.count() == 3
+    with pytest.raises(AnalysisError):
+        fit(packets.limit(3), by=("capture_id",))
+
+
+def test_no_reason_is_lost_where_no_protocol_is_common(spark, small):
+    packets = spark_packets(spark, small, captures=True).withColumn("protocol", F.concat(F.lit("P"), F.col("frame_number").cast("string")))
+    model = fit(packets, by=("capture_id",), keep=("protocol",), iterations=1)
+    assert anomalies.anomalous(model).count() == packets.count()

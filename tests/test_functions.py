@@ -46,9 +46,11 @@ def test_size_classes(spark, length, expected):
 def test_text(spark):
     row = spark.range(1).select(
         packet_line(F.lit("TCP"), F.lit(None), F.lit("b"), F.lit(60), F.lit("x" * 80), 50).alias("a"),
+        packet_line(F.lit("TCP"), F.lit("a"), F.lit("b"), F.lit(60.0), F.lit("x"), 50).alias("f"),
         packet_line(F.lit("TCP"), F.lit("a"), F.lit("b"), None, F.lit(None), 100).alias("b"),
         score_band(F.lit(0.29)).alias("c"), score_band(F.lit(0.3)).alias("d"), score_band(F.lit(0.7)).alias("e"),
     ).first()
-    assert row["a"] == "TCP None -> b (60 bytes): " + "x" * 50 + "..."
+    assert row["a"] == "TCP nan -> b (60 bytes): " + "x" * 50 + "..."
+    assert row["f"] == "TCP a -> b (60 bytes): x..."
     assert row["b"] == "TCP a -> b: ..."
     assert (row["c"], row["d"], row["e"]) == ("low", "medium", "high")

@@ -112,3 +112,17 @@ def test_no_packet_sized_single_partition(spark, small):
     single = [i for i, line in enumerate(lines) if "SinglePartition" in line]
     for i in single:
         assert any("Aggregate" in line for line in lines[i + 1 : i + 3]), plan
+
+
+def test_many_small_captures_spread_over_tasks(spark):
+    """A thousand captures of ten packets: each starts anew, and no partition holds them all."""
+    rows = spark.range(10_000).select(
+        F.concat(F.lit("c"), F.format_string("%04d", F.col("id") % 1000)).alias("capture_id"), F.expr("id div 1000 + 1").alias("frame_number"),
+        F.expr("cast(id % 1000 + id div 1000 as double)").alias("timestamp"))
+    found = with_sequence(rows, F.col("timestamp"), within=("capture_id",))
+    assert found.filter("frame_number = 1 and _previous is not null").count() == 0
+    assert found.filter("frame_number > 1 and timestamp - _previous <> 1").count() == 0
+    place = (F.substring("capture_id", 2, 4).cast("int") * 10 + F.col("frame_number")) == F.col("packet_number")
+    assert found.filter(~place).count() == 0
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 5000

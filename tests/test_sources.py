@@ -31,7 +31,7 @@ def test_extended_dialect(spark, tmp_path, mode):
     assert (rows[1]["src_ip"], rows[1]["dst_ip"], rows[1]["protocol"]) == ("unknown",) * 3
     assert rows[1]["length"] == 0.0 and rows[1]["info"] == 'back\\slash "q" end'
     assert rows[2]["timestamp"] is None and rows[2]["length"] == 1500.0
-    assert {r["capture_id"] for r in rows} == {"a.csv"}
+    assert {r["capture_id"].rsplit("/", 1)[1] for r in rows} == {"a.csv"}
 
 
 def test_basic_dialect_fills_nothing(spark, tmp_path):
@@ -62,7 +62,7 @@ def test_encoding_is_chosen_per_file(spark, tmp_path):
     write(tmp_path, "one.csv", HEADER + '"1","0","a","b","TCP","3","café"\n', "latin1")
     write(tmp_path, "two.csv", HEADER + '"1","0","a","b","TCP","3","café"\n"2","0","a","b","TCP","3","naïve"\n')
     rows = read_packets(spark, str(tmp_path), "basic").collect()
-    assert sorted((r["capture_id"], r["info"]) for r in rows) == [("one.csv", "café"), ("two.csv", "café"), ("two.csv", "naïve")]
+    assert sorted((r["capture_id"].rsplit("/", 1)[1], r["info"]) for r in rows) == [("one.csv", "café"), ("two.csv", "café"), ("two.csv", "naïve")]
 
 
 def test_byte_order_mark(spark, tmp_path):
@@ -80,7 +80,7 @@ def test_positions_replace_absent_columns(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     for name in ("one.csv", "two.csv"):
-        part = [r for r in rows if r["capture_id"] == name]
+        part = [r for r in rows if r["capture_id"].endswith(f"/{name}")]
         assert sorted(r["frame_number"] for r in part) == list(range(1, 501))
         assert all(r["src_ip"] == f"s{r['frame_number'] - 1}" and r["timestamp"] == r["frame_number"] - 1 for r in part)
 
@@ -110,6 +110,31 @@ def test_bad_inputs(spark, tmp_path):
         read_packets(spark, str(mixed))
 
 
+def test_equal_names_in_two_folders_are_two_captures(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        write(tmp_path / folder, "x.csv", QUOTED)
+    rows = read_packets(spark, f"{tmp_path}/*/x.csv").groupBy("capture_id").count().collect()
+    assert sorted((r["capture_id"].split("/")[-2], r["count"]) for r in rows) == [("a", 3), ("b", 3)]
+
+
+def test_overlong_rows_are_refused(spark, tmp_path):
+    path = write(tmp_path, "long.csv", HEADER + '"1","0","a","b","TCP","3","i","more"\n"2","0","a","b","TCP","3","i"\n')
+    for profile, mode in (("basic", "auto"), ("basic", "strict"), ("extended", "strict")):
+        with pytest.raises(SourceError, match="more than 7 fields: 1 in"):
+            read_packets(spark, path, profile, mode)
+    assert read_packets(spark, path, "extended").count() == 2
+
+
+def test_only_the_first_line_is_the_header(spark, tmp_path):
+    row = '"1","0","a","b","TCP","3","i"\n'
+    head = HEADER.replace('"', "")
+    path = write(tmp_path, "twice.csv", head + row + head + row + head)
+    for mode in ("auto", "strict", "tolerant"):
+        rows = read_packets(spark, path, "extended", mode).collect()
+        assert sorted(r["info"] for r in rows) == ["Info", "Info", "i", "i"]
+
+
 def test_contract_takes_the_first_address(spark):
     df = spark.createDataFrame([("1", "0", "a,b", "c", "TCP", "5", "x, y")], "n string, t string, s string, d string, p string, l string, i string")
     names = dict(zip(["No.", "Time", "Source", "Destination", "Protocol", "Length", "Info"], df.columns))
@@ -121,7 +146,7 @@ def test_catalogue(spark, tmp_path):
     deep.mkdir(parents=True)
     for path, size in ((tmp_path / "a.pcap", 10), (tmp_path / "sub" / "b.PCAPNG", 5), (tmp_path / "sub" / "c.cap", 200), (deep / "d.pcap", 10), (tmp_path / "e.txt", 9)):
         path.write_bytes(b"x" * size)
-    found = catalog.capture_catalog(spark, str(tmp_path), below_bytes=100)
+    found = catalog.capture_catalog(spark, str(tmp_path), below_bytes=100, max_depth=2)
     assert {r["file_name"] for r in found.collect()} == {"a.pcap"}
     found = catalog.capture_catalog(spark, str(tmp_path), max_depth=None)
     assert {r["file_name"] for r in found.collect()} == {"a.pcap", "c.cap", "d.pcap"}

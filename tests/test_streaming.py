@@ -49,6 +49,16 @@ def test_a_repeated_batch_overwrites_its_output(spark, small):
     assert sorted(numbers) == list(range(1, 1001))
 
 
+def test_new_captures_are_scored_by_the_pooled_model(spark, small):
+    packets = spark_packets(spark, small, captures=True).withColumn("length", F.col("length").cast("double"))
+    own, pooled = fit(packets.filter("capture_id = 'cap0'"), by=BY, iterations=1), fit(packets.drop("capture_id"), iterations=1)
+    alone = LiveScorer(own, scratch_path(spark, "live")).score(packets, 0)
+    assert alone.filter("model is null").count() == alone.filter("capture_id <> 'cap0'").count() > 0
+    scored = LiveScorer(own, scratch_path(spark, "live"), fallback=pooled).score(packets, 0)
+    assert scored.count() == packets.count() and scored.filter("anomaly_score is null or is_anomaly is null").isEmpty()
+    assert {(r[0], r[1]) for r in scored.select("capture_id", "model").distinct().collect()} == {("cap0", "own"), ("cap1", "pooled"), ("cap2", "pooled")}
+
+
 def test_refit_rule():
     rule = Refitter("unused")
     assert not rule.due(0, 99)
