@@ -1,10 +1,11 @@
-"""Exact linear-interpolated quantiles that never hold a scope in one buffer.
+"""Exact linear-interpolated quantiles by range counts.
 
-Pass one: a mergeable sketch brackets the wanted rank.  Pass two: one combined
-count in which all rows under the bracket fall together and rows inside it are
-counted per distinct value.  Only the distinct values of the bracket, a fixed
-share of about ``4 / accuracy`` of a scope, are ordered.  Where even that share
-is large, the bracket is narrowed by sketching its own rows first.
+Each round counts the values of a scope in equal bins between the ends of its
+bracket, with partial sums, and keeps the bin that holds the wanted rank; the
+bin's own smallest and largest values are the next bracket.  A scope is done when
+these are equal, or when the two ranks to interpolate between fall into different bins.  No
+task holds more than ``BINS`` rows of a scope, whatever its size, and a scope that
+holds most of the data is counted by all tasks.
 """
 
 from __future__ import annotations
@@ -13,64 +14,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetweave.functions.numbers import interpolate
-from packetweave.storage import attach, freeze, in_driver
+from packetweave.storage import attach, freeze
 
-ACCURACY = 100_000
-# Rows one task may have to order; more of them means another narrowing pass.
-ORDERED_ROWS = 2_000_000
+BINS = 4096
 
 
-def _bracket(df: DataFrame, value: str, q: float, by: tuple[str, ...], margin: float, accuracy: int) -> DataFrame:
-    low, high = max(q - margin, 0.0), min(q + margin, 1.0)
-    ends = F.percentile_approx(value, [low, high], accuracy)
-    rows = df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.min(value).alias("_min"), F.max(value).alias("_max"), ends.alias("_ends")
-    )
+def _brackets(data: DataFrame, value: str, q: float, by: tuple[str, ...]) -> DataFrame:
+    """Per scope: n, the ends of all values, and the 1-based ranks around the quantile."""
+    rows = data.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
     place = F.lit(q) * (F.col("n") - 1)
     return rows.select(
-        *by,
-        "n",
-        # At the edges of the rank range the data's own ends are the safe bracket.
-        (F.col("_min") if low == 0.0 else F.col("_ends")[0]).alias("_low"),
-        (F.col("_max") if high == 1.0 else F.col("_ends")[1]).alias("_high"),
-        (F.floor(place) + 1).alias("_first"),
-        (F.ceil(place) + 1).alias("_second"),
-        (place - F.floor(place)).alias("_fraction"),
-    )
+        *by, "n", "_low", "_high", (F.floor(place) + 1).alias("_first"), (F.ceil(place) + 1).alias("_second"),
+        (place - F.floor(place)).alias("_fraction"), F.lit(0).cast("bigint").alias("_below"))
 
 
-def _narrowed(data: DataFrame, value: str, ends: DataFrame, accuracy: int, limit: int) -> DataFrame:
-    """Shrink the bracket of a single scope until about ``limit`` rows lie inside.
-
-    Each round is one filtered pass; its sketch works on the ranks inside the
-    bracket.  A round whose sketch misses the wanted ranks keeps its bracket.
-    """
-    while True:
-        row = ends.first()
-        low, high = row["_low"], row["_high"]
-        if not row["n"] or row["n"] * 4.0 / accuracy <= limit or low == high:
-            return ends
-        counts = data.agg(
-            F.count(F.when(F.col(value) < low, 1)).alias("below"),
-            F.count(F.when((F.col(value) >= low) & (F.col(value) <= high), 1)).alias("inside"),
-        ).first()
-        if counts["inside"] <= limit:
-            return ends
-        first, second = row["_first"] - counts["below"], row["_second"] - counts["below"]
-        if first < 1 or second > counts["inside"]:
-            return ends
-        margin = 2.0 / accuracy
-        wanted = [max((first - 1) / counts["inside"] - margin, 0.0), min(second / counts["inside"] + margin, 1.0)]
-        inner = data.filter((F.col(value) >= low) & (F.col(value) <= high))
-        tight = inner.agg(F.percentile_approx(value, wanted, accuracy).alias("e")).first()["e"]
-        found = data.agg(
-            F.count(F.when(F.col(value) < tight[0], 1)).alias("under"),
-            F.count(F.when(F.col(value) <= tight[1], 1)).alias("upto"),
-        ).first()
-        covered = found["under"] < row["_first"] and found["upto"] >= row["_second"]
-        if not covered or (tight[0], tight[1]) == (low, high):
-            return ends
-        ends = in_driver(ends.withColumns({"_low": F.lit(tight[0]), "_high": F.lit(tight[1])}))
+def _narrowed(data: DataFrame, value: str, open_rows: DataFrame, by: tuple[str, ...], spread: str, bins: int) -> DataFrame:
+    """The same rows with the bracket shrunk to the bins of their ranks."""
+    v, low, high = F.col(value), F.col("_low"), F.col("_high")
+    # Halves first: the width of a bracket may be beyond the largest double.
+    share = (v / 2 - low / 2) / (high / 2 - low / 2)
+    counted = (
+        attach(data, open_rows.select(*by, "_low", "_high"), by, spread=spread)
+        .filter((v >= low) & (v <= high) & (low < high))
+        .groupBy(*by, F.least(F.floor(share * bins), F.lit(bins - 1)).alias("_bin"))
+        .agg(F.count(F.lit(1)).alias("_rows"), F.min(value).alias("_least"), F.max(value).alias("_most"))
+    )
+    # At most ``bins`` rows per scope from here on.
+    upto = F.sum("_rows").over(Window.partitionBy(*by).orderBy("_bin"))
+    ranked = counted.withColumn("_upto", upto)
+    placed = ranked.join(open_rows, list(by)) if by else ranked.crossJoin(F.broadcast(open_rows))
+    holds = lambda rank: (F.col("_upto") + F.col("_below") >= rank) & (F.col("_upto") - F.col("_rows") + F.col("_below") < rank)
+    one, other = holds(F.col("_first")), holds(F.col("_second"))
+    kept = ["n", "_first", "_second", "_fraction"]
+    picked = placed.filter(one | other).groupBy(*by).agg(
+        *[F.first(c).alias(c) for c in kept],
+        # In different bins, the first rank is the largest of its bin and the second the smallest of its own.
+        F.max(F.when(one, F.when(other, F.col("_least")).otherwise(F.col("_most")))).alias("_low"),
+        F.max(F.when(other, F.when(one, F.col("_most")).otherwise(F.col("_least")))).alias("_high"),
+        F.max(F.when(one, F.col("_below") + F.col("_upto") - F.col("_rows"))).alias("_below"),
+        F.bool_or(one & other).alias("_open"),
+    )
+    return picked
 
 
 def quantile_rows(
@@ -79,45 +63,23 @@ def quantile_rows(
     q: float,
     by: tuple[str, ...] = (),
     name: str = "quantile",
-    accuracy: int = ACCURACY,
     spread: str = "frame_number",
-    limit: int = ORDERED_ROWS,
+    bins: int = BINS,
 ) -> DataFrame:
     """Frozen rows ``(*by, n, name)`` with the exact quantile; null for no values.
 
     ``df`` needs ``by``, ``value`` and, when keyed, the ``spread`` column.
-    Should a sketch miss the wanted ranks, the bracket is widened and the pass
-    repeated until every scope is covered.
     """
     needed = list(dict.fromkeys([*by, value, *([spread] if by else [])]))
-    data = df.select(*needed).filter(F.col(value).isNotNull())
-    margin = 2.0 / accuracy
+    data = df.select(*needed).filter(F.col(value).isNotNull()).withColumn(value, F.col(value).cast("double"))
+    columns = [*by, "n", "_low", "_high", "_fraction"]
+    rows = freeze(_brackets(data, value, q, by).withColumn("_open", F.col("_low") < F.col("_high")), by, "bracket")
+    done = None
     while True:
-        ends = freeze(_bracket(data, value, q, by, margin, accuracy), by, "bracket")
-        if not by:
-            ends = _narrowed(data, value, ends, accuracy, limit)
-        slot = F.when(F.col(value) >= F.col("_low"), F.col(value))
-        counted = (
-            attach(data, ends.select(*by, "_low", "_high"), by, spread=spread)
-            .filter(F.col(value) <= F.col("_high"))
-            .groupBy(*by, slot.alias("_slot"))
-            .agg(F.count(F.lit(1)).alias("_rows"))
-        )
-        below = Window.partitionBy(*by).orderBy(F.asc_nulls_first("_slot"))
-        ranked = counted.withColumn("_upto", F.sum("_rows").over(below))
-        placed = ends.join(ranked, list(by), "left") if by else ranked.crossJoin(F.broadcast(ends))
-        inside = F.col("_slot").isNotNull()
-        picked = placed.groupBy(*by).agg(
-            F.coalesce(F.first("n"), F.lit(0)).alias("n"),
-            F.first("_fraction").alias("_fraction"),
-            F.min(F.when(inside & (F.col("_upto") >= F.col("_first")), F.col("_slot"))).alias("_a"),
-            F.min(F.when(inside & (F.col("_upto") >= F.col("_second")), F.col("_slot"))).alias("_b"),
-            F.max(F.when(~inside, F.col("_upto") >= F.col("_first"))).alias("_missed"),
-        )
-        found = freeze(picked, by, "quantile")
-        open_scopes = found.filter(
-            (F.col("n") > 0) & (F.col("_a").isNull() | F.col("_b").isNull() | F.coalesce("_missed", F.lit(False)))
-        )
-        if margin >= 1.0 or open_scopes.isEmpty():
-            return found.select(*by, "n", interpolate(F.col("_a"), F.col("_b"), F.col("_fraction")).alias(name))
-        margin = min(margin * 10, 1.0)
+        settled = rows.filter(~F.coalesce("_open", F.lit(False)) | (F.col("_low") == F.col("_high"))).select(columns)
+        done = settled if done is None else done.unionByName(settled)
+        still = rows.filter("_open and _low < _high")
+        if still.isEmpty():
+            break
+        rows = freeze(_narrowed(data, value, still.drop("_open"), by, spread, bins), by, "bracket")
+    return freeze(done.select(*by, "n", interpolate(F.col("_low"), F.col("_high"), F.col("_fraction")).alias(name)), by, "quantile")
