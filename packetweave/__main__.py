@@ -19,6 +19,7 @@ from packetweave.plans import anomalies, clusters, series, traffic
 from packetweave.plans.analysis import LLOYD, ML, Analysis, AnalysisError, fit
 from packetweave.sources import sinks
 from packetweave.sources.packets import SourceError, read_packets
+from packetweave.storage import materialize
 
 
 def _arguments(argv: list[str] | None) -> argparse.Namespace:
@@ -86,7 +87,8 @@ def _write_series(analysis: Analysis, folder: str) -> None:
 
 
 def _extended(spark: SparkSession, args: argparse.Namespace) -> None:
-    packets = read_packets(spark, args.paths, "extended", args.mode)
+    # Parsed once; every later pass reads the columns it needs from the stored table.
+    packets = materialize(read_packets(spark, args.paths, "extended", args.mode), "parsed")
     by = ("capture_id",) if args.per_capture else ()
     trainer = args.trainer or (LLOYD if by else ML)
     analysis = fit(packets, profile=EXTENDED, by=by, k=args.clusters, percentile=args.threshold, trainer=trainer)
@@ -104,7 +106,7 @@ def _extended(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _basic(spark: SparkSession, args: argparse.Namespace) -> None:
-    packets = read_packets(spark, args.path, "basic", args.mode)
+    packets = materialize(read_packets(spark, args.path, "basic", args.mode), "parsed")
     if args.sample:
         packets = sample_exact(packets, args.sample, ["capture_id", "frame_number"])
     _report("Traffic summary", traffic.traffic_summary(packets), args.output, ["section", "-packets", "item"])

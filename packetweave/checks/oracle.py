@@ -149,6 +149,50 @@ scored as materialized (
   from near {attach})"""
 
 
+def components(features: list[str], captures: bool = False, steps: int = 3000) -> str:
+    """CTE ``axes`` after ``z``: two principal components by power iteration and deflation."""
+    d = range(1, len(features) + 1)
+    keys = "capture_id, " if captures else ""
+    group = "group by capture_id" if captures else ""
+    matrix = ", ".join("[" + ", ".join(f"covar_pop(z{i}, z{j})" for j in d) + "]" for i in d)
+    start = "[" + ", ".join(f"{1 + 0.37 * i % 1:.2f}::DOUBLE" for i in d) + "]"
+    times = "list_transform({c}, lambda r: list_dot_product(r, {v}))"
+
+    def power(name: str, matrices: str) -> str:
+        return f"""{name}_s as (
+  select {keys}c, trace, {start} as v, 0 as it from {matrices}
+  union all
+  select {keys}c, trace, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))), it + 1
+  from (select *, {times.format(c='c', v='v')} as w from {name}_s where it < {steps})),
+{name} as (
+  select {keys}c, trace, list_transform(v, lambda x: x * sign(v[list_position(list_transform(v, lambda y: abs(y)), list_max(list_transform(v, lambda y: abs(y))))])) as v,
+    list_dot_product(v, {times.format(c='c', v='v')}) as size from {name}_s where it = {steps})"""
+
+    trace = " + ".join(f"c[{i}][{i}]" for i in d)
+    return f""",
+covs as (select {keys}c, {trace} as trace from (select {keys}[{matrix}] as c from z {group})),
+{power("axis_1", "covs")},
+rest as (select {keys}list_transform(range(1, {len(d) + 1}), lambda i: list_transform(range(1, {len(d) + 1}), lambda j: c[i][j] - size * v[i] * v[j])) as c, trace from axis_1),
+{power("axis_2", "rest")},
+axes as (select {keys}1 as component, v, size / trace as ratio from axis_1 union all select {keys}2, v, size / trace from axis_2)"""
+
+
+def loadings(features: list[str], captures: bool = False) -> str:
+    keys = "capture_id, " if captures else ""
+    names = "[" + ", ".join(f"'{n}'" for n in features) + "]"
+    return f""" select {keys}cast(component as int) as component, cast(place as int) as rank, feature, round(weight, 6) as weight, round(ratio, 6) as ratio
+  from (select *, row_number() over (partition by {keys}component order by abs(weight) desc, spot) as place
+    from (select {keys}component, ratio, unnest(range(1, {len(features) + 1})) as spot, unnest({names}) as feature, unnest(v) as weight from axes)) where place <= 5"""
+
+
+def projected(features: list[str], source: str, columns: str, captures: bool = False, letter: str = "z") -> str:
+    d = range(1, len(features) + 1)
+    point = "[" + ", ".join(f"{letter}{i}" for i in d) + "]"
+    both = " and a.capture_id = s.capture_id and b.capture_id = s.capture_id" if captures else ""
+    return f""" select {columns}, round(list_dot_product({point}, a.v), 6) as pc1, round(list_dot_product({point}, b.v), 6) as pc2
+  from {source} s join axes a on a.component = 1 join axes b on b.component = 2{both}"""
+
+
 EXT, BAS = S.EXTENDED_FEATURES, S.BASIC_FEATURES
 
 
@@ -334,6 +378,14 @@ def statements() -> dict[str, str]:
         + """ select capture_id, any_value(total) as packets, round(avg(anomaly_score), 6) as mean_score,
           round(stddev_pop(anomaly_score), 6) as std_score, round(any_value(threshold), 6) as threshold,
           count(*) filter (where is_anomaly) as above from scored group by capture_id""",
+        "pca_loadings": ext + zscores(EXT) + components(EXT) + loadings(EXT),
+        "pca_loadings_by_capture": extended(True) + zscores(EXT, True) + components(EXT, True) + loadings(EXT, True),
+        "pca_projection": ea + components(EXT)
+        + projected(EXT, "(select z.*, cluster_id from z join near using (packet_number))", "packet_number, cluster_id"),
+        "pca_projection_by_capture": extended(True) + zscores(EXT, True) + lloyd(EXT, True) + components(EXT, True)
+        + projected(EXT, "(select z.*, cluster_id from z join near using (capture_id, packet_number))", "s.capture_id, packet_number, cluster_id", True),
+        "pca_centroids": ea + components(EXT)
+        + projected(EXT, f"(select * from centres where it = {ITERATIONS})", "cast(cid as int) as cluster_id", letter="c"),
         # clusters
         "cluster_sizes": f"{bs} select cluster_id, packets, round(percent, 6) as percent, is_small from sizes",
         "small_clusters": f"{small} select cluster_id, packets, round(percent, 6) as percent from sizes where is_small",

@@ -55,6 +55,11 @@ def _fitted(spark: SparkSession, sf_dir: str, profile=EXTENDED, captures: bool =
     return _fits[key]
 
 
+def forget_fits() -> None:
+    """The next query of each kind fits anew."""
+    _fits.clear()
+
+
 def _ext(spark: SparkSession, sf_dir: str) -> Analysis:
     return _fitted(spark, sf_dir)
 
@@ -479,6 +484,16 @@ def pca_loadings(spark, sf_dir):
     return _round(series.loadings(model, series.components(model)), "weight", "ratio")
 
 
+def pca_loadings_by_capture(spark, sf_dir):
+    model = _fitted(spark, sf_dir, captures=True)
+    return _round(series.loadings(model, series.components(model)), "weight", "ratio")
+
+
+def pca_projection_by_capture(spark, sf_dir):
+    model = _fitted(spark, sf_dir, captures=True)
+    return _round(series.projection(model, series.components(model)), "pc1", "pc2")
+
+
 # ---- streaming -------------------------------------------------------------
 
 def _in_parts(spark: SparkSession, sf_dir: str, captures: bool, parts: int = 3):
@@ -651,6 +666,8 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pca_projection": pca_projection,
         "pca_centroids": pca_centroids,
         "pca_loadings": pca_loadings,
+        "pca_loadings_by_capture": pca_loadings_by_capture,
+        "pca_projection_by_capture": pca_projection_by_capture,
         "sample_exact": lambda s, d: sample_exact(spark_packets(s, d), 1000, ["frame_number"]).select("frame_number", "protocol"),
         "stream_score": stream_score,
         "stream_delta": stream_delta,

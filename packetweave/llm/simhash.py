@@ -190,10 +190,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     prints = materialize(fingerprints(docs, key, text, design), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
     found = components(links(classes.select("fp"), design))
-    placed = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component"))
-    smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    # Written, so that a fingerprint with many copies can be split in the join below.
+    placed = materialize(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("component")), "fingerprint-places")
+    smallest = materialize(placed.groupBy("component").agg(F.min("first").alias("component_id")), "component-ids")
+    # All are written, so that a component or fingerprint with many members can be split in the joins.
     named = materialize(placed.join(smallest, "component").select("fp", "component_id"), "fingerprint-components")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 

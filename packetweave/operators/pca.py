@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetweave.storage import materialize
+
 
 @dataclass(frozen=True)
 class Components:
@@ -26,25 +30,62 @@ class Components:
         return out
 
 
-def covariance(scaled: DataFrame, names: list[str]) -> np.ndarray:
-    """Population covariance of the ``z`` columns from one aggregation."""
+@dataclass(frozen=True)
+class ScopedComponents:
+    """One row per scope: keys, ``loadings`` (component x feature) and ``ratios``."""
+
+    features: tuple[str, ...]
+    by: tuple[str, ...]
+    k: int
+    rows: DataFrame
+
+    def projections(self, names: list[str]) -> list[Column]:
+        """One expression per component over standardised columns next to ``loadings``."""
+        out = []
+        for number in range(self.k):
+            weights = F.col("loadings")[number]
+            total = sum((F.col(n) * weights[i] for i, n in enumerate(names)), F.lit(0.0))
+            out.append(total.alias(f"pc{number + 1}"))
+        return out
+
+
+def _moments(names: list[str]) -> list[Column]:
+    """Means, and mean products of the pairs ``i <= j`` in order."""
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = scaled.agg(
+    return [
         F.array(*[F.avg(c) for c in names]).alias("m"),
         F.array(*[F.avg(F.col(names[i]) * F.col(names[j])) for i, j in pairs]).alias("p"),
-    ).first()
-    matrix = np.zeros((len(names), len(names)))
-    for (i, j), product in zip(pairs, row["p"]):
-        matrix[i, j] = matrix[j, i] = product - row["m"][i] * row["m"][j]
+    ]
+
+
+def _matrix(means, products) -> np.ndarray:
+    d = len(means)
+    matrix, at = np.zeros((d, d)), 0
+    for i in range(d):
+        for j in range(i, d):
+            matrix[i, j] = matrix[j, i] = products[at] - means[i] * means[j]
+            at += 1
     return matrix
 
 
+def covariance(scaled: DataFrame, names: list[str]) -> np.ndarray:
+    """Population covariance of the ``z`` columns from one aggregation."""
+    row = scaled.agg(*_moments(names)).first()
+    return _matrix(row["m"], row["p"])
+
+
 def principal_components(scaled: DataFrame, names: list[str], features: tuple[str, ...], k: int = 2) -> Components:
-    """Eigenvectors of the d x d covariance; the data is touched once, in Spark.
+    """Eigenvectors of the d x d covariance; the data is touched once, in Spark."""
+    picked, ratios = leading(covariance(scaled, names), k)
+    return Components(tuple(features), picked, ratios)
+
+
+def leading(matrix: np.ndarray, k: int) -> tuple[tuple[tuple[float, ...], ...], tuple[float, ...]]:
+    """Loadings and ratios of the first k components of a covariance matrix.
 
     Each component's sign is set so that its largest loading is positive.
     """
-    values, vectors = np.linalg.eigh(covariance(scaled, names))
+    values, vectors = np.linalg.eigh(matrix)
     order = np.argsort(values)[::-1][:k]
     picked = []
     for column in order:
@@ -53,4 +94,18 @@ def principal_components(scaled: DataFrame, names: list[str], features: tuple[st
         picked.append(tuple(float(w) for w in weights))
     total = float(values.sum())
     ratios = tuple(float(values[c]) / total if total > 0 else 0.0 for c in order)
-    return Components(tuple(features), tuple(picked), ratios)
+    return tuple(picked), ratios
+
+
+def scoped_components(scaled: DataFrame, names: list[str], features: tuple[str, ...], by: tuple[str, ...], k: int = 2) -> ScopedComponents:
+    """Components of every scope: one grouped aggregation, then one small matrix per row."""
+
+    def solved(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [leading(_matrix(m, p), k) for m, p in zip(frame["m"], frame["p"])]
+            yield frame[list(by)].assign(loadings=[[list(w) for w in x[0]] for x in found], ratios=[list(x[1]) for x in found])
+
+    moments = scaled.groupBy(*by).agg(*_moments(names))
+    keys = ", ".join(f"`{n}` {t}" for n, t in moments.select(*by).dtypes)
+    rows = moments.mapInPandas(solved, f"{keys}, loadings array<array<double>>, ratios array<double>")
+    return ScopedComponents(tuple(features), by, k, materialize(rows, "components"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetweave import schema as S
-from packetweave.operators.pca import Components, principal_components
+from packetweave.operators.pca import Components, ScopedComponents, principal_components, scoped_components
 from packetweave.operators.scaling import z_names
 from packetweave.plans.analysis import Analysis
 from packetweave.storage import attach
@@ -70,15 +70,26 @@ def length_against_score(analysis: Analysis) -> DataFrame:
     )
 
 
-def components(analysis: Analysis, k: int = 2) -> Components:
+def components(analysis: Analysis, k: int = 2) -> Components | ScopedComponents:
+    """Components of the whole input, or of each capture of a keyed analysis."""
     names = z_names(len(analysis.feature_names))
+    if analysis.by:
+        return scoped_components(analysis.scaled(), names, analysis.feature_names, analysis.by, k)
     return principal_components(analysis.scaled(), names, analysis.feature_names, k)
 
 
-def projection(analysis: Analysis, found: Components, budget: int | None = None, seed: int = S.DEFAULT_SEED) -> DataFrame:
+def _placed(analysis: Analysis, rows: DataFrame, found: Components | ScopedComponents) -> DataFrame:
+    """Rows with the loadings of their scope, where there are several."""
+    if not analysis.by:
+        return rows
+    spread = "packet_number" if "packet_number" in rows.columns else "cluster_id"
+    return attach(rows, found.rows.drop("ratios"), analysis.by, spread=spread)
+
+
+def projection(analysis: Analysis, found: Components | ScopedComponents, budget: int | None = None, seed: int = S.DEFAULT_SEED) -> DataFrame:
     """Packets in component space; thinned only when a point budget is asked for."""
     names = z_names(len(analysis.feature_names))
-    points = analysis.scaled(keep=("cluster_id",)).select(
+    points = _placed(analysis, analysis.scaled(keep=("cluster_id",)), found).select(
         *analysis.by, "packet_number", "cluster_id", *found.projections(names)
     )
     if budget is None:
@@ -87,18 +98,28 @@ def projection(analysis: Analysis, found: Components, budget: int | None = None,
     return points if total <= budget else points.sample(budget / total, seed)
 
 
-def projected_centres(analysis: Analysis, found: Components) -> DataFrame:
+def projected_centres(analysis: Analysis, found: Components | ScopedComponents) -> DataFrame:
     names = z_names(len(analysis.feature_names))
     rows = analysis.model.select(*analysis.by, F.posexplode("centres").alias("cluster_id", "centre"))
     flat = rows.filter(F.col("centre").isNotNull()).select(
         *analysis.by, F.col("cluster_id").cast("int").alias("cluster_id"),
         *[F.col("centre")[i].alias(n) for i, n in enumerate(names)],
     )
-    return flat.select(*analysis.by, "cluster_id", *found.projections(names))
-
-
-def loadings(analysis: Analysis, found: Components, top: int | None = 5) -> DataFrame:
-    """``component, rank, feature, weight, ratio``: d x components rows."""
+    return _placed(analysis, flat, found).select(*analysis.by, "cluster_id", *found.projections(names))
+
+
+def loadings(analysis: Analysis, found: Components | ScopedComponents, top: int | None = 5) -> DataFrame:
+    """``component, rank, feature, weight, ratio``: d x components rows per scope."""
+    if isinstance(found, ScopedComponents):
+        named = F.array(*[F.lit(n) for n in found.features])
+        pairs = F.arrays_zip(named.alias("feature"), F.col("weights").alias("weight"))
+        # Largest first; equal weights in feature order.
+        order = F.array_sort(F.transform(pairs, lambda p, i: F.struct(
+            (-F.abs(p["weight"])).alias("size"), i.alias("place"), p["feature"].alias("feature"), p["weight"].alias("weight"))))
+        listed = found.rows.select(*found.by, "ratios", F.posexplode("loadings").alias("at", "weights")).select(
+            *found.by, (F.col("at") + 1).cast("int").alias("component"), F.col("ratios")[F.col("at")].alias("ratio"), F.posexplode(order).alias("n", "p"))
+        rows = listed.select(*found.by, "component", (F.col("n") + 1).cast("int").alias("rank"), "p.feature", "p.weight", "ratio")
+        return rows if top is None else rows.filter(F.col("rank") <= top)
     rows = []
     for number, weights in enumerate(found.loadings, 1):
         ordered = sorted(zip(found.features, weights), key=lambda p: -abs(p[1]))

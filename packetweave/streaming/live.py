@@ -77,13 +77,15 @@ class LiveScorer:
     ``fallback`` is an analysis without keys; with it, packets of captures that
     the keyed ``analysis`` doesn't know are scored by the pooled model.  The
     column ``model`` tells which was used: ``own``, ``pooled``, or null where
-    neither knows the capture.
+    neither knows the capture.  With a ``refitter`` every batch is scored by the
+    newest model that it has stored, and by ``analysis`` before there is one.
     """
 
     analysis: A.Analysis
     folder: str
     keep: tuple[str, ...] = ()
     fallback: A.Analysis | None = None
+    refitter: Refitter | None = None
     _state: _State = field(init=False)
 
     def __post_init__(self) -> None:
@@ -119,7 +121,9 @@ class LiveScorer:
         return scored.join(known, list(by), "left_semi").unionByName(pooled.withColumn("model", F.lit("pooled")))
 
     def _write(self, batch: DataFrame, batch_id: int) -> None:
-        scored = self.score(batch, batch_id)
+        newest = self.refitter.newest(batch.sparkSession) if self.refitter else None
+        # The batch feeds the score and the stream's state; its source is read once.
+        scored = self.score(A.materialize(batch, "live-batch"), batch_id, newest)
         scored.write.mode("overwrite").parquet(f"{self.folder}/scored/batch={batch_id}")
 
     def start(self, stream: DataFrame, **trigger):
@@ -168,6 +172,14 @@ class Refitter:
             )
             entry.write.mode("overwrite").parquet(f"{self.folder}/fits/batch={batch_id}")
 
+    def newest(self, spark: SparkSession) -> A.Analysis | None:
+        """The model of the latest refit, if there is one."""
+        try:
+            latest = self.fits(spark).agg(F.max("batch_id")).first()[0]
+        except AnalysisException:
+            return None
+        return None if latest is None else A.load(spark, f"{self.folder}/models/{latest}")
+
     def start(self, stream: DataFrame, **trigger):
         writer = stream.writeStream.foreachBatch(self._batch)
         writer = writer.option("checkpointLocation", f"{self.folder}/checkpoint")

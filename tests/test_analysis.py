@@ -198,3 +198,15 @@ def test_no_reason_is_lost_where_no_protocol_is_common(spark, small):
     packets = spark_packets(spark, small, captures=True).withColumn("protocol", F.concat(F.lit("P"), F.col("frame_number").cast("string")))
     model = fit(packets, by=("capture_id",), keep=("protocol",), iterations=1)
     assert anomalies.anomalous(model).count() == packets.count()
+
+
+def test_components_per_capture_are_those_of_each_alone(spark, small, keyed):
+    found = series.components(keyed)
+    alone = fit(spark_packets(spark, small, captures=True).filter("capture_id = 'cap1'").drop("capture_id"), iterations=4)
+    single = series.components(alone)
+    row = found.rows.filter("capture_id = 'cap1'").first()
+    assert np.allclose(row["loadings"], single.loadings, atol=1e-9) and np.allclose(row["ratios"], single.ratios, atol=1e-9)
+    assert series.projected_centres(keyed, found).count() == 15
+    listed = series.loadings(keyed, found, top=None).filter("capture_id = 'cap1'").drop("capture_id")
+    names = ["component", "rank", "feature"]
+    assert sorted(map(tuple, listed.select(names).collect())) == sorted(map(tuple, series.loadings(alone, single, top=None).select(names).collect()))

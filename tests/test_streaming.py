@@ -59,6 +59,22 @@ def test_new_captures_are_scored_by_the_pooled_model(spark, small):
     assert {(r[0], r[1]) for r in scored.select("capture_id", "model").distinct().collect()} == {("cap0", "own"), ("cap1", "pooled"), ("cap2", "pooled")}
 
 
+def test_the_newest_model_scores(spark, small):
+    packets = spark_packets(spark, small).withColumn("length", F.col("length").cast("double"))
+    refitter = Refitter(scratch_path(spark, "refit"), {"iterations": 1, "k": 3})
+    assert refitter.newest(spark) is None
+    first, second = packets.filter("frame_number <= 300"), packets.filter("frame_number > 300")
+    scorer = LiveScorer(fit(first, iterations=1), scratch_path(spark, "live"), refitter=refitter)
+    scorer._write(first, 0)
+    refitter._batch(packets, 0)
+    scorer._write(second, 1)
+    found = scorer.results(spark)
+    assert found.filter("frame_number <= 300 and cluster_id > 2").count() > 0
+    wanted = {r["frame_number"]: r["cluster_id"] for r in fit(packets, iterations=1, k=3).scored().collect()}
+    late = found.filter("frame_number > 301").select("frame_number", "cluster_id").collect()
+    assert {r[0]: r[1] for r in late} == {k: v for k, v in wanted.items() if k > 301}
+
+
 def test_refit_rule():
     rule = Refitter("unused")
     assert not rule.due(0, 99)
