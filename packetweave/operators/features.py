@@ -134,7 +134,7 @@ def feature_frame(
     facts: DataFrame | None = None,
     by: tuple[str, ...] = (),
     keep: tuple[str, ...] = (),
-    extra: Mapping[str, Column] | None = None,
+    extra: Mapping[str, Column | str] | None = None,
     bucket_frames: int = BUCKET_FRAMES,
     seed: DataFrame | None = None,
     forward_only: bool = False,
@@ -150,7 +150,7 @@ def feature_frame(
     still kept apart: packets are ordered by capture and frame number, and the first of each
     capture has delta 0.
     """
-    extra = dict(extra or {})
+    extra = {n: F.expr(c) if isinstance(c, str) else c for n, c in (extra or {}).items()}
     if "packet_length" in keep:
         packets = packets.withColumn("packet_length", _number(packets, "length"))
     within = (S.CAPTURE,) if S.CAPTURE in packets.columns and S.CAPTURE not in by and seed is None else ()

@@ -8,7 +8,7 @@ scores and flags are columns of the packet and no positional join exists.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +75,7 @@ class Analysis:
     packets it was fitted on: keys, kept columns, features, ``cluster_id`` and
     ``distance``.  ``rejected`` has the scopes with too few packets (keys,
     packets, needed); they have no model and the others are not affected.
+    ``extra`` holds the user features; those given as SQL text are stored with the model.
     """
 
     settings: Settings
@@ -82,6 +83,7 @@ class Analysis:
     model: DataFrame
     packets: DataFrame | None = None
     rejected: DataFrame | None = None
+    extra: Mapping[str, Column | str] = field(default_factory=dict)
 
     @property
     def by(self) -> tuple[str, ...]:
@@ -161,12 +163,16 @@ class Analysis:
 
     def save(self, path: str) -> None:
         """Store the scope rows; settings that scoring needs travel as columns."""
+        texts = {n: c for n, c in self.extra.items() if isinstance(c, str)}
+        if len(texts) < len(self.extra):
+            raise AnalysisError("user features are stored as SQL text; give them to fit as text")
         self.model.select(
             "*",
             F.lit(self.settings.profile.name).alias("_profile"),
             F.lit(self.settings.k).alias("_k"),
             F.array(*[F.lit(c) for c in self.by]).cast("array<string>").alias("_by"),
             F.array(*[F.lit(n) for n in self.feature_names]).alias("_features"),
+            F.create_map(*[F.lit(x) for pair in texts.items() for x in pair]).cast("map<string,string>").alias("_extra"),
         ).write.mode("overwrite").parquet(path)
 
 
@@ -176,7 +182,8 @@ def load(spark: SparkSession, path: str) -> Analysis:
     head = stored.first()
     profile = {p.name: p for p in (EXTENDED, BASIC)}[head["_profile"]]
     settings = Settings(profile=profile, by=tuple(head["_by"]), k=head["_k"])
-    return Analysis(settings, tuple(head["_features"]), stored.drop("_profile", "_k", "_by", "_features"))
+    model = stored.drop("_profile", "_k", "_by", "_features", "_extra")
+    return Analysis(settings, tuple(head["_features"]), model, extra=dict(head["_extra"]))
 
 
 def _kept(by: tuple[str, ...], keep: tuple[str, ...]) -> list[str]:
@@ -287,12 +294,12 @@ def _score_rows(near: DataFrame, settings: Settings) -> DataFrame:
 
 
 def fit(
-    packets: DataFrame, extra: Mapping[str, Column] | None = None, **options
+    packets: DataFrame, extra: Mapping[str, Column | str] | None = None, **options
 ) -> Analysis:
     """Cluster ``packets`` (canonical columns) and derive scores and threshold.
 
     ``options`` are the fields of :class:`Settings`; ``extra`` adds user
-    features, standardised and clustered like the others.
+    features, standardised and clustered like the others, as SQL text or columns.
     """
     settings = Settings(**options)
     settings.check()
@@ -318,4 +325,4 @@ def fit(
         model = facts.join(trained, list(by)).join(scores, list(by))
     else:
         model = facts.crossJoin(F.broadcast(trained)).crossJoin(F.broadcast(scores))
-    return Analysis(settings, names, freeze(model, by, "model"), labelled, rejected)
+    return Analysis(settings, names, freeze(model, by, "model"), labelled, rejected, dict(extra or {}))

@@ -43,9 +43,10 @@ def numbered(df: DataFrame) -> DataFrame:
     """Line position in the capture as ``_line`` (1-based), without a data shuffle.
 
     Row ids grow inside a file split; a table with one row per split turns
-    them into dense positions.
+    them into dense positions.  The lines are stored with their ids first, as
+    another scan could cut the files differently.
     """
-    ids = df.withColumn("_id", F.monotonically_increasing_id())
+    ids = materialize(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     splits = materialize(
         ids.groupBy("capture_id", "_file", "_split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")),
         "splits",

@@ -104,7 +104,7 @@ class LiveScorer:
             if facts is not None and not own.by and by:
                 facts = batch.select(*by).distinct().crossJoin(F.broadcast(facts))
             return feature_frame(
-                batch, profile, facts, by, ("timestamp", *self.keep), seed=seed, forward_only=True
+                batch, profile, facts, by, ("timestamp", *self.keep), own.extra, seed=seed, forward_only=True
             )
 
         value = as_double(F.col("timestamp"), dict(batch.dtypes)["timestamp"])

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from packetweave import fit
+from packetweave import fit, load
 from packetweave.checks.views import spark_packets
 from packetweave.storage import scratch_path
 from packetweave.streaming import LiveScorer, Refitter, packet_stream, running_counts
@@ -75,6 +75,16 @@ def test_the_newest_model_scores(spark, small):
     assert {r[0]: r[1] for r in late} == {k: v for k, v in wanted.items() if k > 301}
 
 
+def test_user_features_travel_with_the_model(spark, small):
+    packets = spark_packets(spark, small).withColumn("length", F.col("length").cast("double"))
+    model = fit(packets, extra={"info_chars": "length(coalesce(info, ''))"}, iterations=1)
+    path = scratch_path(spark, "model")
+    model.save(path)
+    scored = LiveScorer(load(spark, path), scratch_path(spark, "live")).score(packets, 0)
+    columns = ["frame_number", "cluster_id", F.round("anomaly_score", 8)]
+    assert sorted(map(tuple, scored.select(columns).collect())) == sorted(map(tuple, model.scored().select(columns).collect()))
+
+
 def test_refit_rule():
     rule = Refitter("unused")
     assert not rule.due(0, 99)
