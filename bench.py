@@ -12,18 +12,18 @@ import time
 from packetweave import BASIC, EXTENDED, fit
 from packetweave.checks import queries as registry
 from packetweave.checks.views import spark_packets
-from packetweave.plans.analysis import ML
+from packetweave.plans.analysis import LLOYD, ML
 from packetweave.session import local_session
 
 HEADLINE = [
     "features_ext", "features_basic", "features_ext_by_capture", "traffic_summary", "protocol_distribution",
     "flagged_packets", "zscore", "high_anomalies", "analysis_summary", "score_histogram", "feature_importance",
     "anomaly_reasons", "cluster_top3", "cluster_profile", "anomaly_report", "long_packets", "sample_exact",
-    "scan_quoted_csv", "pca_projection", "stream_score", "kmeans_ml", "kmeans_lloyd_by_capture", "pca_loadings_by_capture",
+    "scan_quoted_csv", "pca_projection", "stream_score", "kmeans_ml", "kmeans_lloyd_by_capture", "kmeans_restarts", "pca_loadings_by_capture",
 ]
 FITS = {
-    "extended": {}, "basic": {"profile": BASIC}, "extended_ml": {"profile": EXTENDED, "trainer": ML},
-    "extended_by_capture": {"by": ("capture_id",)},
+    "extended": {}, "extended_by_capture": {"by": ("capture_id",)}, "extended_ml": {"profile": EXTENDED, "trainer": ML},
+    "extended_lloyd": {"trainer": LLOYD}, "basic_lloyd": {"profile": BASIC, "trainer": LLOYD},
 }
 
 

@@ -16,7 +16,7 @@ from packetweave import schema as S
 from packetweave.operators.features import BASIC, EXTENDED
 from packetweave.operators.sampling import sample_exact
 from packetweave.plans import anomalies, clusters, series, traffic
-from packetweave.plans.analysis import LLOYD, ML, Analysis, AnalysisError, fit
+from packetweave.plans.analysis import LLOYD, ML, RESTARTS, Analysis, AnalysisError, fit
 from packetweave.sources import sinks
 from packetweave.sources.packets import SourceError, read_packets
 from packetweave.storage import materialize
@@ -28,7 +28,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     shared = argparse.ArgumentParser(add_help=False)
     shared.add_argument("--clusters", "-c", type=int, default=S.DEFAULT_CLUSTERS)
     shared.add_argument("--threshold", type=float, default=S.DEFAULT_PERCENTILE, help="anomaly percentile")
-    shared.add_argument("--trainer", choices=[ML, LLOYD], help="default: ml, or lloyd with --per-capture")
+    shared.add_argument("--trainer", choices=[RESTARTS, ML, LLOYD], default=RESTARTS)
     shared.add_argument("--mode", choices=["auto", "strict", "tolerant"], default="auto")
 
     extended = commands.add_parser("extended", parents=[shared], help="15 features, scores and summary")
@@ -90,8 +90,7 @@ def _extended(spark: SparkSession, args: argparse.Namespace) -> None:
     # Parsed once; every later pass reads the columns it needs from the stored table.
     packets = materialize(read_packets(spark, args.paths, "extended", args.mode), "parsed")
     by = ("capture_id",) if args.per_capture else ()
-    trainer = args.trainer or (LLOYD if by else ML)
-    analysis = fit(packets, profile=EXTENDED, by=by, k=args.clusters, percentile=args.threshold, trainer=trainer)
+    analysis = fit(packets, profile=EXTENDED, by=by, k=args.clusters, percentile=args.threshold, trainer=args.trainer)
     if args.output and args.format == "json":
         sinks.write_json(analysis, args.output)
     elif args.output:
@@ -111,7 +110,7 @@ def _basic(spark: SparkSession, args: argparse.Namespace) -> None:
         packets = sample_exact(packets, args.sample, ["capture_id", "frame_number"])
     _report("Traffic summary", traffic.traffic_summary(packets), args.output, ["section", "-packets", "item"])
     analysis = fit(
-        packets, profile=BASIC, k=args.clusters, percentile=args.threshold, trainer=args.trainer or ML,
+        packets, profile=BASIC, k=args.clusters, percentile=args.threshold, trainer=args.trainer,
         keep=("src_ip", "dst_ip", "protocol", "info", "packet_length"),
     )
     if args.verbose:

@@ -149,6 +149,50 @@ scored as materialized (
   from near {attach})"""
 
 
+def restarts(features: list[str], captures: bool = False, k: int = CLUSTERS, runs: int = S.DEFAULT_RESTARTS, seed: int = S.DEFAULT_SEED) -> str:
+    """CTE ``near`` after ``z``: drawn starts, runs to convergence, the cheapest run of each scope."""
+    d = range(1, len(features) + 1)
+    keys, zkeys = ("capture_id, ", "z.capture_id, ") if captures else ("", "")
+    join = "z.capture_id = s.capture_id" if captures else "true"
+    point = "[" + ", ".join(f"z{i}" for i in d) + "]"
+    gaps = f"list_transform(s.centres, lambda c: list_distance({point}, c) ** 2)"
+
+    def race(step: int) -> str:
+        digits = f"substr(md5('{seed}:' || run || ':{step}:' || packet_number), 1, 13)"
+        return f"-ln((('0x' || {digits})::UBIGINT::DOUBLE + 1) / {float(1 << 52)!r})"
+
+    rounded = "[" + ", ".join(f"round(z{i}, 9)" for i in d) + "]"
+    drawn = f"""drawn_0 as (
+  select {keys}run, [arg_min({rounded}, {race(0)})] as centres from z, range({runs}) as r(run) group by {keys}run)"""
+    for step in range(1, k):
+        drawn += f""",
+drawn_{step} as (
+  select {zkeys}run, list_append(any_value(centres), arg_min({rounded}, {race(step)} / gap)) as centres
+  from (select z.*, run, centres, list_min({gaps}) as gap from z join drawn_{step - 1} s on {join}) z
+  where gap > 1e-12 group by {zkeys}run)"""
+    mean = "[" + ", ".join(
+        "[" + ", ".join(f"coalesce(round(avg(z{i}) filter (cid = {c}), 9), any_value(centres[{c}][{i}]))" for i in d) + "]"
+        for c in range(1, k + 1)) + "]"
+    moved = " + ".join(f"list_distance(centres[{c}], stepped[{c}]) ** 2" for c in range(1, k + 1))
+    return f""",
+{drawn},
+steps as (
+  select {keys}run, 0 as it, centres, true as moving from drawn_{k - 1}
+  union all
+  select {keys}run, it + 1, stepped, {moved} > 1e-4 from (
+    select {zkeys}run, it, any_value(centres) as centres, {mean} as stepped from (
+      select z.*, run, it, centres, list_position(gaps, list_min(gaps)) as cid from (
+        select z.*, run, it, centres, {gaps} as gaps from z join steps s on {join} and s.moving and s.it < 300) z) z
+    group by {zkeys}run, it)),
+costs as (
+  select {zkeys}run, any_value(centres) as centres, round(sum(list_min({gaps})), 6) as cost
+  from z join (select * from steps where not moving or it = 300) s on {join} group by {zkeys}run),
+chosen as (select {keys}arg_min(centres, (cost, run)) as centres from costs {"group by capture_id" if captures else ""}),
+near as materialized (
+  select {zkeys}packet_number, cast(list_position(gaps, list_min(gaps)) - 1 as int) as cluster_id, sqrt(list_min(gaps)) as distance
+  from (select z.*, {gaps} as gaps from z join chosen s on {join}) z)"""
+
+
 def components(features: list[str], captures: bool = False, steps: int = 3000) -> str:
     """CTE ``axes`` after ``z``: two principal components by power iteration and deflation."""
     d = range(1, len(features) + 1)
@@ -347,6 +391,10 @@ def statements() -> dict[str, str]:
         "kmeans_lloyd": f"""{ea} select packet_number, cluster_id, round(distance, 6) as distance from near""",
         "kmeans_lloyd_by_capture": extended(True) + zscores(EXT, True) + lloyd(EXT, True)
         + " select capture_id, packet_number, cluster_id, round(distance, 6) as distance from near",
+        "kmeans_restarts": ext + zscores(EXT) + restarts(EXT)
+        + " select packet_number, cluster_id, round(distance, 6) as distance from near",
+        "kmeans_restarts_by_capture": extended(True) + zscores(EXT, True) + restarts(EXT, True)
+        + " select capture_id, packet_number, cluster_id, round(distance, 6) as distance from near",
         "kmeans_centres": f"""{ea} select cast(cid as int) as cluster_id, """
         + ", ".join(f"round(c{i}, 6) as {_q(n)}" for i, n in enumerate(EXT, 1)) + f" from centres where it = {ITERATIONS}",
         "centroid_distance": f"""{ea}, c as (select * from centres where it = {ITERATIONS})

@@ -23,7 +23,7 @@ from packetweave.operators.ranking import most_frequent_first, top_n, value_coun
 from packetweave.operators.sampling import sample_exact
 from packetweave.operators.scaling import z_names
 from packetweave.plans import anomalies, clusters, series, traffic
-from packetweave.plans.analysis import ML, Analysis, AnalysisError, Settings, check_counts, fit
+from packetweave.plans.analysis import LLOYD, ML, RESTARTS, Analysis, AnalysisError, Settings, check_counts, fit
 from packetweave.sources import catalog, sinks
 from packetweave.sources import packets as readers
 from packetweave.storage import scratch_path
@@ -47,6 +47,7 @@ def _key(spark: SparkSession, sf_dir: str, profile, captures: bool, options: dic
 
 
 def _fitted(spark: SparkSession, sf_dir: str, profile=EXTENDED, captures: bool = False, **options) -> Analysis:
+    options = {"trainer": LLOYD} | options
     key = _key(spark, sf_dir, profile, captures, options)
     if key not in _fits:
         keep = KEPT if profile is BASIC else ("protocol",)
@@ -281,7 +282,7 @@ def zscore(spark, sf_dir):
 
 
 def kmeans_lloyd(spark, sf_dir):
-    model = fit(spark_packets(spark, sf_dir))
+    model = fit(spark_packets(spark, sf_dir), trainer=LLOYD)
     return model.scored().select("packet_number", "cluster_id", *_r6("distance"))
 
 
@@ -290,6 +291,16 @@ def kmeans_lloyd_by_capture(spark, sf_dir):
     return model.scored().select("capture_id", "packet_number", "cluster_id", *_r6("distance"))
 
 
+def kmeans_restarts(spark, sf_dir):
+    model = _fitted(spark, sf_dir, trainer=RESTARTS)
+    return model.scored().select("packet_number", "cluster_id", *_r6("distance"))
+
+
+def kmeans_restarts_by_capture(spark, sf_dir):
+    model = _fitted(spark, sf_dir, captures=True, trainer=RESTARTS)
+    return model.scored().select("capture_id", "packet_number", "cluster_id", *_r6("distance"))
+
+
 def kmeans_centres(spark, sf_dir):
     centres = _ext(spark, sf_dir).model.select(F.posexplode("centres").alias("cluster_id", "c"))
     return centres.select("cluster_id", *[F.round(F.col("c")[i], 6).alias(n) for i, n in enumerate(S.EXTENDED_FEATURES)])
@@ -311,8 +322,8 @@ def score_stats(spark, sf_dir):
 
 def flagged_packets(spark, sf_dir):
     """The flagship question: which packets stand out, and in which cluster."""
-    model = fit(spark_packets(spark, sf_dir), keep=("protocol",))
-    _fits[_key(spark, sf_dir, EXTENDED, False, {})] = model
+    model = fit(spark_packets(spark, sf_dir), keep=("protocol",), trainer=LLOYD)
+    _fits[_key(spark, sf_dir, EXTENDED, False, {"trainer": LLOYD})] = model
     return model.scored().select("frame_number", "cluster_id", *_r6("anomaly_score"), "is_anomaly")
 
 
@@ -381,7 +392,7 @@ def anomaly_reasons_by_capture(spark, sf_dir):
     """The first capture has 27 protocols, the others one each per packet, so that none is common there."""
     packets = spark_packets(spark, sf_dir, captures=True)
     each = F.when(F.col("capture_id") != "cap0", F.concat(F.lit("E"), F.col("frame_number").cast("string"))).otherwise(F.col("protocol"))
-    model = fit(packets.withColumn("protocol", each), by=CAPTURE, keep=("protocol",))
+    model = fit(packets.withColumn("protocol", each), by=CAPTURE, keep=("protocol",), trainer=LLOYD)
     found = anomalies.anomalous(model)
     return found.select("capture_id", "packet_number", "rare_protocol", "error_flag").filter("rare_protocol or error_flag")
 
@@ -398,7 +409,7 @@ def fit_with_short_captures(spark, sf_dir):
     """Captures of one or two packets are rejected; the rest is fitted."""
     packets = spark_packets(spark, sf_dir, captures=True)
     short = F.when(F.col("frame_number") <= 4, F.concat(F.lit("short"), (F.col("frame_number") % 3).cast("string"))).otherwise(F.col("capture_id"))
-    model = fit(packets.withColumn("capture_id", short), by=CAPTURE)
+    model = fit(packets.withColumn("capture_id", short), by=CAPTURE, trainer=LLOYD)
     fitted = model.cluster_sizes().groupBy("capture_id").agg(F.sum("packets").alias("packets"), F.lit(True).alias("fitted"))
     return fitted.unionByName(model.rejected.select("capture_id", "packets", F.lit(False).alias("fitted")))
 
@@ -406,7 +417,7 @@ def fit_with_short_captures(spark, sf_dir):
 def stream_new_capture(spark, sf_dir):
     """The keyed model knows one capture of three; the others are scored by the pooled model."""
     packets = spark_packets(spark, sf_dir, captures=True)
-    known = fit(packets.filter("capture_id = 'cap0'"), by=CAPTURE)
+    known = fit(packets.filter("capture_id = 'cap0'"), by=CAPTURE, trainer=LLOYD)
     scorer = LiveScorer(known, scratch_path(spark, "live"), fallback=_ext(spark, sf_dir))
     for folder in _in_parts(spark, sf_dir, captures=True, parts=2):
         scorer.start(packet_stream(spark, folder, captures=True), availableNow=True).awaitTermination()
@@ -524,7 +535,7 @@ def stream_delta(spark, sf_dir):
 
 
 def stream_refit(spark, sf_dir):
-    refitter = Refitter(scratch_path(spark, "refit"))
+    refitter = Refitter(scratch_path(spark, "refit"), {"trainer": LLOYD})
     for folder in _in_parts(spark, sf_dir, captures=False, parts=2):
         refitter.start(packet_stream(spark, folder), availableNow=True).awaitTermination()
     return refitter.fits(spark).select("batch_id", "packets_so_far", "total_packets")
@@ -548,7 +559,7 @@ def stream_counts(spark, sf_dir):
 def custom_feature(spark, sf_dir):
     model = fit(
         spark_packets(spark, sf_dir),
-        extra={"info_chars": F.length(F.coalesce("info", F.lit("")))},
+        extra={"info_chars": F.length(F.coalesce("info", F.lit("")))}, trainer=LLOYD,
     )
     place = model.feature_names.index("info_chars") + 1
     scaled = model.scaled(keep=("info_chars",))
@@ -623,6 +634,8 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "zscore": zscore,
         "kmeans_lloyd": kmeans_lloyd,
         "kmeans_lloyd_by_capture": kmeans_lloyd_by_capture,
+        "kmeans_restarts": kmeans_restarts,
+        "kmeans_restarts_by_capture": kmeans_restarts_by_capture,
         "kmeans_centres": kmeans_centres,
         "centroid_distance": centroid_distance,
         "score_minmax": lambda s, d: _scored(s, d).select("packet_number", "anomaly_score"),

@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetweave import schema as S
-from packetweave.operators import kmeans, kmeans_ml
+from packetweave.operators import kmeans, kmeans_ml, restarts
 from packetweave.operators.features import BASIC, EXTENDED, Profile, feature_frame, scope_facts
 from packetweave.operators.quantile import quantile_rows
 from packetweave.operators.sequence import BUCKET_FRAMES, bucket_for
 from packetweave.operators.scaling import Terms, moments, with_z, z_names
 from packetweave.storage import attach, freeze, materialize
 
-LLOYD, ML = "lloyd", "ml"
+RESTARTS, LLOYD, ML = "restarts", "lloyd", "ml"
 
 
 class AnalysisError(ValueError):
@@ -34,7 +34,8 @@ class Settings:
     by: tuple[str, ...] = ()
     k: int = S.DEFAULT_CLUSTERS
     percentile: float = S.DEFAULT_PERCENTILE
-    trainer: str = LLOYD
+    trainer: str = RESTARTS
+    # Of the Lloyd trainer only; the others run to convergence.
     iterations: int = 10
     restarts: int = S.DEFAULT_RESTARTS
     seed: int = S.DEFAULT_SEED
@@ -49,8 +50,12 @@ class Settings:
             raise AnalysisError(f"k must lie in {self.k_range[0]}..{self.k_range[1]}, not {self.k}")
         if not 0 <= self.percentile <= 100:
             raise AnalysisError(f"percentile must lie in 0..100, not {self.percentile}")
+        if self.trainer not in (RESTARTS, LLOYD, ML):
+            raise AnalysisError(f"unknown trainer {self.trainer}")
+        if self.restarts < 1:
+            raise AnalysisError(f"restarts must be positive, not {self.restarts}")
         if self.trainer == ML and self.by:
-            raise AnalysisError("the ML trainer fits one model; use the Lloyd trainer per capture")
+            raise AnalysisError("the ML trainer fits one model; use another trainer per capture")
 
 
 def needed_packets(settings: Settings) -> int:
@@ -314,10 +319,13 @@ def fit(
     stored = materialize(
         feature_frame(packets, settings.profile, facts, by, settings.keep, extra, width), "features"
     )
-    trained = _training_rows(stored, facts, names, settings)
-    if settings.trainer == ML:
-        trained = _ml_rows(stored, trained, names, settings)
+    if settings.trainer == RESTARTS:
+        scale = stored.groupBy(*by).agg(*moments(names))
+        trained = restarts.restarted(stored, names, scale, by, settings.k, settings.restarts, settings.seed)
+    elif settings.trainer == ML:
+        trained = _ml_rows(stored, _training_rows(stored, facts, names, settings), names, settings)
     else:
+        trained = _training_rows(stored, facts, names, settings)
         trained = kmeans.lloyd(stored, names, trained, by, settings.k, settings.iterations)
     labelled = _label(stored, trained, names, settings)
     scores = _score_rows(labelled, settings)

@@ -4,21 +4,21 @@ from pyspark.sql import functions as F
 
 from packetweave import AnalysisError, BASIC, EXTENDED, fit, load
 from packetweave.checks.views import spark_packets
-from packetweave.operators import kmeans
+from packetweave.operators import kmeans, restarts
 from packetweave.operators.scaling import z_names
 from packetweave.plans import anomalies, clusters, series
-from packetweave.plans.analysis import ML
+from packetweave.plans.analysis import LLOYD, ML, RESTARTS
 from packetweave.storage import scratch_path
 
 
 @pytest.fixture(scope="module")
 def single(spark, small):
-    return fit(spark_packets(spark, small), keep=("protocol",))
+    return fit(spark_packets(spark, small), keep=("protocol",), trainer=LLOYD)
 
 
 @pytest.fixture(scope="module")
 def keyed(spark, small):
-    return fit(spark_packets(spark, small, captures=True), by=("capture_id",), iterations=4)
+    return fit(spark_packets(spark, small, captures=True), by=("capture_id",), trainer=LLOYD, iterations=4)
 
 
 def matrix(analysis, extra=()):
@@ -64,7 +64,7 @@ def test_lloyd_equals_brute_force(single):
 
 def test_keyed_fit_equals_one_fit_per_capture(spark, small, keyed):
     packets = spark_packets(spark, small, captures=True)
-    alone = fit(packets.filter("capture_id = 'cap1'"), iterations=4)
+    alone = fit(packets.filter("capture_id = 'cap1'"), trainer=LLOYD, iterations=4)
     expected = alone.scored().select("frame_number", "packet_number", "cluster_id", F.round("anomaly_score", 8), "is_anomaly")
     found = keyed.scored().filter("capture_id = 'cap1'").select(
         "frame_number", "packet_number", "cluster_id", F.round("anomaly_score", 8), "is_anomaly"
@@ -85,6 +85,27 @@ def test_many_captures_path_gives_the_same_centres(spark, keyed):
         assert np.allclose(left[name], right[name], atol=1e-8)
 
 
+def test_restarts_of_many_captures_give_the_same_centres(keyed):
+    scale = keyed.model.select("capture_id", "means", "scales")
+    few, many = (
+        restarts.restarted(keyed.packets, keyed.feature_names, scale, ("capture_id",), 3, 2, 42, limit=limit, steps=3) for limit in (None, 0))
+    left = {r["capture_id"]: np.array(r["centres"]) for r in few.collect()}
+    right = {r["capture_id"]: np.array(r["centres"]) for r in many.collect()}
+    assert left.keys() == right.keys() and len(left) == 3
+    for name in left:
+        assert np.allclose(left[name], right[name], atol=1e-8)
+
+
+def test_restarts_find_separate_groups(spark):
+    """Three far groups of lengths: every packet ends with those of its own group."""
+    rows = [(i + 1, 0.0, "a", "b", "TCP", float((1, 500, 2000)[i % 3] + i % 2), "x") for i in range(60)]
+    df = spark.createDataFrame(
+        rows, "frame_number long, timestamp double, src_ip string, dst_ip string, protocol string, length double, info string")
+    found = fit(df, k=3, restarts=3).scored().select("packet_number", "cluster_id").collect()
+    assert len({((r["packet_number"] - 1) % 3, r["cluster_id"]) for r in found}) == 3
+    assert len({r["cluster_id"] for r in found}) == 3
+
+
 def test_saved_model_scores_the_same(spark, single):
     path = scratch_path(spark, "saved")
     single.save(path)
@@ -104,7 +125,7 @@ def test_ml_restarts(spark, small):
     for r in near:
         assert r["distance"] == pytest.approx(min(r[f"distance_{i}"] for i in range(4)))
     ml_cost = sum(r["distance"] ** 2 for r in rows)
-    plain = fit(packets, profile=BASIC, k=4)
+    plain = fit(packets, profile=BASIC, k=4, trainer=LLOYD)
     assert ml_cost <= sum(r["distance"] ** 2 for r in plain.scored().collect()) * 1.05
 
 
@@ -113,7 +134,7 @@ def test_identical_packets_have_no_anomalies(spark):
     df = spark.createDataFrame(
         rows, "frame_number long, timestamp double, src_ip string, dst_ip string, protocol string, length double, info string"
     )
-    for options in ({}, {"trainer": ML, "restarts": 1}):
+    for options in ({"trainer": LLOYD}, {"trainer": ML, "restarts": 1}, {"trainer": RESTARTS, "restarts": 2}):
         model = fit(df, k=3, **options)
         assert model.scored().filter("is_anomaly").count() == 0
         summary = model.summary().first()
@@ -159,13 +180,13 @@ def test_guards(spark, small):
 
 
 def test_threshold_is_a_parameter(spark, small):
-    model = fit(spark_packets(spark, small), percentile=50, iterations=1)
+    model = fit(spark_packets(spark, small), percentile=50, trainer=LLOYD, iterations=1)
     assert model.scored().filter("is_anomaly").count() == pytest.approx(500, abs=5)
 
 
 def test_reports_cover_all_packets(spark, small):
     model = fit(
-        spark_packets(spark, small), profile=BASIC, iterations=2,
+        spark_packets(spark, small), profile=BASIC, trainer=LLOYD, iterations=2,
         keep=("src_ip", "dst_ip", "protocol", "info", "packet_length"),
     )
     profile = clusters.cluster_profile(model, "packet_length").collect()
@@ -178,7 +199,7 @@ def test_reports_cover_all_packets(spark, small):
 
 
 def test_results_do_not_depend_on_partitioning(spark, small, single):
-    shuffled = fit(spark_packets(spark, small).repartition(13))
+    shuffled = fit(spark_packets(spark, small).repartition(13), trainer=LLOYD)
     left = single.scored().select("packet_number", "cluster_id", F.round("anomaly_score", 7)).collect()
     right = shuffled.scored().select("packet_number", "cluster_id", F.round("anomaly_score", 7)).collect()
     assert sorted(map(tuple, left)) == sorted(map(tuple, right))
@@ -187,7 +208,7 @@ def test_results_do_not_depend_on_partitioning(spark, small, single):
 def test_short_captures_are_rejected_and_the_rest_is_fitted(spark, small):
     packets = spark_packets(spark, small, captures=True)
     short = F.when(F.col("frame_number") == 7, F.lit("tiny")).otherwise(F.col("capture_id"))
-    model = fit(packets.withColumn("capture_id", short), by=("capture_id",), iterations=1)
+    model = fit(packets.withColumn("capture_id", short), by=("capture_id",), trainer=LLOYD, iterations=1)
     assert [tuple(r) for r in model.rejected.collect()] == [("tiny", 1, 5)]
     assert model.scored().count() == 999 and model.model.count() == 3
     with pytest.raises(AnalysisError):
@@ -196,13 +217,13 @@ def test_short_captures_are_rejected_and_the_rest_is_fitted(spark, small):
 
 def test_no_reason_is_lost_where_no_protocol_is_common(spark, small):
     packets = spark_packets(spark, small, captures=True).withColumn("protocol", F.concat(F.lit("P"), F.col("frame_number").cast("string")))
-    model = fit(packets, by=("capture_id",), keep=("protocol",), iterations=1)
+    model = fit(packets, by=("capture_id",), keep=("protocol",), trainer=LLOYD, iterations=1)
     assert anomalies.anomalous(model).count() == packets.count()
 
 
 def test_components_per_capture_are_those_of_each_alone(spark, small, keyed):
     found = series.components(keyed)
-    alone = fit(spark_packets(spark, small, captures=True).filter("capture_id = 'cap1'").drop("capture_id"), iterations=4)
+    alone = fit(spark_packets(spark, small, captures=True).filter("capture_id = 'cap1'").drop("capture_id"), trainer=LLOYD, iterations=4)
     single = series.components(alone)
     row = found.rows.filter("capture_id = 'cap1'").first()
     assert np.allclose(row["loadings"], single.loadings, atol=1e-9) and np.allclose(row["ratios"], single.ratios, atol=1e-9)

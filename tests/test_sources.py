@@ -158,7 +158,7 @@ def test_catalogue(spark, tmp_path):
 
 
 def test_result_documents(spark, small, tmp_path):
-    model = fit(spark_packets(spark, small), iterations=2)
+    model = fit(spark_packets(spark, small), trainer="lloyd", iterations=2)
     sinks.write_json(model, str(tmp_path / "json"))
     back = sinks.read_results(spark, str(tmp_path / "json"))
     assert back.count() == 1000 and sinks.score_cutoff(back, 0.5).filter("anomaly_score <= 0.5").isEmpty()

@@ -15,7 +15,7 @@ def arrive(packets, folder, low, high):
 
 def test_stream_equals_batch(spark, small):
     packets = spark_packets(spark, small, captures=True)
-    model = fit(packets, by=BY, iterations=2)
+    model = fit(packets, by=BY, trainer="lloyd", iterations=2)
     scorer = LiveScorer(model, scratch_path(spark, "live"))
     folder = scratch_path(spark, "arrivals")
     for low, high in ((0, 1), (1, 400), (400, 1000)):
@@ -28,7 +28,7 @@ def test_stream_equals_batch(spark, small):
 
 def test_late_packets_get_no_negative_delta(spark, small):
     packets = spark_packets(spark, small)
-    scorer = LiveScorer(fit(packets, iterations=1), scratch_path(spark, "live"))
+    scorer = LiveScorer(fit(packets, trainer="lloyd", iterations=1), scratch_path(spark, "live"))
     folder = scratch_path(spark, "arrivals")
     for low, high in ((500, 1000), (0, 500)):
         arrive(packets, folder, low, high)
@@ -41,7 +41,7 @@ def test_late_packets_get_no_negative_delta(spark, small):
 
 def test_a_repeated_batch_overwrites_its_output(spark, small):
     packets = spark_packets(spark, small).withColumn("length", F.col("length").cast("double"))
-    scorer = LiveScorer(fit(packets, iterations=1), scratch_path(spark, "live"))
+    scorer = LiveScorer(fit(packets, trainer="lloyd", iterations=1), scratch_path(spark, "live"))
     first, second = packets.filter("frame_number <= 300"), packets.filter("frame_number > 300")
     for batch, number in ((first, 0), (second, 1), (second, 1)):
         scorer._write(batch, number)
@@ -51,7 +51,7 @@ def test_a_repeated_batch_overwrites_its_output(spark, small):
 
 def test_new_captures_are_scored_by_the_pooled_model(spark, small):
     packets = spark_packets(spark, small, captures=True).withColumn("length", F.col("length").cast("double"))
-    own, pooled = fit(packets.filter("capture_id = 'cap0'"), by=BY, iterations=1), fit(packets.drop("capture_id"), iterations=1)
+    own, pooled = fit(packets.filter("capture_id = 'cap0'"), by=BY, trainer="lloyd", iterations=1), fit(packets.drop("capture_id"), trainer="lloyd", iterations=1)
     alone = LiveScorer(own, scratch_path(spark, "live")).score(packets, 0)
     assert alone.filter("model is null").count() == alone.filter("capture_id <> 'cap0'").count() > 0
     scored = LiveScorer(own, scratch_path(spark, "live"), fallback=pooled).score(packets, 0)
@@ -61,23 +61,23 @@ def test_new_captures_are_scored_by_the_pooled_model(spark, small):
 
 def test_the_newest_model_scores(spark, small):
     packets = spark_packets(spark, small).withColumn("length", F.col("length").cast("double"))
-    refitter = Refitter(scratch_path(spark, "refit"), {"iterations": 1, "k": 3})
+    refitter = Refitter(scratch_path(spark, "refit"), {"trainer": "lloyd", "iterations": 1, "k": 3})
     assert refitter.newest(spark) is None
     first, second = packets.filter("frame_number <= 300"), packets.filter("frame_number > 300")
-    scorer = LiveScorer(fit(first, iterations=1), scratch_path(spark, "live"), refitter=refitter)
+    scorer = LiveScorer(fit(first, trainer="lloyd", iterations=1), scratch_path(spark, "live"), refitter=refitter)
     scorer._write(first, 0)
     refitter._batch(packets, 0)
     scorer._write(second, 1)
     found = scorer.results(spark)
     assert found.filter("frame_number <= 300 and cluster_id > 2").count() > 0
-    wanted = {r["frame_number"]: r["cluster_id"] for r in fit(packets, iterations=1, k=3).scored().collect()}
+    wanted = {r["frame_number"]: r["cluster_id"] for r in fit(packets, trainer="lloyd", iterations=1, k=3).scored().collect()}
     late = found.filter("frame_number > 301").select("frame_number", "cluster_id").collect()
     assert {r[0]: r[1] for r in late} == {k: v for k, v in wanted.items() if k > 301}
 
 
 def test_user_features_travel_with_the_model(spark, small):
     packets = spark_packets(spark, small).withColumn("length", F.col("length").cast("double"))
-    model = fit(packets, extra={"info_chars": "length(coalesce(info, ''))"}, iterations=1)
+    model = fit(packets, extra={"info_chars": "length(coalesce(info, ''))"}, trainer="lloyd", iterations=1)
     path = scratch_path(spark, "model")
     model.save(path)
     scored = LiveScorer(load(spark, path), scratch_path(spark, "live")).score(packets, 0)
@@ -96,7 +96,7 @@ def test_refit_rule():
 
 def test_refits_follow_the_packet_count(spark, small):
     packets = spark_packets(spark, small)
-    refitter = Refitter(scratch_path(spark, "refit"), {"iterations": 1, "k": 3})
+    refitter = Refitter(scratch_path(spark, "refit"), {"trainer": "lloyd", "iterations": 1, "k": 3})
     folder = scratch_path(spark, "arrivals")
     for low, high in ((0, 60), (60, 200), (200, 450), (450, 700)):
         arrive(packets, folder, low, high)
