@@ -7,11 +7,7 @@ once: with the triples of each half of the positions, any 5 shared bytes contain
 a posted triple.  In each posting, pairs are tallied for shared positional bytes,
 those with the guaranteed minimum are kept, and their bits are compared.
 
-Fingerprints are big-endian bytes; one of several words of 64 bits serves a
-looser threshold.  ``WIDE`` does so for near copies at a similarity of about 0.8 on five-word
-shingles: 256 bits, of which such texts differ in 39 on average.  No number of shared
-bytes is guaranteed there; 96 seeded triples of the 32 positions, with at most 42 differing bits, put two thirds of
-the pairs at 0.80-0.85 into one group, nine in ten at 0.85-0.90 and all from 0.90, as measured.
+Fingerprints are big-endian bytes.  Whole near copies at a lower similarity are ``shingles``' work.
 
 Equal fingerprints meet once, as one class.  A posting of more than ``TILE`` fingerprints is
 dealt out as pairs of tiles, and each task returns a spanning forest of the
@@ -24,7 +20,6 @@ empty table gives no rows.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -36,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetweave.llm.components import components
-from packetweave.llm.rows import row_key, unused
+from packetweave.llm.shingles import one_of_each  # noqa: F401
 from packetweave.storage import materialize
 
 # Fixed values of the narrow fingerprint.
@@ -62,8 +57,6 @@ class Design:
 
 
 NARROW = Design(SHINGLE, 1, BITS, (*combinations(range(4), 3), *combinations(range(4, 8), 3)))
-_draw = random.Random(SEED)
-WIDE = Design(5, 4, 42, tuple(tuple(sorted(_draw.sample(range(32), 3))) for _ in range(96)))
 
 
 def _further(hashes: np.ndarray, word: int) -> np.ndarray:
@@ -196,18 +189,3 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     # All are written, so that a component or fingerprint with many members can be split in the joins.
     named = materialize(placed.join(smallest, "component").select("fp", "component_id"), "fingerprint-components")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_of_each(docs: DataFrame, design: Design = WIDE) -> DataFrame:
-    """One row of each group of near copies: that with the smallest id, nulls last.
-
-    Texts without words are copies of each other.  Of rows equal in id and text one stays.
-    """
-    key = unused(docs.columns, "row_key")
-    # Copies of a row meet before the shuffle, so that many of them don't gather in one task.
-    rows = docs.withColumn(key, row_key("doc_id", "text")).dropDuplicates([key])
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("key"))
-    named = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key")).select(order.alias("doc_id"), "text")
-    found = near_duplicates(named, "doc_id", "text", design)
-    kept = materialize(found.select(F.col("component_id.key").alias(key)).distinct(), "near-copies-kept")
-    return rows.join(kept, key, "left_semi").select(*docs.columns)

@@ -247,6 +247,61 @@ def test_near_copies_at_a_similarity_of_point_eight(spark):
     assert sorted(map(str, kept)) == sorted(map(str, [*range(40), None, 300]))
 
 
+def five_word_sets(rows):
+    """Shingle sets by row, in plain Python."""
+    found = []
+    for _, text in rows:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+        size = min(5, len(words))
+        found.append(frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) if words else frozenset())
+    return found
+
+
+def exact_survivors(rows):
+    sets = five_word_sets(rows)
+    near = lambda a, b: a == b or (len(a & b) * 5 >= 4 * len(a | b) and bool(a & b))
+    groups = grouped(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if near(sets[i], sets[j])])
+    best = {}
+    for i, (key, _) in enumerate(rows):
+        order = (key is None, key or 0)
+        best[groups[i]] = min(best.get(groups[i], (order, key)), (order, key))
+    return sorted(str(key) for _, key in best.values())
+
+
+def around_point_eight():
+    """Pairs with exactly a given number of the 300 shingles replaced: 33 makes 267/333 = 0.802, 34 makes 266/334 = 0.796."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for n in range(60):
+        words = [f"w{n}x{x}" for x in rng.integers(0, 100000, 304)]
+        changed = list(words)
+        gone = 33 if n % 2 else 34
+        changed[:gone] = [f"c{n}x{i}" for i in range(gone)]
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(changed))]
+    return rows
+
+
+@pytest.mark.parametrize("tile", [256, 3])
+def test_near_copies_just_above_and_below_point_eight(spark, monkeypatch, tile):
+    from packetweave.llm import shingles
+
+    monkeypatch.setattr(shingles, "TILE", tile)
+    rows = around_point_eight()
+    # A chain of texts, each near its neighbours only, and one large group.
+    words = [f"chain{i}" for i in range(400)]
+    rows += [(500 + i, " ".join(words[20 * i : 20 * i + 204])) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(str(r.doc_id) for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    assert kept == exact_survivors(rows)
+    assert {2 * n + 1 for n in range(60)} & {int(k) for k in kept} == {2 * n + 1 for n in range(0, 60, 2)}
+
+
+def test_near_copies_of_the_given_table_by_brute_force(spark, small):
+    rows = [(r.doc_id, r.text) for r in documents(spark, small).select("doc_id", "text").collect()]
+    kept = sorted(str(r.doc_id) for r in corpus_pipeline.near_copies(spark, documents(spark, small), small).collect())
+    assert kept == exact_survivors(rows)
+
+
 # Repeated substrings
 
 
