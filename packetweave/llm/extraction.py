@@ -20,6 +20,7 @@ import html as references
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -51,9 +52,12 @@ CLOSES = {
 SCOPES = frozenset("html body article main section div aside nav ul ol dl table blockquote form footer header td th li fieldset figure".split())
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|[^<]+|<""", re.DOTALL)
-NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=[\s/]|$)|hidden\s*=|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.IGNORECASE)
-PART = re.compile(r"[a-z]+")
+PART = re.compile(r"[-_]+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Elements about the article, which may hold articles of their own; the only ids that count within main.
+ABOUT = frozenset("comment comments disqus recommended related reply respond".split())
 # A subtree is template on at least so many bodies, and at least this share of the host's bodies.
 LEAST_BODIES, LEAST_SHARE = 5, 0.1
 
@@ -66,6 +70,8 @@ class Element:
     parts: list[bytes] = field(default_factory=list)
     last: int = 0
     digest: int = 0
+    named: frozenset[str] = frozenset()
+    holds: bool = False
 
 
 @dataclass
@@ -76,9 +82,29 @@ class Page:
     elements: list[Element] = field(default_factory=list)
 
 
+def boilerplate(tag: str, names: list[tuple[str, str]], within: frozenset[str]) -> frozenset[str]:
+    """Names that mark an element: whole class names, ids and roles of which every part is in ``NAMED``.
+
+    Headings and inline elements have none, and an id in an article is an anchor of its text.
+    """
+    if tag in INLINE or tag in HEADINGS:
+        return frozenset()
+    found = set()
+    for kind, value in names:
+        parts = [set(filter(None, PART.split(name))) for name in value.split()]
+        own = {p for some in parts if some and some <= NAMED for p in some}
+        if kind == "id" and "article" in within:
+            own = set()
+        elif kind == "id" and "main" in within:
+            own &= ABOUT
+        found |= own
+    return frozenset(found)
+
+
 class _Builder:
     def __init__(self) -> None:
         self.page, self.open, self.run, self.skip = Page(), [Element("", False, 0)], [], 0
+        self.within = {"article": 0, "main": 0}
 
     def flush(self) -> None:
         if self.run:
@@ -101,11 +127,15 @@ class _Builder:
         if tag in VOID:
             self.open[-1].parts.append(tag.encode())
             return
-        names = "".join(f"{a}{b}{c} " for a, b, c in NAMES.findall(attributes)).lower() if attributes else ""
-        named = NAMED.intersection(PART.findall(names))
-        dropped = tag in DROPPED or (bool(named) and (tag not in NEVER or (tag == "article" and bool(named & {"comment", "comments", "reply"}))))
+        given = [(kind.lower(), f"{a}{b}{c}".lower()) for kind, a, b, c in NAMES.findall(attributes)] if attributes else []
+        names = "".join(f"{value} " for _, value in given)
+        named = boilerplate(tag, given, frozenset(t for t, n in self.within.items() if n)) if given else frozenset()
+        dropped = tag in DROPPED or (tag == "article" and bool(named & {"comment", "comments", "reply"}))
         dropped = dropped or (tag not in NEVER and bool(attributes) and HIDDEN.search(attributes) is not None)
         element = Element(tag, dropped, len(self.page.blocks))
+        element.named = named if tag not in NEVER else frozenset()
+        if tag in self.within:
+            self.within[tag] += 1
         element.parts.append(f"{tag} {names}".encode("utf-8", "surrogatepass"))
         self.open.append(element)
         self.skip += dropped
@@ -136,6 +166,9 @@ class _Builder:
             element.digest = xxhash.xxh3_64_intdigest(b"\0".join(element.parts)) - (1 << 63)
             element.parts = []
             self.skip -= element.dropped
+            if element.tag in self.within:
+                self.within[element.tag] -= 1
+            self.open[-1].holds |= element.holds or (element.tag in self.within and not element.dropped and element.last > element.first)
             self.open[-1].parts.append(element.digest.to_bytes(8, "big", signed=True))
             if element.tag not in INLINE:
                 self.page.elements.append(element)
@@ -168,10 +201,33 @@ def parse(html: str) -> Page:
     return builder.page
 
 
-def main_ranges(page: Page) -> list[tuple[int, int]]:
-    """Block ranges of the outermost articles, else of main, else everything."""
+def kept_blocks(page: Page) -> bytearray:
+    """1 for each block outside the elements that their names mark as boilerplate.
+
+    What holds an article or main is kept, unless it is about the article and another stands outside.  On a page
+    without either, an element with at least half of the text is kept.
+    """
+    keep = bytearray(b"\1" * len(page.blocks))
+    held = [e for e in page.elements if e.tag in ("article", "main") and not e.dropped and e.last > e.first]
+    first, last = min((e.first for e in held), default=0), max((e.last for e in held), default=0)
+    chars = [0, *accumulate(map(len, page.blocks))]
+    for e in page.elements:
+        if not e.named or e.last == e.first:
+            continue
+        if e.holds:
+            gone = e.named <= ABOUT and (first < e.first or last > e.last)
+        else:
+            gone = bool(held) or 2 * (chars[e.last] - chars[e.first]) < chars[-1]
+        if gone:
+            keep[e.first : e.last] = bytes(e.last - e.first)
+    return keep
+
+
+def main_ranges(page: Page, kept: bytearray) -> list[tuple[int, int]]:
+    """Block ranges of the outermost articles with text, else of main, else everything."""
+    before = [0, *accumulate(kept)]
     for tag in ("article", "main"):
-        found = sorted((e.first, e.last) for e in page.elements if e.tag == tag and not e.dropped and e.last > e.first)
+        found = sorted((e.first, e.last) for e in page.elements if e.tag == tag and not e.dropped and before[e.last] > before[e.first])
         outer = []
         for first, last in found:
             if outer and first < outer[-1][1]:
@@ -184,9 +240,10 @@ def main_ranges(page: Page) -> list[tuple[int, int]]:
 
 
 def main_text(page: Page, templates: frozenset[int] = frozenset()) -> str:
+    named = kept_blocks(page)
     keep = bytearray(len(page.blocks))
-    for first, last in main_ranges(page):
-        keep[first:last] = b"\1" * (last - first)
+    for first, last in main_ranges(page, named):
+        keep[first:last] = named[first:last]
     for e in page.elements:
         if e.digest in templates and e.tag in CONTAINERS:
             keep[e.first : e.last] = bytes(e.last - e.first)

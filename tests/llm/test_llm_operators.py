@@ -377,6 +377,17 @@ def test_site_templates(spark):
     assert found == {i: f"Text {i}" for i in range(8)} | {i: f"Subscribe to us\n\nText {i}" for i in (8, 9)} | {10: ""} | dict.fromkeys(range(20, 40), "An article that many pages carry")
 
 
+def test_names_drop_whole_names_only():
+    text = lambda page: extraction.main_text(extraction.parse(page))
+    wrapped = "<div class='content-sidebar-wrap'><div class='page has-sidebar'><article class='post has-comments'>{}</article></div></div>"
+    inner = "<h2 id='search'>Head</h2><section id='related-work'><p>One</p></section><section id=related><p>Two</p></section>"
+    assert text(wrapped.format(inner)) == "Head\n\nOne\n\nTwo"
+    assert text(wrapped.format("<pre>x <span class='hljs-comment'># y</span></pre><div class='cookie-notice'>no</div><div class=ad>no</div>")) == "x # y"
+    assert text("<div class='widget'><article><p>Kept</p></article></div><div class='sidebar'>no</div>") == "Kept"
+    assert text("<div class='widget'><p>Most of the text</p></div><p>rest</p><div class=ad>no</div>") == "Most of the text\n\nrest"
+    assert text("<main><article>A</article><div class=related><article>no</article></div></main>") == "A"
+
+
 # Secrets
 
 
