@@ -1,8 +1,8 @@
 """Main text of pages, with site templates found by counting element subtrees.
 
 Each task parses its pages once and emits a hash per container subtree.  Spark
-counts, per host, the different page bodies that hold each hash; subtrees on many of
-them are the site's template.  A second parse deletes those, together with elements
+counts, per host and per section of it (the first directory of the path), the different page bodies
+that hold each hash; subtrees on many of either are the site's template.  A second parse deletes those, together with elements
 that the markup itself names as menu, footer, advert and the like, and joins the blocks of
 the article that remain.
 
@@ -58,7 +58,7 @@ PART = re.compile(r"[-_]+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements about the article, which may hold articles of their own; the only ids that count within main.
 ABOUT = frozenset("comment comments disqus recommended related reply respond".split())
-# A subtree is template on at least so many bodies, and at least this share of the host's bodies.
+# A subtree is template on at least so many bodies, and at least this share of the bodies of the host or of a section of it.
 LEAST_BODIES, LEAST_SHARE = 5, 0.1
 
 
@@ -254,32 +254,48 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
 
+def section_of(url):
+    """The first directory of the path, empty for pages in the root."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+/([^/?#]+)/", 1)
+
+
 def subtree_hashes(pages: DataFrame) -> DataFrame:
-    """(host, body, subtree) per container subtree; body is a hash of the main text."""
+    """(host, section, body, subtree) per container subtree; body is a hash of the main text."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, bodies, subtrees = [], [], []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            hosts, sections, bodies, subtrees = [], [], [], []
+            for host, section, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 page = parse(html.as_py() or "")
                 body = xxhash.xxh3_64_intdigest(main_text(page).encode("utf-8", "surrogatepass")) - (1 << 63)
                 # Zero stands for the page itself, so that bodies are counted the same way.
                 own = {e.digest for e in page.elements if e.tag in CONTAINERS} | {0}
                 hosts += [host] * len(own)
+                sections += [section] * len(own)
                 bodies += [body] * len(own)
                 subtrees += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(subtrees, pa.int64())], names=["host", "body", "subtree"])
+            columns = [pa.array(hosts, pa.string()), pa.array(sections, pa.string()), pa.array(bodies, pa.int64()), pa.array(subtrees, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "section", "body", "subtree"])
 
-    return pages.select(host_of(F.col("url")).alias("host"), "html").filter("host <> ''").mapInArrow(emit, "host string, body long, subtree long")
+    rows = pages.select(host_of(F.col("url")).alias("host"), section_of(F.col("url")).alias("section"), "html").filter("host <> ''")
+    return rows.mapInArrow(emit, "host string, section string, body long, subtree long")
 
 
 def site_templates(pages: DataFrame, least_bodies: int = LEAST_BODIES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, templates): hashes that recur; at most 1 / share times the containers of a page on average."""
-    counts = materialize(subtree_hashes(pages).distinct().groupBy("host", "subtree").count(), "subtree-counts")
-    bodies = counts.filter("subtree = 0").select("host", F.col("count").alias("bodies"))
+    """(host, section, templates): hashes that recur on the section, or with a null section on the whole host.
+
+    At most 1 / share times the containers of a page on average.
+    """
+    # A null section stands for the whole host, where copies of a body in several sections count once.
+    scopes = F.explode(F.array(F.col("section"), F.lit(None).cast("string")))
+    rows = subtree_hashes(pages).select("host", scopes.alias("section"), "body", "subtree").distinct()
+    counts = materialize(rows.groupBy("host", "section", "subtree").count(), "subtree-counts")
+    bodies = counts.filter("subtree = 0").select("host", F.col("section").alias("of"), F.col("count").alias("bodies"))
     many = (F.col("count") >= least_bodies) & (F.col("count") >= F.col("bodies") * least_share)
-    recurring = counts.filter(f"subtree <> 0 and count >= {least_bodies}").join(bodies, "host").filter(many)
-    return recurring.groupBy("host").agg(F.collect_list("subtree").alias("templates"))
+    bodies = bodies.withColumnRenamed("host", "on")
+    same = (F.col("host") == F.col("on")) & F.col("section").eqNullSafe(F.col("of"))
+    recurring = counts.filter(f"subtree <> 0 and count >= {least_bodies}").join(bodies, same).filter(many)
+    return recurring.groupBy("host", "section").agg(F.collect_list("subtree").alias("templates"))
 
 
 def extract(pages: DataFrame, **limits) -> DataFrame:
@@ -295,7 +311,13 @@ def extract(pages: DataFrame, **limits) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(templates, "host", "left")
+    whole = templates.filter("section is null").select("host", F.col("templates").alias("whole"))
+    parts = templates.filter("section is not null").select("host", "section", F.col("templates").alias("part"))
+    none = F.array().cast("array<bigint>")
+    rows = (
+        pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), section_of(F.col("url")).alias("section"))
+        .join(whole, "host", "left").join(parts, ["host", "section"], "left")
+        .withColumn("templates", F.concat(F.coalesce("whole", none), F.coalesce("part", none))))
     kinds = dict(rows.dtypes)
     return rows.select("page_id", "url", "html", "templates").mapInArrow(
         texts, f"page_id {kinds['page_id']}, url string, text string, n_chars long")

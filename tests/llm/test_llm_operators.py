@@ -388,6 +388,13 @@ def test_names_drop_whole_names_only():
     assert text("<main><article>A</article><div class=related><article>no</article></div></main>") == "A"
 
 
+def test_a_large_host_of_many_sections(spark):
+    page = lambda section, i: f"<body><div><p>Menu of {section}</p></div><div><p>Text {section} {i}</p></div></body>"
+    rows = [(100 * n + i, f"http://a.example/s{n}/{i}", page(n, i)) for n in range(20) for i in range(6)]
+    found = {r.page_id: r.text for r in extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {100 * n + i: f"Text {n} {i}" for n in range(20) for i in range(6)}
+
+
 # Secrets
 
 
