@@ -1,13 +1,14 @@
-"""Every registered query against its SQL counterpart on the smallest tables."""
+"""Every query of the library against its SQL counterpart on the smallest tables; `tests/llm` covers those of `llm`."""
 
 import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from packetweave.checks import oracle, queries
 
 TABLES = ["events"]
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = queries.registered(), oracle.statements()
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +21,8 @@ def duck(small):
 
 def test_every_statement_has_a_query():
     assert set(SQL) <= set(QUERIES)
+    known = driver.queries()
+    assert set(driver.oracle_sql()) <= set(known) and all(known[name] is QUERIES[name] for name in QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
