@@ -157,6 +157,47 @@ select page_id, strlen(payload) as payload_bytes,
   case when page_id is distinct from first then first end as refers_to
 from rows join firsts using (payload)"""
 
+_MEASURES = {"word_length": (1024, True), "symbol_share": (64, False), "line_share": (341, False), "repeat_share": (256, False)}
+
+
+def _fence_rows(name: str, sketch: str, by: str) -> str:
+    """Quartile buckets of each group turned into (by, m, low, high)."""
+    spread = " ".join(f"when '{m}' then {least}" for m, (least, _) in _MEASURES.items())
+    return f"""
+{name}_cum as (select *, sum(n) over (partition by {by}, m order by b) as upto, sum(n) over (partition by {by}, m) as every from {sketch}),
+{name}_quart as (select {by}, m, min(b) filter (where 4 * upto >= every) as q1, min(b) filter (where 4 * upto >= 3 * every) as q3 from {name}_cum group by {by}, m),
+{name}_ends as (select *, case when q1 < 64 then q1 else (q1 - 32 * (q1 // 32 - 1)) << (q1 // 32 - 1) end as lowest,
+    case when q3 < 64 then q3 else ((q3 - 32 * (q3 // 32 - 1) + 1) << (q3 // 32 - 1)) - 1 end as highest from {name}_quart),
+{name} as (select {by}, m, case when m = 'word_length' then lowest - reach end as low, highest + reach as high
+  from (select *, 6 * greatest(highest - lowest, case m {spread} end) as reach from {name}_ends))"""
+
+
+OP11 = f"""
+with texts as (select row_number() over () as k, doc_id, lang, source, coalesce(text, '') as t from documents),
+parts as (select *, regexp_extract_all(t, '{WORDS}') as w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls from texts),
+wins as (select k, i, count(*) over (partition by k, a, b, c) as times from (
+  select k, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from (select k, w, unnest(range(1, len(w) - 1)) as i from parts))),
+reps as (select k, count(distinct p) as n_repeat_words from (select k, unnest([i, i + 1, i + 2]) as p from wins where times > 1) group by k),
+counts as (select k, doc_id, lang, source, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT as word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT as n_symbols, len(ls) as n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT as n_dup_lines,
+    coalesce(n_repeat_words, 0) as n_repeat_words from parts left join reps using (k)),
+rows as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+    case when n_words > 0 then word_chars * 4096 // n_words else 0 end as word_length, case when n_words > 0 then n_symbols * 4096 // n_words else 0 end as symbol_share,
+    case when n_lines > 0 then n_dup_lines * 4096 // n_lines else 0 end as line_share, case when n_words > 0 then n_repeat_words * 4096 // n_words else 0 end as repeat_share from counts),
+long as ({" union all ".join(f"select k, lang, source, base_failed, '{m}' as m, {m} as v from rows" for m in _MEASURES)}),
+shifted as (select *, greatest(length(bin(v)) - 6, 0) as s from long),
+sketch as (select lang, source, m, s * 32 + (v >> s) as b, count(*) as n from shifted where not base_failed group by all),
+by_lang as (select lang, m, b, sum(n)::BIGINT as n from sketch group by all),
+{_fence_rows("own", "sketch", "lang, source")},
+{_fence_rows("wide", "by_lang", "lang")},
+limits as (select own.lang, own.source, own.m, least(own.low, wide.low) as low, greatest(own.high, wide.high) as high
+  from own join wide on own.lang is not distinct from wide.lang and own.m = wide.m),
+verdict as (select k, bool_and(coalesce(v >= low, true) and v <= high) as good from long join limits on long.lang is not distinct from limits.lang
+  and long.source is not distinct from limits.source and long.m = limits.m group by k)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(good, true) as kept
+from rows left join verdict using (k)"""
+
 
 def statements() -> dict[str, str]:
-    return {"op2_mix": OP2, "op3_topk": OP3, "op4_decontamination": OP4, "op8_secrets": OP8, "op9_warc": OP9, "op10_pii": OP10}
+    return {"op2_mix": OP2, "op3_topk": OP3, "op4_decontamination": OP4, "op8_secrets": OP8, "op9_warc": OP9, "op10_pii": OP10,
+            "op11_quality": OP11}

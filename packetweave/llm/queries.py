@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetweave.llm import decontamination, extraction, langid, mixing, pii, secrets, simhash, suffix_dedup, topk, warc
+from packetweave.llm import decontamination, extraction, langid, mixing, pii, quality, secrets, simhash, suffix_dedup, topk, warc
 from packetweave.llm.spans import labels
 from packetweave.storage import scratch_path
 
@@ -81,6 +81,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(labels(base), 256).alias("base_sha256"), labels(F.col("pii")).alias("spans"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = quality.quality(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_language": op1_language, "op2_mix": op2_mix, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_simhash": op5_simhash, "op6_repeats": op6_repeats, "op7_text": op7_text, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_pii": op10_pii,
+            "op11_quality": op11_quality,
             "page_language": page_language}
