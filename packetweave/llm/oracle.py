@@ -198,6 +198,54 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from rows left join verdict using (k)"""
 
 
+def _crc32(number: str) -> str:
+    """Unsigned CRC-32 of the decimal digits of a number."""
+    turn = "list_reduce(range(0, 8), lambda d, j: xor(d >> 1, 3988292384 * (d & 1)), xor(c, ascii(({text})[i + 1])::BIGINT))".format(text=f"{number}::VARCHAR")
+    return f"xor(list_reduce(range(0, length({number}::VARCHAR)), lambda c, i: {turn}, 4294967295::BIGINT), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    field = lambda x: f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(field(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes (tree, level, i, digest, n) above (tree, i, digest, n)."""
+    return f"""
+{name} as (select tree, 0 as level, i, digest, n from {leaves}
+  union all select tree, level + 1, i // 3, sha256(string_agg(digest, '' order by i)), (n + 2) // 3 from {name} where n > 1 group by tree, level, i // 3, n)"""
+
+
+OP12 = f"""
+with recursive rows as (select row_number() over () as k, *, case when {_crc32("doc_id")} % 2 = 0 then replace(text, chr(10), '') else text end as other from documents),
+hashed as (select k, doc_id, source, {_leaf("text")} as leaf, {_leaf("other")} as altered from rows),
+placed as (select *, row_number() over (partition by source order by doc_id nulls first, leaf, k) - 1 as i, count(*) over (partition by source) as n,
+  dense_rank() over (order by source nulls first) - 1 as tree from hashed),
+lowest as (select tree, i, leaf as digest, n from placed),
+{_tree("nodes", "lowest")},
+subroots as (select tree, digest from nodes where n = 1),
+second as (select 0 as tree, tree as i, digest, (select count(*) from subroots) as n from subroots),
+{_tree("upper", "second")},
+root as (select digest from upper where n = 1),
+steps as (
+  select k, level, p.i // (3 ** level)::BIGINT % 3 as slot, list(s.digest order by s.i) as others
+  from placed p join nodes s on s.tree = p.tree and s.n > 1 and s.i // 3 = p.i // (3 ** (level + 1))::BIGINT and s.i <> p.i // (3 ** level)::BIGINT group by all
+  union all select k, 1000 + level, p.tree // (3 ** level)::BIGINT % 3, list(s.digest order by s.i)
+  from placed p join upper s on s.n > 1 and s.i // 3 = p.tree // (3 ** (level + 1))::BIGINT and s.i <> p.tree // (3 ** level)::BIGINT group by all),
+every as (
+  select k, level, p.i // (3 ** level)::BIGINT % 3 as slot from placed p join (select distinct tree, level from nodes where n > 1) using (tree)
+  union all select k, 1000 + level, p.tree // (3 ** level)::BIGINT % 3 from placed p, (select distinct level from upper where n > 1)),
+paths as (select k, list({{'slot': slot, 'others': coalesce(others, [])}} order by level) as path from every left join steps using (k, level, slot) group by k),
+told as (select k, doc_id, leaf, altered, tree, coalesce(path, []) as path from placed left join paths using (k)),
+ended as (select *, list_reduce(path, lambda d, s: {{'slot': s.slot, 'others': [sha256(array_to_string(
+    list_concat(list_concat(s.others[:s.slot], [d.others[1]]), s.others[s.slot + 1:]), ''))]}},
+  {{'slot': 0::BIGINT, 'others': [altered]}}).others[1] as folded_root from told)
+select doc_id, leaf, s.digest as subroot, r.digest as root,
+  sha256(coalesce(array_to_string(list_transform(path, lambda x: coalesce(array_to_string(x.others, ''), '')), ''), '')) as proof_sha256,
+  folded_root, folded_root = r.digest as verified
+from ended join subroots s using (tree), root r"""
+
+
 def statements() -> dict[str, str]:
     return {"op2_mix": OP2, "op3_topk": OP3, "op4_decontamination": OP4, "op8_secrets": OP8, "op9_warc": OP9, "op10_pii": OP10,
-            "op11_quality": OP11}
+            "op11_quality": OP11, "op12_merkle": OP12}

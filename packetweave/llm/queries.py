@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetweave.llm import decontamination, extraction, langid, mixing, pii, quality, secrets, simhash, suffix_dedup, topk, warc
+from packetweave.llm import decontamination, extraction, langid, merkle, mixing, pii, quality, secrets, simhash, suffix_dedup, topk, warc
 from packetweave.llm.spans import labels
 from packetweave.storage import scratch_path
 
@@ -86,7 +86,11 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(_table(spark, sf_dir, "documents"), merkle.without_breaks)
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_language": op1_language, "op2_mix": op2_mix, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_simhash": op5_simhash, "op6_repeats": op6_repeats, "op7_text": op7_text, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_pii": op10_pii,
-            "op11_quality": op11_quality,
+            "op11_quality": op11_quality, "op12_merkle": op12_merkle,
             "page_language": page_language}
