@@ -246,6 +246,27 @@ select doc_id, leaf, s.digest as subroot, r.digest as root,
 from ended join subroots s using (tree), root r"""
 
 
+OP13 = f"""
+with turns as (select conv_id, turn, coalesce(text, '') as text,
+    sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) as digest from conversations where conv_id is not null),
+own as (select conv_id, list(struct_pack(digest := digest, chars := length(text)::BIGINT) order by turn nulls first, digest) as ts from turns group by conv_id),
+cut as (select conv_id, ts, {_crc32("conv_id")} % 6 as h from own),
+rebuilt as (select c.conv_id, list_concat(coalesce(b.ts[1:h], []), c.ts[h + 1:]) as ts from cut c left join own b on b.conv_id = c.conv_id - c.conv_id % 100),
+prefixes as (select conv_id, d as depth, sha256(array_to_string(list_transform(ts[1:d], lambda t: t.digest), '')) as node,
+    case when d > 0 then sha256(array_to_string(list_transform(ts[1:d - 1], lambda t: t.digest), '')) end as parent,
+    case when d > 0 then ts[d].chars else 0 end as chars, d = len(ts) as ends
+  from (select conv_id, ts, unnest(range(0, len(ts) + 1)) as d from rebuilt)),
+nodes as (select node, depth, parent, chars, min(conv_id) as conv_id, count(*) as n_convs,
+    coalesce(string_agg(conv_id::VARCHAR, ',' order by conv_id) filter (where ends), '') as ended from prefixes group by all),
+kids as (select parent, count(*) as n_children from nodes where parent is not null group by parent),
+full_nodes as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join kids on n.node = kids.parent),
+-- Every node counts once for each of its ancestors: they are the prefixes of its smallest member up to its depth.
+sums as (select p.node, count(*) filter (where n_children = 0) as n_leaves, sum((n_convs - 1) * n.chars)::BIGINT as saved_tokens
+  from full_nodes n join prefixes p on p.conv_id = n.conv_id and p.depth <= n.depth group by p.node)
+select n.conv_id, n.depth, q.conv_id as parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, sha256(n.ended) as ends_sha256
+from full_nodes n join sums using (node) left join nodes q on q.node = n.parent"""
+
+
 def statements() -> dict[str, str]:
     return {"op2_mix": OP2, "op3_topk": OP3, "op4_decontamination": OP4, "op8_secrets": OP8, "op9_warc": OP9, "op10_pii": OP10,
-            "op11_quality": OP11, "op12_merkle": OP12}
+            "op11_quality": OP11, "op12_merkle": OP12, "op13_prefixes": OP13}

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetweave.llm import decontamination, extraction, langid, merkle, mixing, pii, quality, secrets, simhash, suffix_dedup, topk, warc
+from packetweave.llm import decontamination, extraction, langid, merkle, mixing, pii, quality, secrets, simhash, suffix_dedup, topk, trie, warc
 from packetweave.llm.spans import labels
-from packetweave.storage import scratch_path
+from packetweave.storage import materialize, scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +90,15 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audited(_table(spark, sf_dir, "documents"), merkle.without_breaks)
 
 
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, members = trie.prefix_trie(trie.rebuilt(_table(spark, sf_dir, "conversations")))
+    nodes = trie.with_end_digests(materialize(nodes, "trie-nodes"), members)
+    return nodes.select(
+        F.col("first").alias("conv_id"), "depth", F.col("parent_first").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves",
+        F.col("saved").alias("saved_tokens"), "ends_sha256")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_language": op1_language, "op2_mix": op2_mix, "op3_topk": op3_topk, "op4_decontamination": op4_decontamination, "op5_simhash": op5_simhash, "op6_repeats": op6_repeats, "op7_text": op7_text, "op8_secrets": op8_secrets, "op9_warc": op9_warc, "op10_pii": op10_pii,
-            "op11_quality": op11_quality, "op12_merkle": op12_merkle,
+            "op11_quality": op11_quality, "op12_merkle": op12_merkle, "op13_prefixes": op13_prefixes,
             "page_language": page_language}
