@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-TABLES = ["documents", "embeddings", "pages", "benchmark"]
+TABLES = ["documents", "embeddings", "pages", "benchmark", "conversations"]
 CLASHING = {"pii": 1, "n_words": "x", "row_key": 2, "found_email": 3, "size": 4, "target": 5, "component_id": 6, "language": "zz", "draw": 7, "text_": "t"}
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
     f"{k} {'string' if isinstance(v, str) else 'int'}" for k, v in CLASHING.items())
@@ -51,6 +51,12 @@ def awkward_dir(spark, awkward, tmp_path_factory):
         (None, "http://b.example", "<p>one</p>"), (None, None, "only null ids"), (5, "http://c.example", magic), (6, "http://c.example", magic + magic),
         (7, "http://c.example", "WARC/1.0\r\n"), (8, "http://c.example", "ends so\r\n\r\n"), (9, "http://c.example", "é😀" * 2000)]
     items = [(1, " ".join(WORDS[:14])), (2, "Quiet, snow"), (3, None), (None, "one two"), (4, ""), (5, PASSAGE), (5, "hunter22"), (6, "!!!")]
+    # Conversation 0 heads 1 to 99; nulls, ties, repeated rows, a conversation whose own turns all go, ids below zero.
+    turns = [(0, 0, "user", "open"), (0, 1, "bot", "go on"), (0, None, None, None), (0, 2, "user", "open"), (0, 2, "user", "open"), (0, 2, "user", "also second")]
+    turns += [(c, t, "user", f"word {t % 3}") for c in range(1, 40) for t in range(c % 9)] + [(c, t, "bot", "same" * 50) for c in range(100, 140) for t in range(6)]
+    turns += [(None, 0, "user", "nobody's"), (-5, 0, "user", ""), (-5, 1, "", "user"), (205, 0, "user", "no head"), (206, 3, None, "no head"), (300, 0, "user", "é😀" * 5000)]
+    names = "conv_id long, turn long, role string, text string, ids string, digest int, shard int, first string, n int"
+    spark.createDataFrame([(*t, "x", 1, 2, "y", 3) for t in turns], names).write.parquet(f"{folder}/conversations.parquet")
     awkward.write.parquet(f"{folder}/documents.parquet")
     for name, rows, kinds in (
         ("embeddings", vectors, "vec_id long, embedding array<float>"), ("pages", pages, "page_id long, url string, html string"),
