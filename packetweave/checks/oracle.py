@@ -282,6 +282,13 @@ def statements() -> dict[str, str]:
           case when frame_number % 2 = 0 then coalesce(protocol, '') else '' end as protocol,
           case when frame_number % 2 = 0 then cast(length as double) else 0.0 end as length,
           case when frame_number % 2 = 0 then coalesce(info, '') else '' end as info from packets""",
+        "scan_multiline_csv": f"""{pk} select frame_number, coalesce(src_ip, 'unknown') as src_ip, coalesce(protocol, 'unknown') as protocol,
+          cast(length as double) as length, translate(info, '→', '>') || case frame_number % 3
+            when 0 then chr(10) || 'second line, of "' || frame_number || '"' || chr(13) || chr(10) || chr(10)
+            when 1 then ' "quoted"' else ' back\\slash' end as info from packets""",
+        "refused_lists": f"""{pk} select 'part' || frame_number % 4 as capture_id, case when frame_number % 4 <> 2 then count(*) end as packets,
+            case when frame_number % 4 = 2 then 'header' else 'read' end as reason from packets group by frame_number % 4
+          union all select 'part3', null, 'a quote that never ends'""",
         "encoding_fallback": f"""{pk} select frame_number, src_ip, dst_ip, protocol,
           cast(length as double) as length, concat('café ', info) as info from packets""",
         "schema_check": f"""{pk}, n as (select count(*) as packets from packets)
@@ -296,6 +303,8 @@ def statements() -> dict[str, str]:
           dst_ip as "Destination", protocol as "Protocol", info as "Info" from packets""",
         "capture_catalog": f"""with packets as ({duckdb_packets(True)})
           select distinct capture_id, 'cap' as suffix, 2 as depth, true as below_limit from packets""",
+        "capture_order": f"""with packets as ({duckdb_packets(True)})
+          select distinct capture_id, case capture_id when 'cap2' then 0 when 'cap0' then 1 else 2 end::BIGINT as newer from packets""",
         "latest_capture": "select 'pcapng' as suffix, 1 as depth, count(*) > 0 as is_count from events",
         "capture_facts": f"""with packets as ({duckdb_packets(True)})
           select capture_id, count(*) as packets, true as has_content from packets group by capture_id""",

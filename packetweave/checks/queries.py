@@ -120,6 +120,39 @@ def scan_ragged_csv(spark, sf_dir):
     return read.select("frame_number", "src_ip", "dst_ip", "protocol", "length", "info")
 
 
+def scan_multiline_csv(spark, sf_dir):
+    """Info holds line breaks, doubled quotes and escapes; the files are read in many splits."""
+    n = F.col("frame_number")
+    tail = F.when(n % 3 == 0, F.concat(F.lit("\nsecond line, of \""), n.cast("string"), F.lit("\"\r\n\n"))).when(
+        n % 3 == 1, F.lit(' "quoted"')).otherwise(F.lit(" back\\\\slash"))
+    packets = spark_packets(spark, sf_dir).withColumn("info", F.concat(F.translate("info", "→", ">"), tail))
+    path = scratch_path(spark, "multiline")
+    sinks.write_packets_csv(_raw_named(packets), path)
+    # A session of its own, as the split size is a setting of the session.
+    other = spark.newSession()
+    other.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    other.conf.set("spark.sql.files.openCostInBytes", "4k")
+    lists = readers.read_lists(other, path, "extended")
+    return lists.packets.select("frame_number", "src_ip", "protocol", "length", "info")
+
+
+def refused_lists(spark, sf_dir):
+    """Of four captures one has another header and one a quote that never ends; the others are read."""
+    path = scratch_path(spark, "mixed")
+    named = _raw_named(spark_packets(spark, sf_dir)).withColumn("part", F.col("`No.`") % 4)
+    for part in range(4):
+        frame = named.filter(F.col("part") == part).drop("part").coalesce(1)
+        frame = frame.drop("Time") if part == 2 else frame
+        sinks.write_packets_csv(frame, f"{path}/part{part}")
+    open_quote = F.concat_ws(",", *(F.lit(x) for x in ("9", "0", "a", "b", "TCP", "5")), F.concat(F.lit('"open'), F.col("n").cast("string")))
+    counted = named.agg(F.count(F.lit(1)).alias("n")).select(open_quote.alias(",".join(S.RAW_COLUMNS)))
+    counted.coalesce(1).write.mode("append").option("header", True).option("sep", "\u0001").option("quote", "").csv(f"{path}/part3")
+    lists = readers.read_lists(spark, f"{path}/*", "basic", capture_by="folder")
+    read = lists.packets.groupBy("capture_id").agg(F.count(F.lit(1)).alias("packets")).withColumn("reason", F.lit("read"))
+    reason = F.when(F.col("reason").startswith("another header"), "header").otherwise(F.col("reason"))
+    return read.unionByName(lists.refused.select("capture_id", F.lit(None).cast("long").alias("packets"), reason.alias("reason")))
+
+
 def encoding_fallback(spark, sf_dir):
     path = scratch_path(spark, "latin1")
     packets = spark_packets(spark, sf_dir).withColumn("info", F.concat(F.lit("café "), F.translate("info", "→", ">")))
@@ -186,12 +219,24 @@ def capture_catalog(spark, sf_dir):
 
 
 def capture_facts(spark, sf_dir):
-    """File facts of each capture next to its packet count."""
+    """File facts of each capture next to the packet counts of its lists, which the default reader names by path."""
     folder = _capture_files(spark, sf_dir)
-    files = catalog.capture_catalog(spark, folder).withColumn("file_name", F.regexp_extract("path", r"capture_id=([^/]+)/", 1))
-    files = files.groupBy("file_name").agg(F.sum("length").alias("length"))
-    facts = catalog.capture_facts(files, spark_packets(spark, sf_dir, captures=True))
-    return facts.select(F.col("file_name").alias("capture_id"), "packets", (F.col("length") > 0).alias("has_content"))
+    files = catalog.capture_catalog(spark, folder)
+    facts = catalog.capture_facts(files, readers.read_packets(spark, f"{folder}/*/*.cap", "extended"))
+    return facts.groupBy(F.regexp_extract("path", r"capture_id=([^/]+)/", 1).alias("capture_id")).agg(
+        F.sum("packets").alias("packets"), (F.min("length") > 0).alias("has_content"))
+
+
+def capture_order(spark, sf_dir):
+    """Captures written one after the other, as the catalogue lists them: newest first."""
+    path, packets = scratch_path(spark, "ordered"), spark_packets(spark, sf_dir, captures=True)
+    for name in ("cap1", "cap0", "cap2"):
+        own = packets.filter(F.col("capture_id") == name)
+        _raw_named(own).coalesce(1).write.option("header", True).option("extension", "pcap").csv(f"{path}/{name}")
+    listed = catalog.capture_catalog(spark, path).withColumn("place", F.monotonically_increasing_id())
+    placed = listed.select(F.regexp_extract("path", r"/(cap\d)/[^/]*$", 1).alias("capture_id"), "place")
+    before = placed.select(F.col("place").alias("_other"))
+    return placed.join(before, F.col("_other") < F.col("place"), "left").groupBy("capture_id").agg(F.count("_other").alias("newer"))
 
 
 def latest_capture(spark, sf_dir):
@@ -588,7 +633,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "scan_quoted_csv": scan_quoted_csv,
         "scan_basic_csv": scan_basic_csv,
-        "scan_ragged_csv": scan_ragged_csv,
+        "scan_ragged_csv": scan_ragged_csv, "scan_multiline_csv": scan_multiline_csv, "refused_lists": refused_lists,
         "encoding_fallback": encoding_fallback,
         "schema_check": schema_check,
         "rename_fill_defaults": rename_fill_defaults,
@@ -667,7 +712,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fit_with_short_captures": fit_with_short_captures,
         "stream_new_capture": stream_new_capture,
         "score_cutoff_by_capture": score_cutoff_by_capture,
-        "capture_facts": capture_facts,
+        "capture_facts": capture_facts, "capture_order": capture_order,
         "score_cutoff": score_cutoff,
         "anomaly_report": lambda s, d: _round(anomalies.anomaly_report(_bas8(s, d), "packet_length"), "avg_length"),
         "feature_importance": lambda s, d: _round(series.feature_importance(_ext(s, d)), "importance"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetweave import schema as S
@@ -52,8 +52,18 @@ def capture_counts(packets: DataFrame) -> DataFrame:
     return packets.groupBy("capture_id").agg(F.count(F.lit(1)).alias("packets"))
 
 
+def _stem(path: str) -> Column:
+    """The path before the suffix, local paths written one way."""
+    return F.regexp_replace(F.regexp_replace(F.col(path), "^file:/+", "/"), r"\.[^./]*$", "")
+
+
 def capture_facts(catalog: DataFrame, packets: DataFrame) -> DataFrame:
-    """File facts next to packet counts; captures match on the name before the suffix."""
-    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
-    counts = capture_counts(packets).withColumn("_stem", F.regexp_replace("capture_id", r"\.[^.]*$", ""))
-    return catalog.withColumn("_stem", stem).join(counts, "_stem", "left").drop("_stem")
+    """File facts next to packet counts: of the list with the same path before the suffix, or where captures are no paths, the same name."""
+    counts = capture_counts(packets).withColumn("_stem", _stem("capture_id"))
+    by_path = counts.filter(F.col("capture_id").contains("/")).select(F.col("_stem").alias("_path_stem"), "capture_id", "packets")
+    by_name = counts.filter(~F.col("capture_id").contains("/")).select(
+        F.col("_stem").alias("_name_stem"), F.col("capture_id").alias("_named"), F.col("packets").alias("_named_packets"))
+    found = catalog.withColumns({"_path_stem": _stem("path"), "_name_stem": _stem("file_name")})
+    joined = found.join(by_path, "_path_stem", "left").join(by_name, "_name_stem", "left")
+    return joined.withColumns({"capture_id": F.coalesce("capture_id", "_named"), "packets": F.coalesce("packets", "_named_packets")}).drop(
+        "_path_stem", "_name_stem", "_named", "_named_packets")

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Stand-ins (private-use characters) for escaped quote, comma and backslash
-# while a line is split into fields.
-QUOTE, COMMA, SLASH, SEPARATOR = "\ue000", "\ue001", "\ue002", "\ue003"
+# Stand-ins (private-use characters) for escaped quote, comma and backslash, the
+# separator of tolerant fields, and line breaks inside quotes, while a record is
+# split into fields; text that holds one of them is marked first.
+QUOTE, COMMA, SLASH, SEPARATOR, LINE, RETURN, MARK = (chr(0xE000 + i) for i in range(7))
+STAND_INS = QUOTE + COMMA + SLASH + SEPARATOR + LINE + RETURN + MARK
 BYTE_ORDER_MARK = "\ufeff"
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], capture_by: str = "file_path") -> DataFrame:
-    """``value``, ``capture_id`` and the file split of every non-blank line.
+def read_lines(spark: SparkSession, paths: str | list[str], capture_by: str = "file_path", blanks: bool = False) -> DataFrame:
+    """``value``, ``capture_id`` and the file split of every line; without ``blanks``, of every non-blank line without its carriage return.
 
     A capture is a file (``file_path``, or ``file_name`` where names are unique) or, for lists written
     as part files, a ``folder`` whose files follow each other by name.
@@ -23,16 +23,27 @@ def read_lines(spark: SparkSession, paths: str | list[str], capture_by: str = "f
         capture = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)
     else:
         capture = F.col(f"_metadata.{capture_by}")
-    return (
-        spark.read.text(paths)
-        .select(
-            F.col("value"),
-            capture.alias("capture_id"),
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_split"),
-        )
-        .filter(F.length(F.trim("value")) > 0)
+    text = F.col("value")
+    if not blanks:
+        text = F.when(text.endswith("\r"), F.expr("left(value, length(value) - 1)")).otherwise(text)
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        text.alias("value"),
+        capture.alias("capture_id"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_split"),
     )
+    return lines if blanks else lines.filter(F.length(F.trim("value")) > 0)
+
+
+def apart(lines: DataFrame) -> DataFrame:
+    """Lines of ``read_lines(blanks=True)`` cut at single carriage returns too, with ``_id`` ascending in a split and the line ``end``."""
+    whole = F.when(F.col("value").endswith("\r"), F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    last = F.when(F.col("value").endswith("\r"), "\r\n").otherwise("\n")
+    pieces = F.split("_whole", "\r")
+    ended = F.transform(pieces, lambda p, i: F.struct(p.alias("value"), F.when(i == F.size(pieces) - 1, F.col("_last")).otherwise("\r").alias("end")))
+    marked = lines.withColumns({"_whole": whole, "_last": last})
+    cut = marked.select("capture_id", "_file", "_split", F.explode(ended).alias("_piece"))
+    return cut.select("capture_id", "_file", "_split", "_piece.*", F.monotonically_increasing_id().alias("_id"))
 
 
 def latin1(value: Column) -> Column:
@@ -43,10 +54,35 @@ def without_mark(value: Column) -> Column:
     return F.ltrim(value, F.lit(BYTE_ORDER_MARK))
 
 
+def is_header(value: Column, header: str) -> Column:
+    """True for lines with the same names, quoted or not."""
+    return F.translate(without_mark(value), '"', "") == header.replace('"', "")
+
+
 def header_text(lines: DataFrame) -> str | None:
     """First line of the first file, without a byte-order mark."""
     row = lines.filter(F.col("_split") == 0).select("value").first()
-    return row["value"].lstrip(BYTE_ORDER_MARK).rstrip("\r\n") if row else None
+    return row["value"].lstrip(BYTE_ORDER_MARK).split("\r")[0] if row else None
+
+
+def marked(value: Column) -> Column:
+    """Stand-ins that the text itself holds, written as a mark and a digit."""
+    held = F.replace(value, F.lit(MARK), F.lit(MARK + "6"))
+    for i, c in enumerate(STAND_INS[:-1]):
+        held = F.replace(held, F.lit(c), F.lit(f"{MARK}{i}"))
+    return F.when(value.rlike(f"[{STAND_INS}]"), held).otherwise(value)
+
+
+def unmarked(field: Column) -> Column:
+    shown = field
+    for i, c in enumerate(STAND_INS):
+        shown = F.replace(shown, F.lit(f"{MARK}{i}"), F.lit(c))
+    return F.when(field.contains(MARK), shown).otherwise(field)
+
+
+def breaks_hidden(value: Column) -> Column:
+    """Line breaks of a record as stand-ins, as the field parser takes one line."""
+    return F.when(value.rlike("[\n\r]"), F.translate(value, "\n\r", LINE + RETURN)).otherwise(value)
 
 
 def escapes_hidden(value: Column) -> Column:
@@ -59,7 +95,7 @@ def escapes_hidden(value: Column) -> Column:
 
 
 def escapes_shown(field: Column) -> Column:
-    return F.translate(field, QUOTE + COMMA + SLASH, '",\\')
+    return F.translate(field, QUOTE + COMMA + SLASH + LINE + RETURN, '",\\\n\r')
 
 
 def strict_fields(value: Column, width: int, escapes: bool) -> Column:
@@ -69,10 +105,11 @@ def strict_fields(value: Column, width: int, escapes: bool) -> Column:
     rows with too many fields.
     """
     names = [f"c{i}" for i in range(width)] + ["overflow"]
-    text = escapes_hidden(value) if escapes else value
+    text = breaks_hidden(marked(value))
+    text = escapes_hidden(text) if escapes else text
     parsed = F.from_csv(text, ", ".join(f"{n} string" for n in names), {"escape": '"', "mode": "PERMISSIVE"})
     fields = [parsed.getField(n) for n in names]
-    return F.array(*[escapes_shown(f) if escapes else f for f in fields])
+    return F.array(*[unmarked(escapes_shown(f)) for f in fields])
 
 
 def tolerant_fields(value: Column, width: int) -> Column:
@@ -83,37 +120,10 @@ def tolerant_fields(value: Column, width: int) -> Column:
     empty text and long rows cut, as many as ``width`` fields.
     """
     pieces = F.transform(
-        F.split(value, '"'),
+        F.split(marked(value), '"'),
         lambda piece, i: F.when(i % 2 == 0, F.replace(piece, F.lit(","), F.lit(SEPARATOR))).otherwise(piece),
     )
     fields = F.split(F.array_join(pieces, ""), SEPARATOR)
     last = F.size(fields) - 1
-    cleaned = F.transform(fields, lambda f, i: F.when(i == last, F.trim(f)).otherwise(f))
+    cleaned = F.transform(fields, lambda f, i: unmarked(F.when(i == last, F.trim(f)).otherwise(f)))
     return F.slice(F.concat(cleaned, F.array_repeat(F.lit(""), width)), 1, width)
-
-
-@dataclass(frozen=True)
-class Inspection:
-    """Per file: rows, valid UTF-8, rows with too many fields, lines equal to the header."""
-
-    files: DataFrame
-    header: str
-
-    def odd_files(self) -> DataFrame:
-        """Files that need another encoding or the tolerant split, or lack or repeat the header; usually none."""
-        return self.files.filter(~F.col("utf8") | (F.col("overlong") > 0) | (F.col("headers") != 1)).select(
-            "_file", "capture_id", (~F.col("utf8")).alias("_latin1"), (F.col("overlong") > 0).alias("_ragged"),
-            F.col("overlong").alias("_overlong"), (F.col("headers") == 0).alias("_foreign"),
-            (F.col("headers") - 1).alias("_repeated"),
-        )
-
-
-def inspect(lines: DataFrame, header: str, width: int, escapes: bool) -> Inspection:
-    """One distributed pass over the lines with a map-side combine per file."""
-    files = lines.groupBy("_file", "capture_id").agg(
-        F.count(F.when(F.col("value") != header, 1)).alias("rows"),
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.count_if(F.get(strict_fields(F.col("value"), width, escapes), F.lit(width)).isNotNull()).alias("overlong"),
-        F.count_if(without_mark(F.col("value")) == header).alias("headers"),
-    )
-    return Inspection(files, header)

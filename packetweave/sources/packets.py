@@ -13,6 +13,7 @@ from packetweave import schema as S
 from packetweave.functions.numbers import to_number
 from packetweave.operators.features import with_defaults
 from packetweave.sources import lines as L
+from packetweave.sources import records as R
 from packetweave.storage import attach, materialize
 
 
@@ -51,13 +52,15 @@ def numbered(df: DataFrame) -> DataFrame:
         ids.groupBy("capture_id", "_file", "_split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")),
         "splits",
     )
+    # Records that were put together carry their place in the split.
+    known = F.col("_place") if "_place" in df.columns else F.lit(None)
     before = Window.partitionBy("capture_id").orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select(
         "_file", "_split", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
     return (
         ids.join(offsets, ["_file", "_split"], "left")
-        .withColumn("_line", F.col("_id") - F.col("_first") + F.col("_offset") + 1)
+        .withColumn("_line", F.coalesce(known, F.col("_id") - F.col("_first")) + F.col("_offset") + 1)
         .drop("_id", "_first", "_offset")
     )
 
@@ -72,7 +75,7 @@ def _canonical(df: DataFrame, fill: bool) -> DataFrame:
             df = df.withColumn("timestamp", (F.col("_line") - 1).cast("string"))
         df = df.drop("_line")
     present = [c for c in S.CANONICAL.values() if c in df.columns]
-    others = [c for c in df.columns if c not in present and c not in ("_file", "_split", "capture_id")]
+    others = [c for c in df.columns if c not in present and c not in ("_file", "_split", "_place", "capture_id")]
     typed = {
         "frame_number": to_number(F.col("frame_number")).cast("long"),
         "timestamp": to_number(F.col("timestamp")),
@@ -88,27 +91,77 @@ def _canonical(df: DataFrame, fill: bool) -> DataFrame:
     return out
 
 
-def read_packets(
+@dataclass(frozen=True)
+class PacketLists:
+    """Canonical packets of the lists that could be read, and (file, capture_id, reason) of the others."""
+
+    packets: DataFrame
+    refused: DataFrame
+
+
+def _odd_files(inspected: DataFrame) -> DataFrame:
+    """Files that need more than one plain parse per line; usually none."""
+    return inspected.filter(
+        ~F.col("utf8") | (F.col("overlong") > 0) | (F.col("headers") != 1) | (F.col("breaks") > 0) | (F.col("returns") > 0))
+
+
+def _put_together(
+    spark: SparkSession, paths: str | list[str], capture_by: str, chosen: DataFrame, header: str, width: int, extended: bool, line_wise: bool,
+) -> tuple[DataFrame, DataFrame]:
+    """Records, with their place in the split, and one row per file of the chosen files.
+
+    The first record of a file is its header, by place, not by text.  Files with a quote that
+    never ends are cut at every line instead, as the tolerant read does with all.
+    """
+    raw = L.read_lines(spark, paths, capture_by, blanks=True)
+    lines = materialize(L.apart(attach(raw, chosen.select("_file", F.lit(True).alias("_chosen")), ("_file",), spread="value").filter("_chosen").drop("_chosen")), "odd-lines")
+    plain = lines.withColumn("number", F.lit(None).cast("long")).select("capture_id", "_file", "_split", "_id", "number", "value").filter(F.length(F.trim("value")) > 0)
+    if line_wise:
+        records, files = plain, lines.select("_file").distinct().withColumn("closed", F.lit(True))
+    else:
+        records, files = R.cut(lines, extended)
+        files = materialize(files, "odd-closed")
+        long = F.get(L.strict_fields(F.col("value"), width, extended), F.lit(width)).isNotNull()
+        counts = records.groupBy("_file").agg(F.count_if(long).alias("overlong"))
+        files = materialize(files.join(counts, "_file", "left"), "odd-counted")
+        if extended:
+            # The tolerant read goes line by line, also through quotes.
+            ragged = files.filter(~F.col("closed") | (F.col("overlong") > 0)).select("_file")
+            records = records.join(ragged, "_file", "left_anti").union(plain.join(ragged, "_file"))
+    stored = materialize(records, "odd-records")
+    at = F.struct("_split", "_id")
+    heads = stored.groupBy("_file").agg(F.min(at).alias("_head"), F.min_by("value", at).alias("_first"))
+    files = materialize(files.join(heads, "_file").withColumn("headed", L.is_header(F.col("_first"), header)), "odd-heads")
+    inside = Window.partitionBy("_file", "_split").orderBy("_id")
+    body = stored.join(files.select("_file", "_head"), "_file").filter(at > F.col("_head"))
+    body = body.select("capture_id", "_file", "_split", "value", (F.row_number().over(inside) - 1).cast("long").alias("_place"))
+    return body, files.drop("_head", "_first")
+
+
+def read_lists(
     spark: SparkSession,
     paths: str | list[str],
     profile: str = "extended",
     mode: str = "auto",
     capture_by: str = "file_path",
-) -> DataFrame:
-    """Canonical packets of one or many packet lists that share one header.
+) -> PacketLists:
+    """Canonical packets of one or many packet lists that share the header of the first one.
 
     A capture is a file, named by its path, as files in different folders may
-    have one name.  Only the first line of a file is taken for its header.
+    have one name.  Only the first record of a file is taken for its header.  A
+    file with another header, or one that the mode can't read, is listed in
+    ``refused`` with the reason; the others are read.
 
     ``extended`` accepts doubled quotes and backslash escapes and fills missing
-    values; ``basic`` accepts doubled quotes only and fills nothing.  ``mode``:
+    values; ``basic`` accepts doubled quotes only and fills nothing.  Quoted fields
+    may hold line breaks: files with such records are cut by ``records``.  ``mode``:
 
     - ``strict``: UTF-8, at most as many fields as the header has; a file with
-      a longer row, or another header, is refused;
-    - ``tolerant``: split at commas outside quotes, pad short and cut long rows,
-      keep blanks as empty text;
+      a longer row, or a quote that never ends, is refused;
+    - ``tolerant``: split at line breaks, then at commas outside quotes, pad short and
+      cut long rows, keep blanks as empty text;
     - ``auto``: one inspection pass finds the files that are not UTF-8 (read as
-      ISO-8859-1) or hold overlong rows (read tolerantly), the rest is strict.
+      ISO-8859-1) or that strict refuses (extended: read tolerantly; basic: refused).
     """
     if profile not in ("extended", "basic"):
         raise ValueError(f"unknown profile {profile!r}")
@@ -129,27 +182,36 @@ def read_packets(
         raise SourceError(f"not a packet list, missing {', '.join(report.missing)}")
     width = len(columns)
 
-    body = raw.filter(L.without_mark(F.col("value")) != header)
-    value, ragged = F.col("value"), F.lit(mode == "tolerant")
-    odd = materialize(L.inspect(raw, header, width, extended).odd_files(), "odd")
-    foreign = [r["_file"] for r in odd.filter("_foreign").limit(3).collect()]
-    if foreign:
-        raise SourceError(f"another header than {header!r} in {', '.join(foreign)}; read each layout on its own")
+    odd = materialize(_odd_files(R.inspect(raw, header, width, extended)), "odd")
+    # Few files as a rule, and the size of what goes to each task is checked by ``attach``.
+    apart = odd.filter((F.col("headers") > 1) | (F.col("returns") > 0) | (F.lit(mode != "tolerant") & (F.col("breaks") > 0) & (F.col("headers") > 0)))
+    facts = odd.select(
+        "_file", "capture_id", (~F.col("utf8")).alias("latin1"), "overlong", F.lit(True).alias("closed"), (F.col("headers") > 0).alias("headed"))
+    body = raw.filter(~L.is_header(F.col("value"), header)).withColumn("_place", F.lit(None).cast("long"))
+    if not apart.isEmpty():
+        again, files = _put_together(spark, paths, capture_by, apart, header, width, extended, mode == "tolerant")
+        known = apart.select("_file", "capture_id", (~F.col("utf8")).alias("latin1"), F.col("overlong").alias("_by_line")).join(files, "_file")
+        overlong = F.col("_by_line") if mode == "tolerant" else F.coalesce("overlong", F.lit(0).cast("long"))
+        facts = facts.join(apart.select("_file"), "_file", "left_anti").unionByName(
+            known.select("_file", "capture_id", "latin1", overlong.alias("overlong"), "closed", "headed"))
+        body = attach(body, apart.select("_file", F.lit(True).alias("_apart")), ("_file",), spread="value").filter("_apart is null").drop("_apart")
+        body = body.unionByName(again)
+    facts = materialize(facts, "odd-facts")
     # Only the extended read has a tolerant second attempt.
-    if mode == "strict" or mode == "auto" and not extended:
-        longer = odd.filter("_ragged").select("_file", "_overlong").limit(3).collect()
-        if longer:
-            where = ", ".join(f"{r['_overlong']} in {r['_file']}" for r in longer)
-            raise SourceError(f"rows with more than {width} fields: {where}")
-    # Further lines equal to the header are rows like any other; they are equal, so any of them may be the first.
-    repeated = odd.filter("_repeated > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "_repeated")))
-    if not repeated.isEmpty():
-        body = body.unionByName(repeated.select(F.lit(header).alias("value"), "capture_id", "_file", F.lit(0).cast("long").alias("_split")))
-    if mode == "auto" and not odd.isEmpty():
-        body = attach(body, odd.select("_file", "_latin1", "_ragged"), ("_file",), spread="value")
-        value = F.when(F.col("_latin1"), L.latin1(value)).otherwise(value)
-        if extended:
-            ragged = F.coalesce(F.col("_ragged"), F.lit(False))
+    final = mode == "strict" or (mode == "auto" and not extended)
+    reason = F.when(~F.col("headed"), f"another header than {header!r}")
+    if final:
+        reason = reason.when(F.col("overlong") > 0, F.concat(F.lit(f"rows with more than {width} fields: "), F.col("overlong").cast("string"), F.lit(" in "), F.col("_file")))
+        reason = reason.when(~F.col("closed"), "a quote that never ends")
+    refused = facts.select(F.col("_file").alias("file"), "capture_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
+    value, ragged = F.col("value"), F.lit(mode == "tolerant")
+    if not facts.isEmpty():
+        marks = facts.select("_file", "latin1", (~F.col("closed") | (F.col("overlong") > 0)).alias("ragged"), reason.isNotNull().alias("refused"))
+        body = attach(body, marks, ("_file",), spread="value").filter(~F.coalesce("refused", F.lit(False)))
+        if mode == "auto":
+            value = F.when(F.col("latin1"), L.latin1(value)).otherwise(value)
+            if extended:
+                ragged = F.coalesce(F.col("ragged"), F.lit(False))
     strict = F.slice(L.strict_fields(value, width, extended), 1, width)
     tokens = F.array(*[F.lit(t) for t in S.NULL_TOKENS])
     strict = F.transform(strict, lambda f: F.when(~F.array_contains(tokens, f), f))
@@ -159,11 +221,26 @@ def read_packets(
         fields = F.when(ragged, L.tolerant_fields(value, width)).otherwise(strict)
     else:
         fields = strict
-    split = body.select("capture_id", "_file", "_split", fields.alias("_fields"))
+    split = body.select("capture_id", "_file", "_split", "_place", fields.alias("_fields"))
     named = split.select(
-        "capture_id", "_file", "_split", *[F.col("_fields")[i].alias(c) for i, c in enumerate(columns)]
+        "capture_id", "_file", "_split", "_place", *[F.col("_fields")[i].alias(c) for i, c in enumerate(columns)]
     )
-    return _canonical(renamed(named), fill=extended)
+    return PacketLists(_canonical(renamed(named), fill=extended), refused)
+
+
+def read_packets(
+    spark: SparkSession,
+    paths: str | list[str],
+    profile: str = "extended",
+    mode: str = "auto",
+    capture_by: str = "file_path",
+) -> DataFrame:
+    """The packets of ``read_lists``; a refused file is an error."""
+    lists = read_lists(spark, paths, profile, mode, capture_by)
+    refused = lists.refused.limit(3).collect()
+    if refused:
+        raise SourceError("; ".join(f"{r['file']}: {r['reason']}" for r in refused))
+    return lists.packets
 
 
 def contract(df: DataFrame, columns: dict[str, str] | None = None) -> DataFrame:

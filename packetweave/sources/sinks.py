@@ -29,7 +29,9 @@ def write_csv(analysis: Analysis, folder: str) -> None:
 def write_packets_csv(packets: DataFrame, folder: str, quote_all: bool = True, extension: str = "csv", by: tuple[str, ...] = ()) -> None:
     """A packet list with the raw header, as the readers expect it."""
     writer = packets.write.mode("overwrite").option("header", True).option("quoteAll", quote_all)
+    # Values are written as they are, blanks and line breaks at their ends too.
     writer = writer.option("escape", '"').option("extension", extension)
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     (writer.partitionBy(*by) if by else writer).csv(folder)
 
 

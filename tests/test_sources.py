@@ -1,4 +1,6 @@
 import json
+import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,9 +8,10 @@ from pyspark.sql import functions as F
 from packetweave import fit
 from packetweave.__main__ import main
 from packetweave.checks.views import spark_packets
-from packetweave.sources import catalog, sinks
-from packetweave.sources.packets import SourceError, check_columns, contract, read_packets, require_packets
-from packetweave.storage import scratch_path
+from packetweave.sources import catalog, records, sinks
+from packetweave.sources import lines as lines_of
+from packetweave.sources.packets import SourceError, check_columns, contract, read_lists, read_packets, require_packets
+from packetweave.storage import materialize, scratch_path
 
 HEADER = '"No.","Time","Source","Destination","Protocol","Length","Info"\n'
 QUOTED = HEADER + (
@@ -155,6 +158,12 @@ def test_catalogue(spark, tmp_path):
     counts = spark.createDataFrame([("a.csv",), ("a.csv",), ("z.csv",)], "capture_id string")
     facts = {r["file_name"]: r["packets"] for r in catalog.capture_facts(found, counts).collect()}
     assert facts["a.pcap"] == 2 and facts["c.cap"] is None
+    # With the default reader captures are paths; a list of the same name elsewhere is another one.
+    for folder, rows in ((tmp_path, 3), (tmp_path / "sub", 1)):
+        write(folder, "a.csv", HEADER + '"1","0","a","b","TCP","3","x"\n' * rows)
+    packets = read_packets(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/sub/a.csv"])
+    facts = {r["file_name"]: (r["packets"], r["capture_id"]) for r in catalog.capture_facts(found, packets).collect()}
+    assert facts["a.pcap"][0] == 3 and facts["a.pcap"][1].endswith("/a.csv") and facts["d.pcap"] == (None, None)
 
 
 def test_result_documents(spark, small, tmp_path):
@@ -182,3 +191,107 @@ def test_command_line(spark, small, tmp_path, capsys):
     shown = capsys.readouterr().out
     assert "Traffic summary" in shown and "Component loadings" in shown
     assert main(["extended", path, "-c", "5000"]) == 1
+
+
+def plain_records(text, escapes):
+    """Records by one walk over the characters: fields open with a quote at their start only."""
+    records, now, state, hidden = [], "", "fresh", False
+    for c in text:
+        if hidden:
+            now, hidden, state = now + c, False, "fresh" if c == "\n" and state != "quoted" else "plain" if state in ("fresh", "after") else state
+            continue
+        if escapes and c == "\\":
+            hidden, now = True, now + c
+            continue
+        if c == "\n" and state != "quoted":
+            records.append(now)
+            now, state = "", "fresh"
+            continue
+        now += c
+        if c == '"':
+            state = {"fresh": "quoted", "after": "quoted", "quoted": "after", "plain": "plain"}[state]
+        elif state != "quoted":
+            state = "fresh" if c == "," else "plain"
+    return [r for r in [*records, now] if r.strip(" ")], state != "quoted"
+
+
+@pytest.mark.parametrize("escapes", [False, True])
+def test_records_are_cut_as_by_one_walk(spark, tmp_path, escapes):
+    """Random quotes, commas, breaks and backslashes over files of many splits."""
+    rng = random.Random(3)
+    texts = {}
+    for i in range(12):
+        text = "".join(rng.choice(['"', '"a"', ",", "\n", '"\n', "x", '""', ",", "\\" if escapes else "b", '\\"', '"b\nc",']) for _ in range(300)) + "x"
+        texts[os.path.basename(write(tmp_path, f"{i}.txt", text))] = text
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    try:
+        lines = materialize(lines_of.apart(lines_of.read_lines(spark, str(tmp_path), blanks=True)), "test-lines")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    found, files = records.cut(lines, escapes)
+    cut, closed = {}, {os.path.basename(r["_file"]): r["closed"] for r in files.collect()}
+    for r in sorted(found.collect(), key=lambda r: (r["_split"], r["_id"])):
+        cut.setdefault(os.path.basename(r["_file"]), []).append(r["value"])
+    for path, text in texts.items():
+        wanted, ended = plain_records(text, escapes)
+        assert cut[path] == wanted and closed[path] == ended, path
+
+
+@pytest.mark.parametrize("profile", ["extended", "basic"])
+def test_line_breaks_inside_quotes(spark, tmp_path, profile):
+    long = "\n".join(f'line {i}, ""q"" ' for i in range(60))
+    text = HEADER + f'"1","0","a","b","TCP","3","one\r\ntwo\n\nthree"\r\n"2","1","a","b","UDP","4","{long}"\n\n"3","2","a","b","TCP","5","5"" disk"\n4,3,a,b,TCP,6,5" disk\n"5","4","a\nb","c","TCP","7","last"'
+    path = write(tmp_path, "m.csv", text)
+    write(tmp_path, "plain.csv", HEADER + '"1","0","a","b","TCP","3","x"\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        rows = read_packets(spark, str(tmp_path), profile).filter(F.col("capture_id").endswith("m.csv")).orderBy("frame_number").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert os.path.getsize(path) > 5 * 200 and [r["frame_number"] for r in rows] == [1, 2, 3, 4, 5]
+    assert [r["info"] for r in rows] == ["one\r\ntwo\n\nthree", long.replace('""', '"'), '5" disk', '5" disk', "last"]
+    assert rows[4]["src_ip"] == "a\nb"
+    if profile == "basic":
+        with pytest.raises(SourceError, match="a quote that never ends"):
+            read_packets(spark, write(tmp_path, "open.csv", HEADER + '"1","0","a","b","TCP","3","x\n'), profile)
+    else:
+        open_quote = read_packets(spark, write(tmp_path, "open.csv", HEADER + '"1","0","a","b","TCP","3","x\n"2","0","a","b","TCP","3","y"\n'), profile)
+        assert [r["frame_number"] for r in open_quote.orderBy("frame_number").collect()] == [1, 2]
+
+
+def test_escaped_quotes_and_breaks(spark, tmp_path):
+    text = HEADER + '"1","0","a","b","TCP","3","say \\"hi\n\\" now"\n"2","0","a","b","TCP","3","end\\\\"\n3,0,a,b,TCP,3,hidden\\\nbreak\n'
+    rows = read_packets(spark, write(tmp_path, "e.csv", text)).orderBy("frame_number").collect()
+    assert [r["info"] for r in rows] == ['say "hi\n" now', "end\\", "hidden\nbreak"]
+
+
+def test_single_carriage_returns_end_lines(spark, tmp_path):
+    text = HEADER.replace("\n", "\r") + '"1","0","a","b","TCP","3","x\ry"\r"2","0","a","b","TCP","3","z"\r'
+    for mode, wanted in (("auto", [(1, "x\ry"), (2, "z")]),):
+        rows = read_packets(spark, write(tmp_path, "mac.csv", text), "extended", mode).collect()
+        assert sorted((r["frame_number"], r["info"]) for r in rows) == wanted
+
+
+def test_repeated_headers_keep_their_place(spark, tmp_path):
+    head = "Source,Destination,Protocol,Length,Info\n"
+    path = write(tmp_path, "twice.csv", head + "a,b,TCP,5,x\n" + head + 'c,d,UDP,6,"y\nz"\n')
+    rows = read_packets(spark, path).orderBy("frame_number").collect()
+    assert [(r["frame_number"], r["timestamp"], r["src_ip"], r["info"]) for r in rows] == [(1, 0.0, "a", "x"), (2, 1.0, "Source", "Info"), (3, 2.0, "c", "y\nz")]
+
+
+def test_a_foreign_file_is_listed(spark, tmp_path):
+    write(tmp_path, "a.csv", QUOTED)
+    write(tmp_path, "b.csv", 'Time,"No."\n1,2\n')
+    write(tmp_path, "c.csv", 'x,"y\nz"\n1,2\n')
+    lists = read_lists(spark, str(tmp_path))
+    assert sorted(r["frame_number"] for r in lists.packets.collect()) == [1, 2, 3]
+    assert sorted((r["file"].rsplit("/", 1)[1], r["reason"].split(" ")[0]) for r in lists.refused.collect()) == [("b.csv", "another"), ("c.csv", "another")]
+
+
+def test_text_with_stand_ins_is_kept(spark, tmp_path):
+    odd = "".join(chr(0xE000 + i) + str(i) for i in range(8))
+    row = f'"1","0","a","b","TCP","3","{odd}"\n"2","0","a","b","TCP","3","\\"{odd},\n"\n'
+    rows = read_packets(spark, write(tmp_path, "p.csv", HEADER + row)).orderBy("frame_number").collect()
+    assert [r["info"] for r in rows] == [odd, f'"{odd},\n']
+    tolerant = read_packets(spark, write(tmp_path, "p.csv", HEADER.replace('"', "") + f'"1","0","a","b","TCP","3","{odd},"\n'), mode="tolerant").first()
+    assert tolerant["info"] == f"{odd},"
