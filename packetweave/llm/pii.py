@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetweave.llm.rows import unused
-from packetweave.llm.spans import all_matches, located
+from packetweave.llm.spans import all_matches, chunked, located, part, running
+from packetweave.llm.spans import held as held_once
 
 # The base kinds in their order, then the added kind.
 PATTERNS = {
@@ -84,10 +85,9 @@ VALID = {
 }
 
 
-def _score(text: Column, span: Column, kind: str) -> Column:
-    before = F.greatest(span["start"] - WINDOW, F.lit(0))
-    around = F.concat(
-        F.substring(text, before + 1, span["start"] - before), F.lit(" "), F.substring(text, span["end"] + 1, F.lit(WINDOW)))
+def _score(chunks: Column, size: Column, span: Column, kind: str) -> Column:
+    before = part(chunks, F.greatest(span["start"] - WINDOW, F.lit(0)), span["start"])
+    around = F.concat(before, F.lit(" "), part(chunks, span["end"], F.least(span["end"] + WINDOW, size)))
     fixed = PRIOR[kind] + (CHECKSUM if kind in ("card", "iban") else 0.0)
     return F.least(F.lit(1.0), F.lit(fixed) + F.when(around.rlike(CONTEXT[kind]), NEARBY).otherwise(0.0))
 
@@ -97,30 +97,33 @@ def find_pii(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD)
     whole = F.coalesce(F.col(text), F.lit(""))
     held = {k: unused(docs.columns, f"found_{k}") for k in PATTERNS}
     found = docs.withColumns({held[k]: all_matches(whole, p) for k, p in PATTERNS.items()})
+    chunks, length = unused(docs.columns, "text_chunks"), unused(docs.columns, "text_length")
+    matched = F.greatest(*(F.size(held[k]) for k in PATTERNS)) > 0
+    # Columns of their own: inside a lambda each would be computed once per span.
+    found = found.withColumns({chunks: F.when(matched, chunked(whole)).otherwise(F.array().cast("array<string>")), length: F.length(whole)})
     kinds = []
     for rank, (kind, pattern) in enumerate(PATTERNS.items()):
         spans = F.filter(located(whole, F.col(held[kind]), pattern), lambda s: VALID[kind](s["text"]))
         kinds.append(F.transform(spans, lambda s: F.struct(
             F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"),
-            s["text"].alias("text"), _score(whole, s, kind).alias("score"))))
+            s["text"].alias("text"), _score(F.col(chunks), F.col(length), s, kind).alias("score"))))
     spans = F.filter(F.array_sort(F.concat(*kinds).cast(PII)), lambda s: s["score"] >= threshold)
-    return found.withColumn("pii", spans).drop(*held.values())
+    return found.withColumn("pii", spans).drop(*held.values(), chunks, length)
 
 
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping spans, replaced by its kind."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(state: Column, s: Column) -> Column:
-        kept = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        mark = F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= state["at"], F.concat(state["out"], kept, mark)).otherwise(state["out"]).alias("out"))
+    def told(chunks: Column, items: Column, ends: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("long")), F.slice(ends, 1, F.size(ends) - 1))
+        marks = F.zip_with(before, items, lambda at, s: F.when(s["start"] >= at, F.concat(
+            part(chunks, at, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(""))
+        return F.concat(F.array_join(marks, ""), part(chunks, F.element_at(ends, -1), F.length(text)))
 
-    begun = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    ended = F.aggregate(ordered, begun, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, ended).otherwise(text)
+    reach = lambda items: running(F.transform(items, lambda s: s["end"].cast("long")), F.greatest)
+    cut = held_once(chunked(text), lambda chunks: held_once(ordered, lambda items: held_once(reach(items), lambda ends: told(chunks, items, ends))))
+    return F.when(F.size(spans) > 0, cut).otherwise(text)
 
 
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:

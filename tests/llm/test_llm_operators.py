@@ -3,6 +3,7 @@
 import hashlib
 import html as references
 import re
+import time
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from support import rows_of
 import corpus_pipeline
 from packetweave.llm import components, decontamination, extraction, langid, mixing, pii, queries, secrets, simhash, suffix_dedup, topk, warc
 from packetweave.llm.rows import row_key, unused
+from packetweave.llm.spans import running
 
 SPACES = r"[^\x20\x09-\x0D]+"
 
@@ -475,3 +477,24 @@ def test_row_keys_tell_nulls_from_texts(spark):
     rows = spark.createDataFrame([("a", None), ("a", ""), (None, "a"), ("", "a"), ("a-", "b"), ("a", "-b")], "x string, y string")
     assert rows.select(row_key("x", "y").alias("k")).distinct().count() == 6
     assert unused(["K", "k_"], "k") == "k__"
+
+
+def test_many_matches_in_one_long_text(spark):
+    """A megabyte with a match every few characters: work grows with the text, and every span and mask is there."""
+    private = "a@b.cc 1 " * 60000 + "ü😀 a@b.cc, 10.0.0.1 tail"
+    secret = "x deadbeefdeadbeefdeadbeef0 token=abcdefg " * 12000
+    docs = spark.createDataFrame([(1, private), (2, secret)], "doc_id long, text string")
+    started = time.monotonic()
+    masked = {r.doc_id: r.text for r in pii.mask_pii(docs).collect()}
+    assert masked[1] == "<EMAIL> 1 " * 60000 + "ü😀 <EMAIL>, <IP> tail" and masked[2] == secret
+    spans = secrets.find_secrets(docs.filter("doc_id = 2")).first()["findings"]
+    assert [(s["start"], s["end"], s["kind"]) for s in spans] == [
+        x for i in range(12000) for x in ((42 * i + 2, 42 * i + 27, "hex"), (42 * i + 28, 42 * i + 41, "assign"))]
+    assert time.monotonic() - started < 60
+
+
+def test_running_totals_across_blocks(spark):
+    for n in (0, 1, 255, 256, 257, 1000):
+        values = spark.range(1).select(F.expr(f"slice(sequence(1L, {max(n, 1)}L), 1, {n})").alias("v"), F.lit(1))
+        sums, most = values.select(running(F.col("v"), lambda a, b: a + b), running(F.transform("v", lambda x: x % 7), F.greatest)).first()
+        assert sums == [i * (i + 1) // 2 for i in range(1, n + 1)] and most == [min(i, 6) for i in range(1, n + 1)]
