@@ -170,14 +170,63 @@ drawn_{step} as (
   select {zkeys}run, list_append(any_value(centres), arg_min({rounded}, {race(step)} / gap)) as centres
   from (select z.*, run, centres, list_min({gaps}) as gap from z join drawn_{step - 1} s on {join}) z
   where gap > 1e-12 group by {zkeys}run)"""
+    return f""",
+{drawn}""" + _converged(features, f"drawn_{k - 1}", captures, k)
+
+
+def oversampled(features: list[str], k: int = CLUSTERS, runs: int = S.DEFAULT_RESTARTS, seed: int = S.DEFAULT_SEED, rounds: int = 5) -> str:
+    """CTE ``near`` after ``z``: rounds of oversampled candidates, weighted draws among them, runs to convergence."""
+    d = range(1, len(features) + 1)
+    point = "[" + ", ".join(f"z{i}" for i in d) + "]"
+    rounded = "[" + ", ".join(f"round(z{i}, 9)" for i in d) + "]"
+
+    def race(label: str, number: str) -> str:
+        digits = f"substr(md5('{seed}:' || run || ':{label}:' || {number}), 1, 13)"
+        return f"-ln((('0x' || {digits})::UBIGINT::DOUBLE + 1) / {float(1 << 52)!r})"
+
+    gaps = lambda held: f"list_transform({held}, lambda c: list_distance({point}, c) ** 2)"
+    sql = f""",
+set_0 as (
+  select run, [arg_min({rounded}, {race('0', 'packet_number')})] as held, [0::BIGINT] as numbers, count(*)::DOUBLE * {len(d)} as potential
+  from z, range({runs}) as r(run) group by run)"""
+    for step in range(rounds):
+        sql += f""",
+set_{step + 1} as (
+  select run, list_concat(any_value(held), coalesce(list(point order by key, packet_number) filter (key < {2 * k} / potential), [])) as held,
+    list_concat(any_value(numbers), coalesce(list(packet_number::BIGINT order by key, packet_number) filter (key < {2 * k} / potential), [])) as numbers, sum(gap) as potential
+  from (select *, case when gap > 1e-12 then {race(f'r{step}', 'packet_number')} / gap end as key
+    from (select packet_number, {rounded} as point, run, held, numbers, potential, list_min({gaps('held')}) as gap from z, set_{step}))
+  group by run)"""
+    sql += f""",
+weights as (
+  select run, spot, count(*) as weight from (
+    select run, list_position(gs, list_min(gs)) as spot from (select run, {gaps('held')} as gs from z, set_{rounds})) group by run, spot),
+listed as (select run, unnest(held) as point, unnest(numbers) as number, unnest(range(1, len(held) + 1)) as spot from set_{rounds}),
+weighed as (select * from listed join weights using (run, spot)),
+picked_0 as (select run, [arg_min(point, ({race('w0', 'number')} / weight, number))] as centres from weighed group by run)"""
+    for step in range(1, k):
+        sql += f""",
+picked_{step} as (
+  select run, list_append(any_value(centres), arg_min(point, ({race(f'w{step}', 'number')} / (weight * gap), number))) as centres
+  from (select *, list_min(list_transform(centres, lambda c: list_distance(point, c) ** 2)) as gap from weighed join picked_{step - 1} using (run))
+  where gap > 1e-12 group by run)"""
+    return sql + _converged(features, f"picked_{k - 1}", False, k)
+
+
+def _converged(features: list[str], start: str, captures: bool, k: int) -> str:
+    """CTEs ``chosen`` and ``near``: steps from the centres of ``start``, then the cheapest run."""
+    d = range(1, len(features) + 1)
+    keys, zkeys = ("capture_id, ", "z.capture_id, ") if captures else ("", "")
+    join = "z.capture_id = s.capture_id" if captures else "true"
+    point = "[" + ", ".join(f"z{i}" for i in d) + "]"
+    gaps = f"list_transform(s.centres, lambda c: list_distance({point}, c) ** 2)"
     mean = "[" + ", ".join(
         "[" + ", ".join(f"coalesce(round(avg(z{i}) filter (cid = {c}), 9), any_value(centres[{c}][{i}]))" for i in d) + "]"
         for c in range(1, k + 1)) + "]"
     moved = " + ".join(f"list_distance(centres[{c}], stepped[{c}]) ** 2" for c in range(1, k + 1))
     return f""",
-{drawn},
 steps as (
-  select {keys}run, 0 as it, centres, true as moving from drawn_{k - 1}
+  select {keys}run, 0 as it, centres, true as moving from {start}
   union all
   select {keys}run, it + 1, stepped, {moved} > 1e-4 from (
     select {zkeys}run, it, any_value(centres) as centres, {mean} as stepped from (
@@ -400,6 +449,13 @@ def statements() -> dict[str, str]:
         "kmeans_lloyd": f"""{ea} select packet_number, cluster_id, round(distance, 6) as distance from near""",
         "kmeans_lloyd_by_capture": extended(True) + zscores(EXT, True) + lloyd(EXT, True)
         + " select capture_id, packet_number, cluster_id, round(distance, 6) as distance from near",
+        "kmeans_oversampled": extended() + zscores(EXT) + oversampled(EXT) + """
+          select packet_number, cluster_id, round(distance, 6) as distance from near""",
+        "kmeans_k20": extended() + zscores(EXT) + restarts(EXT, k=20, runs=2) + """
+          select packet_number, cluster_id, round(distance, 6) as distance from near""",
+        "centroid_distance_k20": extended() + zscores(EXT) + restarts(EXT, k=20, runs=2) + f""" select packet_number, cast(cid - 1 as int) as cluster_id,
+          round(list_distance([{", ".join(f"z{i}" for i in range(1, len(EXT) + 1))}], centre), 6) as distance
+          from z, (select unnest(centres) as centre, unnest(range(1, 21)) as cid from chosen)""",
         "kmeans_restarts": ext + zscores(EXT) + restarts(EXT)
         + " select packet_number, cluster_id, round(distance, 6) as distance from near",
         "kmeans_restarts_by_capture": extended(True) + zscores(EXT, True) + restarts(EXT, True)

@@ -23,7 +23,7 @@ from packetweave.operators.ranking import most_frequent_first, top_n, value_coun
 from packetweave.operators.sampling import sample_exact
 from packetweave.operators.scaling import z_names
 from packetweave.plans import anomalies, clusters, series, traffic
-from packetweave.plans.analysis import LLOYD, ML, RESTARTS, Analysis, AnalysisError, Settings, check_counts, fit
+from packetweave.plans.analysis import LLOYD, ML, OVERSAMPLED, RESTARTS, Analysis, AnalysisError, Settings, check_counts, fit
 from packetweave.sources import catalog, sinks
 from packetweave.sources import packets as readers
 from packetweave.storage import scratch_path
@@ -346,6 +346,26 @@ def kmeans_restarts_by_capture(spark, sf_dir):
     return model.scored().select("capture_id", "packet_number", "cluster_id", *_r6("distance"))
 
 
+def kmeans_oversampled(spark, sf_dir):
+    """Start centres from a few rounds of weighted candidates."""
+    model = _fitted(spark, sf_dir, trainer=OVERSAMPLED)
+    return model.scored().select("packet_number", "cluster_id", *_r6("distance"))
+
+
+K20 = {"trainer": RESTARTS, "k": 20, "restarts": 2}
+
+
+def kmeans_k20(spark, sf_dir):
+    return _fitted(spark, sf_dir, **K20).scored().select("packet_number", "cluster_id", *_r6("distance"))
+
+
+def centroid_distance_k20(spark, sf_dir):
+    """Distance of each packet to each of twenty centres, one row each."""
+    found = _fitted(spark, sf_dir, **K20).distances()
+    each = F.array(*[F.round(f"distance_{i}", 6) for i in range(20)])
+    return found.select("packet_number", F.posexplode(each).alias("cluster_id", "distance"))
+
+
 def kmeans_centres(spark, sf_dir):
     centres = _ext(spark, sf_dir).model.select(F.posexplode("centres").alias("cluster_id", "c"))
     return centres.select("cluster_id", *[F.round(F.col("c")[i], 6).alias(n) for i, n in enumerate(S.EXTENDED_FEATURES)])
@@ -680,6 +700,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmeans_lloyd": kmeans_lloyd,
         "kmeans_lloyd_by_capture": kmeans_lloyd_by_capture,
         "kmeans_restarts": kmeans_restarts,
+        "kmeans_oversampled": kmeans_oversampled,
+        "kmeans_k20": kmeans_k20,
+        "centroid_distance_k20": centroid_distance_k20,
         "kmeans_restarts_by_capture": kmeans_restarts_by_capture,
         "kmeans_centres": kmeans_centres,
         "centroid_distance": centroid_distance,

@@ -14,14 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetweave import schema as S
-from packetweave.operators import kmeans, kmeans_ml, restarts
+from packetweave.operators import bounded, kmeans, kmeans_ml, restarts
 from packetweave.operators.features import BASIC, EXTENDED, Profile, feature_frame, scope_facts
 from packetweave.operators.quantile import quantile_rows
 from packetweave.operators.sequence import BUCKET_FRAMES, bucket_for
 from packetweave.operators.scaling import Terms, moments, with_z, z_names
 from packetweave.storage import attach, freeze, materialize
 
-RESTARTS, LLOYD, ML = "restarts", "lloyd", "ml"
+RESTARTS, LLOYD, ML, OVERSAMPLED = "restarts", "lloyd", "ml", "oversampled"
+# Above so many centre coordinates the distances no longer fit into one compiled method.
+MOST_TERMS = 100
 
 
 class AnalysisError(ValueError):
@@ -50,12 +52,12 @@ class Settings:
             raise AnalysisError(f"k must lie in {self.k_range[0]}..{self.k_range[1]}, not {self.k}")
         if not 0 <= self.percentile <= 100:
             raise AnalysisError(f"percentile must lie in 0..100, not {self.percentile}")
-        if self.trainer not in (RESTARTS, LLOYD, ML):
+        if self.trainer not in (RESTARTS, LLOYD, ML, OVERSAMPLED):
             raise AnalysisError(f"unknown trainer {self.trainer}")
         if self.restarts < 1:
             raise AnalysisError(f"restarts must be positive, not {self.restarts}")
-        if self.trainer == ML and self.by:
-            raise AnalysisError("the ML trainer fits one model; use another trainer per capture")
+        if self.trainer in (ML, OVERSAMPLED) and self.by:
+            raise AnalysisError(f"the {self.trainer} trainer fits one model; use another trainer per capture")
 
 
 def needed_packets(settings: Settings) -> int:
@@ -102,6 +104,10 @@ class Analysis:
     def assign(self, features: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """``cluster_id`` and ``distance`` for any feature frame."""
         kept = _kept(self.by, keep)
+        if _in_blocks(self.settings, self.feature_names):
+            row = self.model.first()
+            needed = features.select(*dict.fromkeys([*kept, *self.feature_names]))
+            return bounded.labelled(needed, self.feature_names, row["means"], row["scales"], row["centres"]).select(*kept, "cluster_id", "distance")
         terms = Terms.of(self.model, self.by, len(self.feature_names), self.settings.k)
         scaled = with_z(terms.place(features), self.feature_names, terms, [*kept, *terms.columns()])
         return kmeans.nearest(scaled, terms, kept)
@@ -122,6 +128,10 @@ class Analysis:
 
     def distances(self) -> DataFrame:
         """Distance of every packet to every centre, plus the nearest one."""
+        if _in_blocks(self.settings, self.feature_names):
+            row = self.model.first()
+            found = bounded.labelled(self.packets, self.feature_names, row["means"], row["scales"], row["centres"], distances=True)
+            return found.select(*_kept(self.by, ()), "cluster_id", "distance", *[F.col("distances")[i].alias(f"distance_{i}") for i in range(self.settings.k)])
         each = [F.sqrt(F.col(f"_d{i}")).alias(f"distance_{i}") for i in range(self.settings.k)]
         return self.assign(self.packets).select(*_kept(self.by, ()), "cluster_id", "distance", *each)
 
@@ -191,6 +201,11 @@ def load(spark: SparkSession, path: str) -> Analysis:
     return Analysis(settings, tuple(head["_features"]), model, extra=dict(head["_extra"]))
 
 
+def _in_blocks(settings: Settings, names: tuple[str, ...]) -> bool:
+    """One model with many centre coordinates: distances go over blocks of rows."""
+    return not settings.by and settings.k * len(names) > MOST_TERMS
+
+
 def _kept(by: tuple[str, ...], keep: tuple[str, ...]) -> list[str]:
     return list(dict.fromkeys([*by, "frame_number", "packet_number", *keep]))
 
@@ -254,6 +269,9 @@ def _label(stored: DataFrame, trained: DataFrame, names: tuple[str, ...], settin
     the distance arithmetic.
     """
     by = settings.by
+    if _in_blocks(settings, names):
+        row = trained.first()
+        return materialize(bounded.labelled(stored, names, row["means"], row["scales"], row["centres"]), "packets")
     terms = Terms.of(trained, by, len(names), settings.k)
     kept = [f"`{c}`" for c in stored.columns]
     scaled = with_z(terms.place(stored), names, terms, [*kept, *terms.columns()])
@@ -319,7 +337,13 @@ def fit(
     stored = materialize(
         feature_frame(packets, settings.profile, facts, by, settings.keep, extra, width), "features"
     )
-    if settings.trainer == RESTARTS:
+    if settings.trainer in (RESTARTS, OVERSAMPLED) and not by:
+        row = stored.agg(*moments(names)).first()
+        starts = "oversampled" if settings.trainer == OVERSAMPLED else "drawn"
+        centres, _ = bounded.trained(
+            stored, names, row["means"], row["scales"], facts.first()["total"], settings.k, settings.restarts, settings.seed, starts)
+        trained = stored.sparkSession.createDataFrame([(row["means"], row["scales"], centres)], kmeans.TRAINED)
+    elif settings.trainer == RESTARTS:
         scale = stored.groupBy(*by).agg(*moments(names))
         trained = restarts.restarted(stored, names, scale, by, settings.k, settings.restarts, settings.seed)
     elif settings.trainer == ML:
