@@ -213,6 +213,41 @@ picked_{step} as (
     return sql + _converged(features, f"picked_{k - 1}", False, k)
 
 
+def _refit(k: int = CLUSTERS, decay: float = 0.9) -> str:
+    """Centres of a full fit on the first half of the packets, and after one weighted step by the second half."""
+    d = range(1, len(EXT) + 1)
+    half = f"(select count(*) // 2 from events)"
+    first = extended().replace(duckdb_packets(), f"select * from ({duckdb_packets()}) where frame_number <= {half}", 1)
+    row = lambda name: "[" + ", ".join(f"{name}{i}" for i in d) + "]"
+    moments = lambda source: f"select count(*) as n, " + ", ".join(
+        f"avg({_number(_q(f))}) as m{i}, var_pop({_number(_q(f))}) * count(*) as v{i}" for i, f in enumerate(EXT, 1)) + f" from {source}"
+    merged = ", ".join(
+        f"(a.n * a.m{i} + b.n * b.m{i}) / (a.n + b.n) as m{i}, a.v{i} + b.v{i} + (b.m{i} - a.m{i}) ** 2 * (a.n::DOUBLE * b.n / (a.n + b.n)) as v{i}" for i in d)
+    scale = lambda v, n: f"case when {v} = 0 then 1.0 else sqrt({v} / {n}) end"
+    point = "[" + ", ".join(f"({_q(f)} - m{i}) / s{i}" for i, f in enumerate(EXT, 1)) + "]"
+    names = "[" + ", ".join(f"'{n}'" for n in EXT) + "]"
+    out = lambda batch, so_far, kind, read, source: (
+        f"select {batch}::BIGINT as batch_id, ({so_far})::BIGINT as packets_so_far, '{kind}' as kind, ({read})::BIGINT as packets_read, cluster_id::INTEGER as cluster_id,"
+        f" unnest({names}) as feature, unnest(list_transform(centre, lambda x: round(x, 6))) as centre from {source}")
+    return f"""
+with recursive begun as ({first}{zscores(EXT)}{restarts(EXT, k=k)}, own as ({moments("feats")})
+  select cid - 1 as cluster_id, centre, (select count(*) from near where cluster_id = cid - 1) as weight, own.* from
+    (select unnest(centres) as centre, unnest(range(1, {k + 1})) as cid from chosen), own),
+later as ({extended()} select * from feats where frame_number > {half}),
+own as ({moments("later")}),
+both_ as (select a.n + b.n as n, {merged} from (select distinct n, {", ".join(f"m{i}, v{i}" for i in d)} from begun) a, own b),
+scaled as (select *, {", ".join(f"{scale(f'v{i}', 'n')} as s{i}" for i in d)} from both_),
+moved as (select cluster_id, weight, [{", ".join(f"(b.centre[{i}] * {scale(f'b.v{i}', 'b.n')} + b.m{i} - s.m{i}) / s.s{i}" for i in d)}] as c from begun b, scaled s),
+held as (select list(c order by cluster_id) as cs from moved),
+placed as (select z, list_position(gaps, list_min(gaps)) - 1 as cluster_id from (
+  select z, list_transform(cs, lambda c: list_distance(z, c) ** 2) as gaps from (select {point} as z from later, scaled), held)),
+sums as (select cluster_id, count(*) as n, [{", ".join(f"sum(z[{i}])" for i in d)}] as total from placed group by cluster_id),
+stepped as (select cluster_id, case when n is null then c else list_transform(range(1, {len(d) + 1}),
+    lambda i: ({decay} * weight * c[i] + total[i]) / ({decay} * weight + n)) end as centre from moved left join sums using (cluster_id))
+{out(0, f"select {half}", "full", f"select {half}", "begun")}
+union all {out(1, "select count(*) from events", "step", f"select count(*) - {half} from events", "stepped")}"""
+
+
 def _converged(features: list[str], start: str, captures: bool, k: int) -> str:
     """CTEs ``chosen`` and ``near``: steps from the centres of ``start``, then the cheapest run."""
     d = range(1, len(features) + 1)
@@ -602,9 +637,7 @@ def statements() -> dict[str, str]:
         "stream_delta": f"""with packets as ({duckdb_packets(True)})
           select capture_id, frame_number, round(coalesce("timestamp" - lag("timestamp") over
             (partition by capture_id order by frame_number), 0.0), 6) as time_delta from packets""",
-        "stream_refit": f"""{pk}, n as (select count(*) as total from packets)
-          select 0 as batch_id, total // 2 as packets_so_far, total // 2 as total_packets from n
-          union all select 1, total, total from n""",
+        "stream_refit": _refit(),
         "stream_counts": f"""with packets as ({duckdb_packets(True)})
           select capture_id, protocol, count(*) as packets from packets where protocol is not null group by 1, 2""",
         # extension and guards

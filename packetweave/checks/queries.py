@@ -27,7 +27,7 @@ from packetweave.plans.analysis import LLOYD, ML, OVERSAMPLED, RESTARTS, Analysi
 from packetweave.sources import catalog, sinks
 from packetweave.sources import packets as readers
 from packetweave.storage import scratch_path
-from packetweave.streaming import LiveScorer, Refitter, packet_stream, running_counts
+from packetweave.streaming import LiveScorer, MergingRefitter, packet_stream, running_counts
 
 CAPTURE = ("capture_id",)
 KEPT = ("src_ip", "dst_ip", "protocol", "info", "packet_length")
@@ -600,10 +600,16 @@ def stream_delta(spark, sf_dir):
 
 
 def stream_refit(spark, sf_dir):
-    refitter = Refitter(scratch_path(spark, "refit"), {"trainer": LLOYD})
+    """Centres of each stored model: a full fit by the default trainer, then a weighted step from merged state."""
+    refitter = MergingRefitter(scratch_path(spark, "refit"), {"trainer": RESTARTS})
     for folder in _in_parts(spark, sf_dir, captures=False, parts=2):
         refitter.start(packet_stream(spark, folder), availableNow=True).awaitTermination()
-    return refitter.fits(spark).select("batch_id", "packets_so_far", "total_packets")
+    models = spark.read.parquet(f"{refitter.folder}/models/*").withColumn("batch_id", F.regexp_extract(F.input_file_name(), "/models/([0-9]+)/", 1).cast("long"))
+    centres = models.select("batch_id", F.posexplode("centres").alias("cluster_id", "centre"))
+    centres = centres.select("batch_id", "cluster_id", F.posexplode(F.arrays_zip(F.array(*[F.lit(n) for n in S.EXTENDED_FEATURES]).alias("feature"), "centre")).alias("at", "pair"))
+    told = refitter.fits(spark)
+    return centres.join(told, "batch_id").select(
+        "batch_id", "packets_so_far", "kind", "packets_read", "cluster_id", F.col("pair.feature").alias("feature"), F.round("pair.centre", 6).alias("centre"))
 
 
 def stream_counts(spark, sf_dir):

@@ -45,15 +45,23 @@ def scope_facts(packets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     A single scan with map-side combining gives counts and time range per
     protocol; everything else is computed from that small table.
     """
+    return facts_of(materialize(protocol_counts(packets, by), "protocols"), by)
+
+
+def protocol_counts(packets: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Packets and time range per protocol; such rows of different packets add up (``merged_counts``)."""
     filled = with_defaults(packets)
-    per_protocol = materialize(
-        filled.groupBy(*by, "protocol").agg(
-            F.count(F.lit(1)).alias("packets"),
-            F.min(F.coalesce(_number(filled, "timestamp"), F.lit(0.0))).alias("t_min"),
-            F.max(F.coalesce(_number(filled, "timestamp"), F.lit(0.0))).alias("t_max"),
-        ),
-        "protocols",
-    )
+    clock = F.coalesce(_number(filled, "timestamp"), F.lit(0.0))
+    return filled.groupBy(*by, "protocol").agg(F.count(F.lit(1)).alias("packets"), F.min(clock).alias("t_min"), F.max(clock).alias("t_max"))
+
+
+def merged_counts(one: DataFrame, other: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return one.unionByName(other).groupBy(*by, "protocol").agg(
+        F.sum("packets").alias("packets"), F.min("t_min").alias("t_min"), F.max("t_max").alias("t_max"))
+
+
+def facts_of(per_protocol: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Scope rows from a written table of protocol counts."""
     totals = per_protocol.groupBy(*by).agg(
         F.sum("packets").alias("total"), F.min("t_min").alias("t_min"), F.max("t_max").alias("t_max")
     )

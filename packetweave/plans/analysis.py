@@ -351,6 +351,15 @@ def fit(
     else:
         trained = _training_rows(stored, facts, names, settings)
         trained = kmeans.lloyd(stored, names, trained, by, settings.k, settings.iterations)
+    return finished(stored, facts, trained, names, settings, rejected, extra)
+
+
+def finished(
+    stored: DataFrame, facts: DataFrame, trained: DataFrame, names: tuple[str, ...], settings: Settings,
+    rejected: DataFrame | None = None, extra: Mapping[str, Column | str] | None = None,
+) -> Analysis:
+    """The analysis of stored features with trained centres: labels, scores and threshold."""
+    by = settings.by
     labelled = _label(stored, trained, names, settings)
     scores = _score_rows(labelled, settings)
     if by:

@@ -2,4 +2,6 @@
 
 from packetweave.streaming.live import LiveScorer, Refitter, packet_stream, running_counts
 
-__all__ = ["LiveScorer", "Refitter", "packet_stream", "running_counts"]
+from packetweave.streaming.refit import MergingRefitter
+
+__all__ = ["LiveScorer", "MergingRefitter", "Refitter", "packet_stream", "running_counts"]

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from packetweave import fit, load
 from packetweave.checks.views import spark_packets
 from packetweave.storage import scratch_path
-from packetweave.streaming import LiveScorer, Refitter, packet_stream, running_counts
+from packetweave.streaming import LiveScorer, MergingRefitter, Refitter, packet_stream, running_counts
 
 BY = ("capture_id",)
 
@@ -114,3 +114,39 @@ def test_running_counts(spark, small):
     found = {r["protocol"]: r["packets"] for r in spark.table("counts").collect()}
     expected = packets.filter("protocol is not null").groupBy("protocol").count().collect()
     assert found == {r["protocol"]: r["count"] for r in expected}
+
+
+def test_steps_read_their_batch_only(spark, small, tmp_path):
+    """After the first fit no history is read until the cost drifts; then all of it is."""
+    packets = spark_packets(spark, small).withColumn("length", F.col("length").cast("double"))
+    refitter = MergingRefitter(str(tmp_path / "refit"), {"trainer": "lloyd", "iterations": 2}, every=200)
+    parts = [packets.filter(f"frame_number > {low} and frame_number <= {high}") for low, high in ((0, 50), (50, 300), (300, 550), (550, 800))]
+    refitter._batch(parts[0], 0)
+    assert refitter.newest(spark) is None
+    refitter._batch(parts[1], 1)
+    # Nothing can be read from these any more.
+    held = {f: f.read_bytes() for i in (0, 1) for f in (tmp_path / "refit" / "history" / f"batch={i}").glob("*.parquet")}
+    for f in held:
+        f.write_bytes(b"unreadable")
+    refitter._batch(parts[2], 2)
+    first = spark.read.parquet(f"{refitter.folder}/state/2").first()
+    refitter._batch(parts[2], 2)
+    assert spark.read.parquet(f"{refitter.folder}/state/2").first() == first
+    refitter._batch(packets.limit(0), 3)
+    for f, content in held.items():
+        f.write_bytes(content)
+    # Packets unlike all before: the cost drifts.
+    refitter._batch(parts[3].withColumn("length", F.col("length") * 1000), 4)
+    told = [tuple(r) for r in refitter.fits(spark).orderBy("batch_id").collect()]
+    assert told == [(1, 300, "full", 300), (2, 550, "step", 250), (4, 800, "full", 800)]
+    scored = refitter.newest(spark)
+    assert scored.settings.k == 5
+
+
+def test_merged_moments_are_those_of_all(spark, small):
+    from packetweave.streaming.refit import Moments
+
+    rows = spark_packets(spark, small).select(F.col("frame_number").cast("double").alias("a"), F.col("length").cast("double").alias("b"))
+    whole = Moments.of(rows, ("a", "b"))
+    parts = Moments.of(rows.filter("a < 100"), ("a", "b")).merged(Moments.of(rows.filter("a >= 100"), ("a", "b")))
+    assert parts.n == whole.n and abs(parts.means - whole.means).max() < 1e-9 and abs(parts.squares / whole.squares - 1).max() < 1e-9
