@@ -387,6 +387,9 @@ def statements() -> dict[str, str]:
           dst_ip as "Destination", protocol as "Protocol", info as "Info" from packets""",
         "capture_catalog": f"""with packets as ({duckdb_packets(True)})
           select distinct capture_id, 'cap' as suffix, 2 as depth, true as below_limit from packets""",
+        "capture_records": f"""with packets as ({duckdb_packets(True)})
+          select capture_id, count(*) as packets, count(*) as last_number, sum(length)::BIGINT as bytes,
+            round(min("timestamp"), 6) as first_time, round(max("timestamp"), 6) as last_time, 0::BIGINT as broken from packets group by capture_id""",
         "capture_order": f"""with packets as ({duckdb_packets(True)})
           select distinct capture_id, case capture_id when 'cap2' then 0 when 'cap0' then 1 else 2 end::BIGINT as newer from packets""",
         "latest_capture": "select 'pcapng' as suffix, 1 as depth, count(*) > 0 as is_count from events",
@@ -634,6 +637,8 @@ def statements() -> dict[str, str]:
         # streaming
         "stream_score": f"""{ea} select packet_number, cluster_id, round(anomaly_score, 6) as anomaly_score, is_anomaly
           from scored""",
+        "stream_score_csv": f"""{ea} select packet_number, cluster_id, round(anomaly_score, 6) as anomaly_score, is_anomaly,
+          1::BIGINT as latin1, 1::BIGINT as ragged from scored""",
         "stream_delta": f"""with packets as ({duckdb_packets(True)})
           select capture_id, frame_number, round(coalesce("timestamp" - lag("timestamp") over
             (partition by capture_id order by frame_number), 0.0), 6) as time_delta from packets""",

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetweave import schema as S
+from packetweave.checks.capture_files import write_capture_files
 from packetweave.checks.views import spark_packets
 from packetweave.functions import predicates as P
 from packetweave.functions.numbers import to_number
@@ -26,8 +27,9 @@ from packetweave.plans import anomalies, clusters, series, traffic
 from packetweave.plans.analysis import LLOYD, ML, OVERSAMPLED, RESTARTS, Analysis, AnalysisError, Settings, check_counts, fit
 from packetweave.sources import catalog, sinks
 from packetweave.sources import packets as readers
+from packetweave.sources.captures import read_capture_records
 from packetweave.storage import scratch_path
-from packetweave.streaming import LiveScorer, MergingRefitter, packet_stream, running_counts
+from packetweave.streaming import ListArrivals, LiveScorer, MergingRefitter, packet_stream, running_counts
 
 CAPTURE = ("capture_id",)
 KEPT = ("src_ip", "dst_ip", "protocol", "info", "packet_length")
@@ -239,6 +241,17 @@ def capture_order(spark, sf_dir):
     return placed.join(before, F.col("_other") < F.col("place"), "left").groupBy("capture_id").agg(F.count("_other").alias("newer"))
 
 
+def capture_records(spark, sf_dir):
+    """Packets, times and lengths of capture files, from their chains of records."""
+    folder = scratch_path(spark, "pcap")
+    write_capture_files(spark_packets(spark, sf_dir, captures=True), folder)
+    found = read_capture_records(spark, folder)
+    name = F.regexp_extract("capture_id", r"([^/]+)\.pcap$", 1).alias("capture_id")
+    return found.groupBy(name).agg(
+        F.count("number").alias("packets"), F.max("number").alias("last_number"), F.sum("original_length").alias("bytes"),
+        F.round(F.min("timestamp"), 6).alias("first_time"), F.round(F.max("timestamp"), 6).alias("last_time"), F.count("broken").alias("broken"))
+
+
 def latest_capture(spark, sf_dir):
     """Two files, written one after the other: the packets, then how many they are."""
     path, packets = scratch_path(spark, "flat"), _raw_named(spark_packets(spark, sf_dir))
@@ -592,6 +605,33 @@ def stream_score(spark, sf_dir):
     return _round(scorer.results(spark), "anomaly_score").select("packet_number", "cluster_id", "anomaly_score", "is_anomaly")
 
 
+def stream_score_csv(spark, sf_dir):
+    """Packet lists that arrive as files, a Latin-1 and a ragged one among them."""
+    arrivals, source = ListArrivals(scratch_path(spark, "lists")), scratch_path(spark, "list-arrivals")
+    scorer = LiveScorer(_ext(spark, sf_dir), scratch_path(spark, "live"), lists=arrivals)
+    packets = spark_packets(spark, sf_dir)
+    total, n = packets.count(), F.col("frame_number")
+    third = F.ceil(n * 3 / total)
+    arrow = F.coalesce(F.col("info").contains("→"), F.lit(False))
+    whole = F.col("src_ip").isNotNull() & F.col("protocol").isNotNull()
+    parts = (
+        ("plain", third == 1, {}), ("latin1", (third == 2) & ~arrow, {"encoding": "ISO-8859-1"}), ("rest", (third == 2) & arrow, {}),
+        ("ragged", (third == 3) & whole, {}), ("last", (third == 3) & ~whole, {}))
+    for name, own, options in parts:
+        rows = packets.filter(own)
+        if name == "latin1":
+            rows = rows.withColumn("info", F.concat("info", F.lit(" é")))
+        frame = _raw_named(rows)
+        writer = frame.withColumn("more", F.lit("x")) if name == "ragged" else frame
+        lines = writer.select(F.concat_ws(",", *[F.concat(F.lit('"'), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit('"')) for c in writer.columns]).alias(",".join(S.RAW_COLUMNS)))
+        out = lines.coalesce(1).write.mode("append").option("header", True).option("sep", "\u0001").option("quote", "").options(**options)
+        out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(source)
+        if name in ("plain", "rest", "last"):
+            scorer.start(arrivals.stream(spark, source), availableNow=True).awaitTermination()
+    odd = arrivals.files(spark).agg(F.count_if("latin1").alias("latin1"), F.count_if("ragged").alias("ragged"))
+    return _round(scorer.results(spark), "anomaly_score").select("packet_number", "cluster_id", "anomaly_score", "is_anomaly").crossJoin(F.broadcast(odd))
+
+
 def stream_delta(spark, sf_dir):
     scorer = LiveScorer(_fitted(spark, sf_dir, captures=True), scratch_path(spark, "live"))
     for folder in _in_parts(spark, sf_dir, captures=True):
@@ -741,7 +781,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fit_with_short_captures": fit_with_short_captures,
         "stream_new_capture": stream_new_capture,
         "score_cutoff_by_capture": score_cutoff_by_capture,
-        "capture_facts": capture_facts, "capture_order": capture_order,
+        "capture_facts": capture_facts, "capture_order": capture_order, "capture_records": capture_records,
         "score_cutoff": score_cutoff,
         "anomaly_report": lambda s, d: _round(anomalies.anomaly_report(_bas8(s, d), "packet_length"), "avg_length"),
         "feature_importance": lambda s, d: _round(series.feature_importance(_ext(s, d)), "importance"),
@@ -759,6 +799,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_score": stream_score,
         "stream_delta": stream_delta,
         "stream_refit": stream_refit,
+        "stream_score_csv": stream_score_csv,
         "stream_counts": stream_counts,
         "custom_feature": custom_feature,
         "guards": guards,

@@ -93,10 +93,15 @@ def _canonical(df: DataFrame, fill: bool) -> DataFrame:
 
 @dataclass(frozen=True)
 class PacketLists:
-    """Canonical packets of the lists that could be read, and (file, capture_id, reason) of the others."""
+    """Canonical packets of the lists that could be read, and (file, capture_id, reason) of the others.
+
+    ``files`` has what was decided about the odd files: latin1, overlong, closed, headed; ``header`` is that of all.
+    """
 
     packets: DataFrame
     refused: DataFrame
+    files: DataFrame
+    header: str
 
 
 def _odd_files(inspected: DataFrame) -> DataFrame:
@@ -144,8 +149,9 @@ def read_lists(
     profile: str = "extended",
     mode: str = "auto",
     capture_by: str = "file_path",
+    header: str | None = None,
 ) -> PacketLists:
-    """Canonical packets of one or many packet lists that share the header of the first one.
+    """Canonical packets of one or many packet lists that share the header of the first one, or the given one.
 
     A capture is a file, named by its path, as files in different folders may
     have one name.  Only the first record of a file is taken for its header.  A
@@ -172,7 +178,7 @@ def read_lists(
         raw = L.read_lines(spark, paths, capture_by)
     except AnalysisException as error:
         raise SourceError(f"no packet list at {paths}") from error
-    header = L.header_text(raw)
+    header = header or L.header_text(raw)
     if header is None:
         raise SourceError(f"empty packet list at {paths}")
     quoted = next(csv.reader([header]))
@@ -225,7 +231,7 @@ def read_lists(
     named = split.select(
         "capture_id", "_file", "_split", "_place", *[F.col("_fields")[i].alias(c) for i, c in enumerate(columns)]
     )
-    return PacketLists(_canonical(renamed(named), fill=extended), refused)
+    return PacketLists(_canonical(renamed(named), fill=extended), refused, facts, header)
 
 
 def read_packets(

@@ -2,6 +2,7 @@
 
 from packetweave.streaming.live import LiveScorer, Refitter, packet_stream, running_counts
 
+from packetweave.streaming.lists import ListArrivals
 from packetweave.streaming.refit import MergingRefitter
 
-__all__ = ["LiveScorer", "MergingRefitter", "Refitter", "packet_stream", "running_counts"]
+__all__ = ["ListArrivals", "LiveScorer", "MergingRefitter", "Refitter", "packet_stream", "running_counts"]

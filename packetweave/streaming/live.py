@@ -20,6 +20,8 @@ from packetweave import schema as S
 from packetweave.functions.numbers import as_double
 from packetweave.operators.features import feature_frame
 from packetweave.plans import analysis as A
+from packetweave.streaming.lists import ListArrivals
+from packetweave.streaming.refit import MergingRefitter
 
 
 def packet_stream(
@@ -78,14 +80,16 @@ class LiveScorer:
     the keyed ``analysis`` doesn't know are scored by the pooled model.  The
     column ``model`` tells which was used: ``own``, ``pooled``, or null where
     neither knows the capture.  With a ``refitter`` every batch is scored by the
-    newest model that it has stored, and by ``analysis`` before there is one.
+    newest model that it has stored, and by ``analysis`` before there is one.  With ``lists`` the
+    stream is that of files that arrive (``ListArrivals.stream``).
     """
 
     analysis: A.Analysis
     folder: str
     keep: tuple[str, ...] = ()
     fallback: A.Analysis | None = None
-    refitter: Refitter | None = None
+    refitter: Refitter | MergingRefitter | None = None
+    lists: ListArrivals | None = None
     _state: _State = field(init=False)
 
     def __post_init__(self) -> None:
@@ -122,6 +126,9 @@ class LiveScorer:
 
     def _write(self, batch: DataFrame, batch_id: int) -> None:
         newest = self.refitter.newest(batch.sparkSession) if self.refitter else None
+        if self.lists:
+            batch = self.lists.packets(batch, batch_id)
+            batch = batch if self.analysis.by else batch.drop(S.CAPTURE)
         # The batch feeds the score and the stream's state; its source is read once.
         scored = self.score(A.materialize(batch, "live-batch"), batch_id, newest)
         scored.write.mode("overwrite").parquet(f"{self.folder}/scored/batch={batch_id}")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from packetweave import fit, load
 from packetweave.checks.views import spark_packets
 from packetweave.storage import scratch_path
-from packetweave.streaming import LiveScorer, MergingRefitter, Refitter, packet_stream, running_counts
+from packetweave.streaming import ListArrivals, LiveScorer, MergingRefitter, Refitter, packet_stream, running_counts
 
 BY = ("capture_id",)
 
@@ -150,3 +150,23 @@ def test_merged_moments_are_those_of_all(spark, small):
     whole = Moments.of(rows, ("a", "b"))
     parts = Moments.of(rows.filter("a < 100"), ("a", "b")).merged(Moments.of(rows.filter("a >= 100"), ("a", "b")))
     assert parts.n == whole.n and abs(parts.means - whole.means).max() < 1e-9 and abs(parts.squares / whole.squares - 1).max() < 1e-9
+
+
+def test_lists_arrive_with_one_header(spark, tmp_path):
+    """Later files follow the header of the first batch; odd and foreign ones are listed; a repeated batch decides alike."""
+    head = "No.,Time,Source,Destination,Protocol,Length,Info\n"
+    arrivals, source = ListArrivals(str(tmp_path / "own")), tmp_path / "in"
+    source.mkdir()
+    files = [
+        {"empty.csv": b"", "a.csv": (head + '1,0,a,b,TCP,5,"x\ny"\n').encode()},
+        {"b.csv": (head + "2,1,a,b,TCP,5,caf\xe9\n").encode("latin1"), "c.csv": (head + "3,2,a,b,TCP,5,x,more\n").encode(), "d.csv": b"Info,No.\nx,4\n"}]
+    for batch_id, arrived in enumerate(files):
+        for name, content in arrived.items():
+            (source / name).write_bytes(content)
+        listed = spark.createDataFrame([(f"{source}/{n}", len(c)) for n, c in arrived.items()], "path string, length bigint")
+        for _ in range(2):
+            found = sorted((r["frame_number"], r["info"]) for r in arrivals.packets(listed, batch_id).collect())
+            assert found == ([(1, "x\ny")] if batch_id == 0 else [(2, "café"), (3, "x")])
+    told = {r["file"].rsplit("/", 1)[1]: (r["latin1"], r["ragged"], r["reason"] is not None) for r in arrivals.files(spark).collect()}
+    assert told == {"a.csv": (False, False, False), "b.csv": (True, False, False), "c.csv": (False, True, False), "d.csv": (False, False, True)}
+    assert arrivals.packets(listed.limit(0), 2).collect() == []
