@@ -24,17 +24,16 @@ centres absent (null).
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetweave.operators.kmeans import CENTRE_PLACES
-from packetweave.operators.restarts import COST_PLACES, MOST_STEPS, SAME_POINT, TOLERANCE, uniform
+from packetweave.operators.restarts import COST_PLACES, MOST_STEPS, SAME_POINT, TOLERANCE
 from packetweave.storage import materialize
 
 ROUNDS, OVERSAMPLING = 5, 2
@@ -205,14 +204,17 @@ def potentials(rows: DataFrame, centres: Centres, told: Told) -> dict[int, float
 # Start centres.
 
 
-def _races(rows: DataFrame, runs: int, seed: int, label: Column) -> DataFrame:
-    """Rows with ``race``: one exponential number per run."""
-    return rows.select("packet_number", "z", F.array(*[-F.log(uniform(seed, F.lit(run), label, F.col("packet_number"))) for run in range(runs)]).alias("race"))
+def races(seed: int, run: int, label: str, numbers: list[int]) -> np.ndarray:
+    """Exponential numbers of packets: -ln of ``restarts.uniform``."""
+    head = f"{seed}:{run}:{label}:"
+    digests = b"".join([hashlib.md5(f"{head}{n}".encode(), usedforsecurity=False).digest()[:8] for n in numbers])
+    return -np.log(((np.frombuffer(digests, ">u8") >> np.uint64(12)).astype(np.float64) + 1.0) / float(1 << 52))
 
 
-def _raced(held: pa.RecordBatch, sets: list[np.ndarray], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the packets that may be drawn next to the run's centres, their squared distances and places."""
-    z, race = _matrix(held.column(1)), _matrix(held.column(2))[:, run]
+def _raced(batch: pa.RecordBatch, sets: list[np.ndarray], run: int, seed: int, label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the packets that may be drawn next to the run's centres, the squared distances of all, and the places of the former."""
+    z = _matrix(batch.column(1))
+    race = races(seed, run, label, batch.column(0).to_pylist())
     if not len(sets[run]):
         return race, np.zeros(len(z)), np.arange(len(z))
     gap = squares(z, sets[run]).min(axis=0)
@@ -227,7 +229,7 @@ def _winners(rows: DataFrame, sets: list[np.ndarray], seed: int, label: str, tol
         for batch in batches:
             found = []
             for run in range(len(sets)) if len(batch) else ():
-                keys, _, at = _raced(batch, sets, run)
+                keys, _, at = _raced(batch, sets, run, seed, label)
                 if len(keys):
                     won = int(keys.argmin())
                     found.append((run, float(keys[won]), batch.column(1)[int(at[won])].as_py()))
@@ -236,7 +238,7 @@ def _winners(rows: DataFrame, sets: list[np.ndarray], seed: int, label: str, tol
                 [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.list_(pa.float64()))], names=["run", "key", "z"])
 
     told.jobs += 1
-    raced = _races(rows, len(sets), seed, F.lit(label)).mapInArrow(first, "run int, key double, z array<double>")
+    raced = rows.select("packet_number", "z").mapInArrow(first, "run int, key double, z array<double>")
     won = {r["run"]: r["z"] for r in raced.groupBy("run").agg(F.min_by("z", "key").alias("z")).collect()}
     return [np.array([round(x, CENTRE_PLACES) for x in won[run]]) if run in won else None for run in range(len(sets))]
 
@@ -257,7 +259,7 @@ def _round(rows: DataFrame, sets: list[np.ndarray], numbers: list[list[int]], se
         for batch in batches:
             out: list[tuple] = []
             for run in range(len(sets)) if len(batch) else ():
-                keys, gap, at = _raced(batch, sets, run)
+                keys, gap, at = _raced(batch, sets, run, seed, f"r{step}")
                 out.append((run, float(gap.sum()), None))
                 for i in np.flatnonzero(keys < limits[run]):
                     out.append((run, None, {"key": float(keys[i]), "number": batch.column(0)[int(at[i])].as_py(), "z": batch.column(1)[int(at[i])].as_py()}))
@@ -267,8 +269,7 @@ def _round(rows: DataFrame, sets: list[np.ndarray], numbers: list[list[int]], se
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["run", "gap", "entry"])
 
     told.jobs += 1
-    raced = _races(rows, len(sets), seed, F.lit(f"r{step}"))
-    found = raced.mapInArrow(below, "run int, gap double, entry struct<key:double,number:bigint,z:array<double>>")
+    found = rows.select("packet_number", "z").mapInArrow(below, "run int, gap double, entry struct<key:double,number:bigint,z:array<double>>")
     # About OVERSAMPLING * k entries per run are expected, whatever the input.
     told_rows = found.groupBy("run").agg(F.sum("gap").alias("potential"), F.array_sort(F.collect_list("entry")).alias("entries")).collect()
     potentials = [0.0] * len(sets)
@@ -281,12 +282,6 @@ def _round(rows: DataFrame, sets: list[np.ndarray], numbers: list[list[int]], se
     return potentials
 
 
-def _hashed(seed: int, *parts: object) -> float:
-    """``uniform`` of a few known parts, on the driver."""
-    digest = hashlib.md5(":".join(map(str, (seed, *parts))).encode(), usedforsecurity=False).hexdigest()
-    return (int(digest[:13], 16) + 1.0) / float(1 << 52)
-
-
 def weighted_draw(candidates: np.ndarray, weights: np.ndarray, numbers: list[int], k: int, seed: int, run: int) -> np.ndarray:
     """``k`` of a few weighted candidates, one by one, by races with weight times squared distance."""
     chosen, gap = np.full((k, candidates.shape[1]), np.nan), np.ones(len(candidates))
@@ -294,7 +289,8 @@ def weighted_draw(candidates: np.ndarray, weights: np.ndarray, numbers: list[int
         open_ = [i for i in range(len(candidates)) if weights[i] > 0 and gap[i] > SAME_POINT]
         if not open_:
             break
-        best = min(open_, key=lambda i: (-math.log(_hashed(seed, run, f"w{step}", numbers[i])) / (weights[i] * gap[i]), numbers[i]))
+        race = races(seed, run, f"w{step}", [numbers[i] for i in open_])
+        best = min(zip(race / (weights[open_] * gap[open_]), [numbers[i] for i in open_], open_, strict=True))[2]
         chosen[step] = candidates[best]
         new = ((candidates - candidates[best]) ** 2).sum(axis=1)
         gap = new if step == 0 else np.minimum(gap, new)
