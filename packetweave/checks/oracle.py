@@ -462,6 +462,9 @@ def statements() -> dict[str, str]:
         "top_sources": f"""{pk} select src_ip, count(*) as packets,
           round(count(*) * 100.0 / (select count(*) from packets), 6) as percent from packets
           where src_ip is not null group by src_ip order by packets desc, src_ip limit 5""",
+        "top_sources_exact_summary": f"""{pk} select src_ip, count(*) as packets,
+          round(count(*) * 100.0 / (select count(*) from packets), 6) as percent from packets
+          where src_ip is not null group by src_ip order by packets desc, src_ip limit 5""",
         "top_destinations": f"""{pk} select dst_ip, count(*) as packets,
           round(count(*) * 100.0 / (select count(*) from packets), 6) as percent from packets
           where dst_ip is not null group by dst_ip order by packets desc, dst_ip limit 5""",

@@ -739,6 +739,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "protocol_distribution": _share("protocol"),
         "length_stats": length_stats,
         "capture_rate": capture_rate,
+        "top_sources_exact_summary": lambda s, d: _round(traffic.top_shares(spark_packets(s, d), "src_ip"), "percent").select("src_ip", "packets", "percent"),
         "top_sources": _share("src_ip", 5),
         "top_destinations": _share("dst_ip", 5),
         "traffic_summary": lambda s, d: _round(traffic.traffic_summary(spark_packets(s, d)), "value"),

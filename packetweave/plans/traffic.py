@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetweave.functions.numbers import as_double
-from packetweave.operators import ranking
+from packetweave.operators import heavy, ranking
 from packetweave.storage import attach
 
 
@@ -44,6 +44,13 @@ def shares(packets: DataFrame, column: str, by: tuple[str, ...] = (), top: int |
     return joined.withColumn("percent", F.col("packets") * 100.0 / F.col("total")).drop("total")
 
 
+def top_shares(packets: DataFrame, column: str, top: int = 5) -> DataFrame:
+    """As ``shares`` with ``top``, for columns of very many values: from summaries per task, exact all the same."""
+    found = heavy.top_values(packets, column, top).rows
+    total = packets.agg(F.count(F.lit(1)).alias("total"))
+    return attach(found, total, ()).withColumn("percent", F.col("packets") * 100.0 / F.col("total")).drop("total")
+
+
 def traffic_summary(packets: DataFrame, by: tuple[str, ...] = (), top: int = 5) -> DataFrame:
     """All sections in long form: ``section, item, rank, packets, value``.
 
