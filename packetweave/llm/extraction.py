@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
@@ -50,8 +51,8 @@ CLOSES = {
     "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"},
 }
 SCOPES = frozenset("html body article main section div aside nav ul ol dl table blockquote form footer header td th li fieldset figure".split())
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|[^<]+|<""", re.DOTALL)
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|[^<]+", re.DOTALL)
+OPENING = re.compile(r"</?[a-zA-Z]")
 NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=[\s/]|$)|hidden\s*=|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.IGNORECASE)
 PART = re.compile(r"[-_]+")
@@ -101,10 +102,60 @@ def boilerplate(tag: str, names: list[tuple[str, str]], within: frozenset[str])
     return frozenset(found)
 
 
+class _Next:
+    """Where a pattern is found next; places asked for ascend, so a text is searched once."""
+
+    def __init__(self, pattern: str, text: str) -> None:
+        self.search, self.text, self.start, self.at = re.compile(pattern).search, text, 0, -1
+
+    def __call__(self, place: int) -> int:
+        """The place of the next match from ``place`` on, or the end of the text."""
+        if not self.start <= place <= self.at:
+            found = self.search(self.text, place)
+            self.start, self.at = place, found.start() if found else len(self.text)
+        return self.at
+
+
+class _Tags:
+    """Ends of tags, with quoted values skipped.
+
+    Where a tag ends follows from any place outside quotes inside it, so that is
+    kept for each such place: tags that never end are not searched again and again.
+    """
+
+    def __init__(self, html: str) -> None:
+        self.html, self.known = html, {}
+        self.name, self.special = _Next(r"[\s/>]", html), _Next("[>\"']", html)
+        self.closing = {quote: _Next(quote, html) for quote in "\"'"}
+
+    def end(self, place: int) -> int:
+        """The place of the ``>`` that ends a tag whose name ends at ``place``, or -1."""
+        passed, found = [], -1
+        while place not in self.known:
+            passed.append(place)
+            at = self.special(place)
+            if at == len(self.html):
+                break
+            if self.html[at] == ">":
+                found = at
+                break
+            close = self.closing[self.html[at]](at + 1)
+            if close == len(self.html):
+                break
+            place = close + 1
+        else:
+            found = self.known[place]
+        self.known.update(dict.fromkeys(passed, found))
+        return found
+
+
 class _Builder:
     def __init__(self) -> None:
         self.page, self.open, self.run, self.skip = Page(), [Element("", False, 0)], [], 0
         self.within = {"article": 0, "main": 0}
+        # Depths of the open elements by tag, of the blocks and of the scopes among them.
+        self.depths: dict[str, list[int]] = {}
+        self.blocks, self.scopes = [0], [0]
 
     def flush(self) -> None:
         if self.run:
@@ -137,31 +188,39 @@ class _Builder:
         if tag in self.within:
             self.within[tag] += 1
         element.parts.append(f"{tag} {names}".encode("utf-8", "surrogatepass"))
+        depth = len(self.open)
         self.open.append(element)
+        self.depths.setdefault(tag, []).append(depth)
+        if tag not in INLINE:
+            self.blocks.append(depth)
+        if tag in SCOPES:
+            self.scopes.append(depth)
         self.skip += dropped
 
     def _imply(self, tag: str) -> None:
         """Closes what a block start closes: a paragraph, and items of the same list."""
         ends = CLOSES.get(tag, set()) | {"p"}
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag in ends:
-                self.close_to(depth)
-            elif self.open[depth].tag in SCOPES:
-                return
+        at = len(self.scopes) - 1
+        while at and self.open[self.scopes[at]].tag in ends:
+            at -= 1
+        scope = self.scopes[at]
+        first = [held[bisect_right(held, scope)] for held in map(self.depths.get, ends) if held and held[-1] > scope]
+        if first:
+            self.close_to(min(first))
 
     def end(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                self.close_to(depth)
-                return
-            if tag in INLINE and self.open[depth].tag not in INLINE:
-                return
+        held = self.depths.get(tag)
+        if held and (tag not in INLINE or held[-1] > self.blocks[-1]):
+            self.close_to(held[-1])
 
     def close_to(self, depth: int) -> None:
         while len(self.open) > depth:
             if self.open[-1].tag not in INLINE:
                 self.flush()
             element = self.open.pop()
+            for held in (self.depths[element.tag], self.blocks, self.scopes):
+                if held and held[-1] == len(self.open):
+                    held.pop()
             element.last = len(self.page.blocks)
             element.digest = xxhash.xxh3_64_intdigest(b"\0".join(element.parts)) - (1 << 63)
             element.parts = []
@@ -176,18 +235,23 @@ class _Builder:
 
 def parse(html: str) -> Page:
     """Elements and text blocks; text within dropped elements is left out."""
-    builder, at, size = _Builder(), 0, len(html)
+    builder, tags, at, size = _Builder(), _Tags(html), 0, len(html)
     while at < size:
-        token = TOKEN.match(html, at)
-        at = token.end()
-        closing, tag, attributes = token.groups()
-        if tag is None:
-            said = token[0]
-            if said[0] != "<" or said == "<":
-                builder.text(said)
+        other = OTHER.match(html, at)
+        if other:
+            at = other.end()
+            if other[0][0] != "<":
+                builder.text(other[0])
+            continue
+        named = OPENING.match(html, at)
+        place = tags.name(named.end()) if named else -1
+        end = tags.end(place) if named else -1
+        if end < 0:
+            builder.text("<")
+            at += 1
             continue
-        tag = tag.lower()
-        if closing:
+        tag, attributes, at = html[named.end() - 1 : place].lower(), html[place:end], end + 1
+        if named[0][1] == "/":
             builder.end(tag)
             continue
         builder.start(tag, attributes)

@@ -498,3 +498,20 @@ def test_running_totals_across_blocks(spark):
         values = spark.range(1).select(F.expr(f"slice(sequence(1L, {max(n, 1)}L), 1, {n})").alias("v"), F.lit(1))
         sums, most = values.select(running(F.col("v"), lambda a, b: a + b), running(F.transform("v", lambda x: x % 7), F.greatest)).first()
         assert sums == [i * (i + 1) // 2 for i in range(1, n + 1)] and most == [min(i, 6) for i in range(1, n + 1)]
+
+
+@pytest.mark.parametrize("html", [
+    '<a "x' * 200000, '<a "x' * 200000 + ">", "<a<b" * 250000, "<div>" * 100000 + "</section>" * 50000, "<b>" * 100000 + "<p>x" * 100000,
+    "<i><div>" + "<b>" * 100000 + "</i>" * 100000])
+def test_long_broken_pages_take_time_by_their_length(html):
+    """Tags that never end, closings that close nothing, and paragraphs under many open elements."""
+    started = time.monotonic()
+    page = extraction.parse(html)
+    assert time.monotonic() - started < 30 and len("".join(page.blocks)) <= len(html)
+
+
+@pytest.mark.parametrize(("html", "blocks"), [
+    ('<p title="a > b">one</p>', ["one"]), ("<p 'x>one</p>", ["<p 'x>one"]), ("<p \"x' >one</p>' \"> two", ["two"]), ("a < b <c", ["a < b <c"]),
+    ("<ul><li>a<li><div>b<li>c</ul>", ["a", "b", "c"]), ("<i>x<div>y</i>z</div>", ["x", "yz"])])
+def test_ends_of_tags_and_elements(html, blocks):
+    assert extraction.parse(html).blocks == blocks
