@@ -248,6 +248,24 @@ stepped as (select cluster_id, case when n is null then c else list_transform(ra
 union all {out(1, "select count(*) from events", "step", f"select count(*) - {half} from events", "stepped")}"""
 
 
+def _rare(share: float = S.RARE_PROTOCOL_SHARE) -> str:
+    """Minimal rare sets of protocol, direction, port text and size class, per packet."""
+    names = ("protocol", "direction", "port", "size")
+    chosen = [[n for i, n in enumerate(names) if mask >> i & 1] for mask in range(1, 16)]
+    flag = lambda n: f"case when grouping({n}) = 0 then '{n}=' || {n} end"
+    inside = " and ".join(f"(a.{n} is null or a.{n} = b.{n})" for n in names)
+    own = " and ".join(f"(s.{n} is null or s.{n} = k.{n})" for n in names)
+    size = lambda t: " + ".join(f"({t}.{n} is not null)::INT" for n in names)
+    return extended() + f""",
+kinds as (select frame_number, protocol, case when src_local = 1 and dst_local = 1 then 'inside' when src_local = 1 then 'outward'
+    when dst_local = 1 then 'inward' else 'outside' end as direction, case when has_port_info = 1 then 'yes' else 'no' end as port,
+    case when size_small = 1 then 'small' when size_medium = 1 then 'medium' else 'large' end as size from feats),
+sets as (select {", ".join(names)}, concat_ws(', ', {", ".join(flag(n) for n in names)}) as reason,
+    count(*) < {share} * (select count(*) from kinds) as rare from kinds group by grouping sets ({", ".join("(" + ", ".join(c) + ")" for c in chosen)})),
+minimal as (select * from sets b where rare and not exists (select 1 from sets a where a.rare and {inside} and {size("a")} < {size("b")}))
+select k.frame_number, s.reason from kinds k join minimal s on {own}"""
+
+
 def _converged(features: list[str], start: str, captures: bool, k: int) -> str:
     """CTEs ``chosen`` and ``near``: steps from the centres of ``start``, then the cheapest run."""
     d = range(1, len(features) + 1)
@@ -646,6 +664,7 @@ def statements() -> dict[str, str]:
           select capture_id, frame_number, round(coalesce("timestamp" - lag("timestamp") over
             (partition by capture_id order by frame_number), 0.0), 6) as time_delta from packets""",
         "stream_refit": _refit(),
+        "rare_combinations": _rare(),
         "stream_counts": f"""with packets as ({duckdb_packets(True)})
           select capture_id, protocol, count(*) as packets from packets where protocol is not null group by 1, 2""",
         # extension and guards

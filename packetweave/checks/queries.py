@@ -18,7 +18,7 @@ from packetweave.checks.views import spark_packets
 from packetweave.functions import predicates as P
 from packetweave.functions.numbers import to_number
 from packetweave.functions.text import packet_line, score_band
-from packetweave.operators import pca
+from packetweave.operators import combinations, pca
 from packetweave.operators.features import BASIC, EXTENDED, feature_frame, scope_facts
 from packetweave.operators.ranking import most_frequent_first, top_n, value_counts
 from packetweave.operators.sampling import sample_exact
@@ -677,6 +677,12 @@ def custom_feature(spark, sf_dir):
     return scaled.select("packet_number", "info_chars", F.round(f"z{place}", 6).alias("z_info_chars"))
 
 
+def rare_combinations(spark, sf_dir):
+    """Packets with a minimal rare set of attribute values, one row per set."""
+    found = combinations.rare_combinations(spark_packets(spark, sf_dir))
+    return found.select("frame_number", F.explode("reasons").alias("reason"))
+
+
 def guards(spark, sf_dir):
     """What the guards of the analysis and of the readers say about each capture."""
     packets = spark_packets(spark, sf_dir, captures=True)
@@ -803,5 +809,6 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_score_csv": stream_score_csv,
         "stream_counts": stream_counts,
         "custom_feature": custom_feature,
+        "rare_combinations": rare_combinations,
         "guards": guards,
     }
