@@ -554,6 +554,9 @@ def statements() -> dict[str, str]:
         "pca_loadings_by_capture": extended(True) + zscores(EXT, True) + components(EXT, True) + loadings(EXT, True),
         "pca_projection": ea + components(EXT)
         + projected(EXT, "(select z.*, cluster_id from z join near using (packet_number))", "packet_number, cluster_id"),
+        "pca_projection_budget": ea + components(EXT)
+        + projected(EXT, "(select z.*, cluster_id from z join near using (packet_number))", "packet_number, cluster_id")
+        + " order by ('0x' || substr(md5(packet_number || ':42'), 1, 13))::bigint, packet_number limit 500",
         "pca_projection_by_capture": extended(True) + zscores(EXT, True) + lloyd(EXT, True) + components(EXT, True)
         + projected(EXT, "(select z.*, cluster_id from z join near using (capture_id, packet_number))", "s.capture_id, packet_number, cluster_id", True),
         "pca_centroids": ea + components(EXT)

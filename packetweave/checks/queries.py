@@ -563,6 +563,11 @@ def pca_projection(spark, sf_dir):
     return _round(series.projection(model, series.components(model)), "pc1", "pc2")
 
 
+def pca_projection_budget(spark, sf_dir):
+    model = _ext(spark, sf_dir)
+    return _round(series.projection(model, series.components(model), budget=500), "pc1", "pc2")
+
+
 def pca_centroids(spark, sf_dir):
     model = _ext(spark, sf_dir)
     return _round(series.projected_centres(model, series.components(model)), "pc1", "pc2")
@@ -798,6 +803,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmeans_ml": kmeans_ml,
         "feature_covariance": feature_covariance,
         "pca_projection": pca_projection,
+        "pca_projection_budget": pca_projection_budget,
         "pca_centroids": pca_centroids,
         "pca_loadings": pca_loadings,
         "pca_loadings_by_capture": pca_loadings_by_capture,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packetweave import schema as S
 from packetweave.operators.pca import Components, ScopedComponents, principal_components, scoped_components
+from packetweave.operators.sampling import sample_exact
 from packetweave.operators.scaling import z_names
 from packetweave.plans.analysis import Analysis
 from packetweave.storage import attach
@@ -87,15 +88,12 @@ def _placed(analysis: Analysis, rows: DataFrame, found: Components | ScopedCompo
 
 
 def projection(analysis: Analysis, found: Components | ScopedComponents, budget: int | None = None, seed: int = S.DEFAULT_SEED) -> DataFrame:
-    """Packets in component space; thinned only when a point budget is asked for."""
+    """Packets in component space; with ``budget`` an exact sample of so many, the same however the packets are dealt out."""
     names = z_names(len(analysis.feature_names))
     points = _placed(analysis, analysis.scaled(keep=("cluster_id",)), found).select(
         *analysis.by, "packet_number", "cluster_id", *found.projections(names)
     )
-    if budget is None:
-        return points
-    total = analysis.model.agg(F.sum("total")).first()[0]
-    return points if total <= budget else points.sample(budget / total, seed)
+    return points if budget is None else sample_exact(points, budget, [*analysis.by, "packet_number"], seed)
 
 
 def projected_centres(analysis: Analysis, found: Components | ScopedComponents) -> DataFrame:
