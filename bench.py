@@ -12,7 +12,7 @@ import time
 from packetweave import BASIC, EXTENDED, fit
 from packetweave.checks import queries as registry
 from packetweave.checks.views import spark_packets
-from packetweave.plans.analysis import LLOYD, ML
+from packetweave.plans.analysis import LLOYD, ML, OVERSAMPLED
 from packetweave.session import local_session
 
 HEADLINE = [
@@ -23,7 +23,7 @@ HEADLINE = [
 ]
 FITS = {
     "extended": {}, "extended_by_capture": {"by": ("capture_id",)}, "extended_ml": {"profile": EXTENDED, "trainer": ML},
-    "extended_lloyd": {"trainer": LLOYD}, "basic_lloyd": {"profile": BASIC, "trainer": LLOYD},
+    "extended_oversampled": {"trainer": OVERSAMPLED}, "extended_k20": {"k": 20, "restarts": 2}, "extended_lloyd": {"trainer": LLOYD}, "basic_lloyd": {"profile": BASIC, "trainer": LLOYD},
 }
 
 

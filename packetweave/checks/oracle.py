@@ -23,6 +23,7 @@ clean as (
     cast(coalesce(length, 0) as double) as length, coalesce(info, '') as info
   from packets)"""
 
+# The patterns, words and protocol numbers of `schema`, as SQL.
 EXT_LOCAL = r"^(192\.168\.|10\.|172\.(1[6-9]|2[0-9]|3[01])\.)"
 EXT_FLAGS = {
     "src_local": _flag(f"regexp_matches(src_ip, '{EXT_LOCAL}')"),

@@ -44,6 +44,7 @@ PROTOCOL_NUMBERS = {
     "TLS": 7, "TLSv1.2": 7, "TLSv1.3": 7,
 }
 
+# Limits, shares and defaults of the analysis.
 RANKED_PROTOCOLS = 20
 UNRANKED = 999
 SMALL_BYTES, LARGE_BYTES = 100, 1000
@@ -59,6 +60,7 @@ CAPTURE_SUFFIXES = ["pcap", "pcapng", "cap"]
 CAPTURE_LIMIT_BYTES = 100 * 1024 * 1024
 STREAM_MINIMUM, STREAM_REFIT_EVERY = 100, 500
 
+# Features of the two profiles, in their order.
 EXTENDED_FEATURES = [
     "length", "protocol_encoded", "time_normalized", "time_delta",
     "src_local", "dst_local", "has_port_info", "has_error",
