@@ -50,8 +50,12 @@ CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"},
 }
+PARAGRAPH = frozenset({"p"})
+IMPLIED = {tag: PARAGRAPH | ends for tag, ends in CLOSES.items()}
 SCOPES = frozenset("html body article main section div aside nav ul ol dl table blockquote form footer header td th li fieldset figure".split())
-OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|[^<]+", re.DOTALL)
+# Comments, declarations, tags without "<" inside, text, or a "<" of its own; never back over what was read.
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>"'<]*+)(?=[\s/>])((?:[^>"'<]*+(?:"[^"<]*+"|'[^'<]*+'))*+[^>"'<]*+)>|[^<]+|<""", re.DOTALL)
 OPENING = re.compile(r"</?[a-zA-Z]")
 NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=[\s/]|$)|hidden\s*=|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.IGNORECASE)
@@ -199,14 +203,19 @@ class _Builder:
 
     def _imply(self, tag: str) -> None:
         """Closes what a block start closes: a paragraph, and items of the same list."""
-        ends = CLOSES.get(tag, set()) | {"p"}
+        ends = IMPLIED.get(tag, PARAGRAPH)
         at = len(self.scopes) - 1
         while at and self.open[self.scopes[at]].tag in ends:
             at -= 1
         scope = self.scopes[at]
-        first = [held[bisect_right(held, scope)] for held in map(self.depths.get, ends) if held and held[-1] > scope]
-        if first:
-            self.close_to(min(first))
+        least = 0
+        for end in ends:
+            held = self.depths.get(end)
+            if held and held[-1] > scope:
+                depth = held[bisect_right(held, scope)]
+                least = min(least, depth) if least else depth
+        if least:
+            self.close_to(least)
 
     def end(self, tag: str) -> None:
         held = self.depths.get(tag)
@@ -218,9 +227,12 @@ class _Builder:
             if self.open[-1].tag not in INLINE:
                 self.flush()
             element = self.open.pop()
-            for held in (self.depths[element.tag], self.blocks, self.scopes):
-                if held and held[-1] == len(self.open):
-                    held.pop()
+            place = len(self.open)
+            self.depths[element.tag].pop()
+            if self.blocks[-1] == place:
+                self.blocks.pop()
+            if self.scopes[-1] == place:
+                self.scopes.pop()
             element.last = len(self.page.blocks)
             element.digest = xxhash.xxh3_64_intdigest(b"\0".join(element.parts)) - (1 << 63)
             element.parts = []
@@ -237,21 +249,26 @@ def parse(html: str) -> Page:
     """Elements and text blocks; text within dropped elements is left out."""
     builder, tags, at, size = _Builder(), _Tags(html), 0, len(html)
     while at < size:
-        other = OTHER.match(html, at)
-        if other:
-            at = other.end()
-            if other[0][0] != "<":
-                builder.text(other[0])
+        token = TOKEN.match(html, at)
+        closing, tag, attributes = token.groups()
+        if tag is not None:
+            at = token.end()
+        elif token[0] != "<":
+            at = token.end()
+            if token[0][0] != "<":
+                builder.text(token[0])
             continue
-        named = OPENING.match(html, at)
-        place = tags.name(named.end()) if named else -1
-        end = tags.end(place) if named else -1
-        if end < 0:
-            builder.text("<")
-            at += 1
-            continue
-        tag, attributes, at = html[named.end() - 1 : place].lower(), html[place:end], end + 1
-        if named[0][1] == "/":
+        else:
+            named = OPENING.match(html, at)
+            place = tags.name(named.end()) if named else -1
+            end = tags.end(place) if named else -1
+            if end < 0:
+                builder.text("<")
+                at += 1
+                continue
+            closing, tag, attributes, at = named[0][1] == "/", html[named.end() - 1 : place], html[place:end], end + 1
+        tag = tag.lower()
+        if closing:
             builder.end(tag)
             continue
         builder.start(tag, attributes)
