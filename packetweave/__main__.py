@@ -16,9 +16,9 @@ from packetweave import schema as S
 from packetweave.operators.features import BASIC, EXTENDED
 from packetweave.operators.sampling import sample_exact
 from packetweave.plans import anomalies, clusters, series, traffic
-from packetweave.plans.analysis import LLOYD, ML, RESTARTS, Analysis, AnalysisError, fit
+from packetweave.plans.analysis import LLOYD, ML, OVERSAMPLED, RESTARTS, Analysis, AnalysisError, fit
 from packetweave.sources import sinks
-from packetweave.sources.packets import SourceError, read_packets
+from packetweave.sources.packets import PacketLists, SourceError, read_lists
 from packetweave.storage import materialize
 
 
@@ -26,9 +26,10 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(prog="packetweave", description="Cluster packet lists and report anomalies")
     commands = parser.add_subparsers(dest="command", required=True)
     shared = argparse.ArgumentParser(add_help=False)
+    # Names of the options.
     shared.add_argument("--clusters", "-c", type=int, default=S.DEFAULT_CLUSTERS)
     shared.add_argument("--threshold", type=float, default=S.DEFAULT_PERCENTILE, help="anomaly percentile")
-    shared.add_argument("--trainer", choices=[RESTARTS, ML, LLOYD], default=RESTARTS)
+    shared.add_argument("--trainer", choices=[RESTARTS, OVERSAMPLED, ML, LLOYD], default=RESTARTS)
     shared.add_argument("--mode", choices=["auto", "strict", "tolerant"], default="auto")
 
     extended = commands.add_parser("extended", parents=[shared], help="15 features, scores and summary")
@@ -86,9 +87,16 @@ def _write_series(analysis: Analysis, folder: str) -> None:
         frame.write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
+def _refused(lists: PacketLists, folder: str | None) -> None:
+    """Files that could not be read; the others are analysed."""
+    if not lists.refused.isEmpty():
+        _report("Refused files", lists.refused, folder, ["file"])
+
+
 def _extended(spark: SparkSession, args: argparse.Namespace) -> None:
     # Parsed once; every later pass reads the columns it needs from the stored table.
-    packets = materialize(read_packets(spark, args.paths, "extended", args.mode), "parsed")
+    lists = read_lists(spark, args.paths, "extended", args.mode)
+    packets = materialize(lists.packets, "parsed")
     by = ("capture_id",) if args.per_capture else ()
     analysis = fit(packets, profile=EXTENDED, by=by, k=args.clusters, percentile=args.threshold, trainer=args.trainer)
     if args.output and args.format == "json":
@@ -97,6 +105,7 @@ def _extended(spark: SparkSession, args: argparse.Namespace) -> None:
         sinks.write_csv(analysis, args.output)
     # Beside the results, as those replace their whole folder.
     reports = f"{args.output.rstrip('/')}-reports" if args.output else None
+    _refused(lists, reports)
     _report("Summary", analysis.summary(), reports, list(by))
     if by:
         _report("Rejected", analysis.rejected, reports, list(by))
@@ -105,7 +114,9 @@ def _extended(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _basic(spark: SparkSession, args: argparse.Namespace) -> None:
-    packets = materialize(read_packets(spark, args.path, "basic", args.mode), "parsed")
+    lists = read_lists(spark, args.path, "basic", args.mode)
+    packets = materialize(lists.packets, "parsed")
+    _refused(lists, args.output)
     if args.sample:
         packets = sample_exact(packets, args.sample, ["capture_id", "frame_number"])
     _report("Traffic summary", traffic.traffic_summary(packets), args.output, ["section", "-packets", "item"])

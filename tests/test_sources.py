@@ -191,6 +191,12 @@ def test_command_line(spark, small, tmp_path, capsys):
     shown = capsys.readouterr().out
     assert "Traffic summary" in shown and "Component loadings" in shown
     assert main(["extended", path, "-c", "5000"]) == 1
+    # A file with another header is named; the others are analysed.
+    foreign = tmp_path / "foreign"
+    foreign.mkdir()
+    write(foreign, "b.csv", "x,y\n1,2\n")
+    assert main(["extended", path, str(foreign), "-c", "4", "--trainer", "lloyd"]) == 0
+    assert "another header" in capsys.readouterr().out
 
 
 def plain_records(text, escapes):
