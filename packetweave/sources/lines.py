@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ def read_lines(spark: SparkSession, paths: str | list[str], capture_by: str = "f
     as part files, a ``folder`` whose files follow each other by name.
     """
     if capture_by == "folder":
-        capture = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)
+        # No pattern: one that backtracks over the path would take longer than the line.
+        capture = F.substring_index(F.substring_index("_metadata.file_path", "/", -2), "/", 1)
     else:
         capture = F.col(f"_metadata.{capture_by}")
     text = F.col("value")
@@ -98,6 +101,22 @@ def escapes_shown(field: Column) -> Column:
     return F.translate(field, QUOTE + COMMA + SLASH + LINE + RETURN, '",\\\n\r')
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _parsed(value: Column, width: int, escapes: bool) -> Column:
+    """The struct of ``width`` fields and ``overflow``, with stand-ins, from one parse."""
+    names = [f"c{i}" for i in range(width)] + ["overflow"]
+    kinds = ", ".join(f"{n} string" for n in names)
+    hidden = once(marked(value), breaks_hidden)
+    hidden = once(hidden, escapes_hidden) if escapes else hidden
+    # One look at the line; most have nothing to hide.
+    text = F.when(value.rlike(f"[{STAND_INS}\n\r\\\\]"), hidden).otherwise(value)
+    return once(text, lambda one: F.from_csv(one, kinds, {"escape": '"', "mode": "PERMISSIVE"}))
+
+
 def strict_fields(value: Column, width: int, escapes: bool) -> Column:
     """Fields by quoted-CSV rules: doubled quotes, optionally backslash escapes.
 
@@ -105,11 +124,13 @@ def strict_fields(value: Column, width: int, escapes: bool) -> Column:
     rows with too many fields.
     """
     names = [f"c{i}" for i in range(width)] + ["overflow"]
-    text = breaks_hidden(marked(value))
-    text = escapes_hidden(text) if escapes else text
-    parsed = F.from_csv(text, ", ".join(f"{n} string" for n in names), {"escape": '"', "mode": "PERMISSIVE"})
-    fields = [parsed.getField(n) for n in names]
-    return F.array(*[unmarked(escapes_shown(f)) for f in fields])
+    fields = once(_parsed(value, width, escapes), lambda row: F.array(*[row.getField(n) for n in names]))
+    return F.transform(F.transform(fields, escapes_shown), unmarked)
+
+
+def too_long(value: Column, width: int, escapes: bool) -> Column:
+    """True for rows with more than ``width`` fields by the rules of ``strict_fields``."""
+    return _parsed(value, width, escapes).getField("overflow").isNotNull()
 
 
 def tolerant_fields(value: Column, width: int) -> Column:

@@ -126,8 +126,7 @@ def _put_together(
     else:
         records, files = R.cut(lines, extended)
         files = materialize(files, "odd-closed")
-        long = F.get(L.strict_fields(F.col("value"), width, extended), F.lit(width)).isNotNull()
-        counts = records.groupBy("_file").agg(F.count_if(long).alias("overlong"))
+        counts = records.groupBy("_file").agg(F.count_if(L.too_long(F.col("value"), width, extended)).alias("overlong"))
         files = materialize(files.join(counts, "_file", "left"), "odd-counted")
         if extended:
             # The tolerant read goes line by line, also through quotes.

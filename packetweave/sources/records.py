@@ -13,10 +13,12 @@ Lines that are whole records stay where they are; only the lines of longer recor
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetweave.sources.lines import escapes_hidden, is_header, strict_fields
+from packetweave.sources.lines import escapes_hidden, is_header, once, too_long
 from packetweave.storage import materialize
 
 # Where a reader of quoted fields stands: before a field, inside quotes, after a quote inside quotes, in an unquoted field.
@@ -43,14 +45,18 @@ def line_function(value: Column, escapes: bool) -> dict[str, Column]:
     line after it counts as the start of a field.
     """
     text = escapes_hidden(value) if escapes else value
-    pieces = F.split(text, '"')
-    rest = F.slice(pieces, 2, F.size(pieces))
+
+    def quoted(start: int) -> Callable[[Column], Column]:
+        def at_end(pieces: Column) -> Column:
+            rest, first = F.slice(pieces, 2, F.size(pieces)), _over_text(F.lit(start), pieces[0])
+            return F.aggregate(rest, first, lambda s, piece: _over_text(_over_quote(s), piece)) == QUOTED
+
+        return at_end
+
     ends = {}
     for name, start in (("opened", FRESH), ("kept", QUOTED)):
-        first = _over_text(F.lit(start), pieces[0])
-        last = F.aggregate(rest, first, lambda s, piece: _over_text(_over_quote(s), piece))
         # Without quotes nothing changes.
-        ends[name] = F.when(value.contains('"'), last == QUOTED).otherwise(F.lit(start == QUOTED))
+        ends[name] = F.when(value.contains('"'), once(F.split(text, '"'), quoted(start))).otherwise(F.lit(start == QUOTED))
     slashes = F.length(F.regexp_extract(value, r"(\\+)$", 1)) % 2 == 1
     ends["joined"] = F.when(value.endswith("\\"), slashes).otherwise(False) if escapes else F.lit(False)
     return ends
@@ -59,15 +65,17 @@ def line_function(value: Column, escapes: bool) -> dict[str, Column]:
 def inspect(lines: DataFrame, header: str, width: int, escapes: bool) -> DataFrame:
     """Per file, in one distributed pass with a map-side combine: valid UTF-8, rows with too many fields, lines equal to the
     header, lines at whose end a quote is open or the line break hidden, lines with single carriage returns."""
-    value = F.col("value")
-    told = line_function(value, escapes)
-    return lines.groupBy("_file", "capture_id").agg(
-        F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
-        F.count_if(F.get(strict_fields(value, width, escapes), F.lit(width)).isNotNull()).alias("overlong"),
-        F.count_if(is_header(value, header)).alias("headers"),
-        F.count_if(told["opened"] | told["joined"]).alias("breaks"),
-        F.count_if(value.contains("\r")).alias("returns"),
-    )
+    def told(value: Column) -> Column:
+        ends = line_function(value, escapes)
+        return F.struct(
+            F.is_valid_utf8(value).alias("utf8"), too_long(value, width, escapes).alias("overlong"), is_header(value, header).alias("header"),
+            (ends["opened"] | ends["joined"]).alias("broken"), value.contains("\r").alias("returned"))
+
+    # The facts of a line first, apart from the sums, which then stay short enough to be compiled.
+    facts = lines.select("_file", "capture_id", once(F.col("value"), told).alias("told"))
+    counted = {"overlong": "overlong", "headers": "header", "breaks": "broken", "returns": "returned"}
+    return facts.groupBy("_file", "capture_id").agg(
+        F.bool_and("told.utf8").alias("utf8"), *[F.count(F.when(F.col(f"told.{fact}"), 1)).alias(name) for name, fact in counted.items()])
 
 
 def _composed(rows: DataFrame, by: list[str], order: str) -> DataFrame:

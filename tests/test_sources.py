@@ -301,3 +301,19 @@ def test_text_with_stand_ins_is_kept(spark, tmp_path):
     assert [r["info"] for r in rows] == [odd, f'"{odd},\n']
     tolerant = read_packets(spark, write(tmp_path, "p.csv", HEADER.replace('"', "") + f'"1","0","a","b","TCP","3","{odd},"\n'), mode="tolerant").first()
     assert tolerant["info"] == f"{odd},"
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    """Seven typed columns of a line come from one parse."""
+    path = write(tmp_path, "a.csv", HEADER + '1,0.5,a,b,TCP,60,"x \\"y\\", \\\\ z"\n2,0.6,,b,UDP,70,one "" two\n')
+    read = read_packets(spark, path)
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+    assert [r["info"] for r in read.orderBy("frame_number").collect()] == ['x "y", \\ z', 'one "" two']
+
+
+def test_splits_of_the_multiline_query_stay_few(spark, tmp_path):
+    from packetweave.checks import queries
+
+    for size, wanted in ((1000, 1 << 16), (queries.MANY_SPLITS << 17, 1 << 17)):
+        (tmp_path / "part").write_bytes(b"x" * size)
+        assert queries._split_bytes(spark, str(tmp_path)) == wanted
