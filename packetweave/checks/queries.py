@@ -33,6 +33,7 @@ from packetweave.streaming import ListArrivals, LiveScorer, MergingRefitter, pac
 
 CAPTURE = ("capture_id",)
 KEPT = ("src_ip", "dst_ip", "protocol", "info", "packet_length")
+MANY_SPLITS = 256
 _fits: dict[tuple, Analysis] = {}
 
 
@@ -122,6 +123,12 @@ def scan_ragged_csv(spark, sf_dir):
     return read.select("frame_number", "src_ip", "dst_ip", "protocol", "length", "info")
 
 
+def _split_bytes(spark: SparkSession, path: str) -> int:
+    """Splits of 64 KB, larger ones where the files would make more than ``MANY_SPLITS`` of them."""
+    listed = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    return max(1 << 16, -(-(listed or 0) // MANY_SPLITS))
+
+
 def scan_multiline_csv(spark, sf_dir):
     """Info holds line breaks, doubled quotes and escapes; the files are read in many splits."""
     n = F.col("frame_number")
@@ -132,7 +139,7 @@ def scan_multiline_csv(spark, sf_dir):
     sinks.write_packets_csv(_raw_named(packets), path)
     # A session of its own, as the split size is a setting of the session.
     other = spark.newSession()
-    other.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    other.conf.set("spark.sql.files.maxPartitionBytes", str(_split_bytes(spark, path)))
     other.conf.set("spark.sql.files.openCostInBytes", "4k")
     lists = readers.read_lists(other, path, "extended")
     return lists.packets.select("frame_number", "src_ip", "protocol", "length", "info")
