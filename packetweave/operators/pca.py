@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +98,34 @@ def leading(matrix: np.ndarray, k: int) -> tuple[tuple[tuple[float, ...], ...],
     return tuple(picked), ratios
 
 
+def _scoped_moments(scaled: DataFrame, names: list[str], by: tuple[str, ...]) -> DataFrame:
+    """``_moments`` of every scope, from sums of blocks: the products of a block are one small matrix product per scope."""
+    d = len(names)
+    sums = [f"_s{i}" for i in range(d)] + [f"_p{i}" for i in range(d * (d + 1) // 2)]
+    upper = np.triu_indices(d)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns[len(by) :]]).T
+            codes = np.zeros(batch.num_rows, np.int64)
+            for column in batch.columns[: len(by)]:
+                own = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                codes = np.unique(codes * (own.max(initial=0) + 1) + own, return_inverse=True)[1]
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            parts = [z[rows] for rows in np.split(order, starts[1:])] if len(starts) else []
+            table = np.array([[*p.sum(axis=0), *(p.T @ p)[upper]] for p in parts]).reshape(len(parts), len(sums))
+            keys = [c.take(pa.array(order[starts])) for c in batch.columns[: len(by)]]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([len(p) for p in parts], pa.int64()), *map(pa.array, table.T)], names=[*by, "_n", *sums])
+
+    source = scaled.select(*by, *names)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*by).schema.fields]
+    summed = source.mapInArrow(add, ", ".join([*kinds, "_n bigint", *(f"{s} double" for s in sums)]))
+    total = F.sum("_n")
+    return summed.groupBy(*by).agg(
+        F.array(*[F.sum(s) / total for s in sums[:d]]).alias("m"), F.array(*[F.sum(s) / total for s in sums[d:]]).alias("p"))
+
+
 def scoped_components(scaled: DataFrame, names: list[str], features: tuple[str, ...], by: tuple[str, ...], k: int = 2) -> ScopedComponents:
     """Components of every scope: one grouped aggregation, then one small matrix per row."""
 
@@ -105,7 +134,7 @@ def scoped_components(scaled: DataFrame, names: list[str], features: tuple[str,
             found = [leading(_matrix(m, p), k) for m, p in zip(frame["m"], frame["p"])]
             yield frame[list(by)].assign(loadings=[[list(w) for w in x[0]] for x in found], ratios=[list(x[1]) for x in found])
 
-    moments = scaled.groupBy(*by).agg(*_moments(names))
+    moments = _scoped_moments(scaled, names, by)
     keys = ", ".join(f"`{n}` {t}" for n, t in moments.select(*by).dtypes)
     rows = moments.mapInPandas(solved, f"{keys}, loadings array<array<double>>, ratios array<double>")
     return ScopedComponents(tuple(features), by, k, materialize(rows, "components"))
