@@ -1,7 +1,7 @@
 """Nearest-centre arithmetic and a DataFrame Lloyd iteration, keyed or not.
 
 A step is one scan of the stored features; only partial sums per cluster are
-shuffled.  Distances are written out as sums, so they run in generated code.
+shuffled.  Few scopes (checked) are measured over blocks (``blocks``); for many, distances are written out as sums.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packetweave.operators import blocks
 from packetweave.operators.scaling import Terms, with_z, z_names
 from packetweave.storage import in_driver, is_small, materialize
 
@@ -72,9 +73,9 @@ def lloyd(
     row = start.first()
     centres = list(row["centres"])
     for _ in range(iterations):
-        terms = Terms.literal(row["means"], row["scales"], centres)
+        held = [{"means": row["means"], "scales": row["scales"], "centres": centres}]
         # k rows come back, whatever the input size.
-        found = {r["cluster_id"]: r["centre"] for r in _cluster_means(features, names, terms).collect()}
+        found = {r["cluster_id"]: r["centre"] for r in blocks.cluster_means(features, names, held, (), k, CENTRE_PLACES).collect()}
         stepped = [found.get(i, centres[i]) for i in range(k)]
         if stepped == centres:
             break
@@ -94,7 +95,10 @@ def _lloyd_keyed(
     rows = start
     small = is_small(rows, limit)
     for _ in range(iterations):
-        means = _cluster_means(features, names, Terms.of(rows, by, len(names), k), small)
+        if small:
+            means = blocks.cluster_means(features, names, rows.collect(), by, k, CENTRE_PLACES)
+        else:
+            means = _cluster_means(features, names, Terms.of(rows, by, len(names), k), small)
         found = means.groupBy(*by).agg(
             F.map_from_entries(F.collect_list(F.struct("cluster_id", "centre"))).alias("_found")
         )

@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetweave import schema as S
-from packetweave.operators import bounded, kmeans, kmeans_ml, restarts
+from packetweave.operators import blocks, bounded, kmeans, kmeans_ml, restarts
 from packetweave.operators.features import BASIC, EXTENDED, Profile, feature_frame, scope_facts
 from packetweave.operators.quantile import quantile_rows
 from packetweave.operators.sequence import BUCKET_FRAMES, bucket_for
 from packetweave.operators.scaling import Terms, moments, with_z, z_names
-from packetweave.storage import attach, freeze, materialize
+from packetweave.storage import attach, freeze, is_small, materialize
 
 RESTARTS, LLOYD, ML, OVERSAMPLED = "restarts", "lloyd", "ml", "oversampled"
 # Above so many centre coordinates the distances no longer fit into one compiled method.
@@ -272,6 +272,8 @@ def _label(stored: DataFrame, trained: DataFrame, names: tuple[str, ...], settin
     if _in_blocks(settings, names):
         row = trained.first()
         return materialize(bounded.labelled(stored, names, row["means"], row["scales"], row["centres"]), "packets")
+    if not by or is_small(trained):
+        return materialize(blocks.labelled(stored, names, trained.collect(), by, settings.k), "packets")
     terms = Terms.of(trained, by, len(names), settings.k)
     kept = [f"`{c}`" for c in stored.columns]
     scaled = with_z(terms.place(stored), names, terms, [*kept, *terms.columns()])
