@@ -18,6 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetweave.operators import blocks
 from packetweave.operators.kmeans import CENTRE_PLACES, nearest
 from packetweave.operators.scaling import Terms, with_z, z_names
 from packetweave.storage import attach, in_driver, is_small, materialize
@@ -34,9 +35,18 @@ def uniform(seed: int, *parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 1.0) / float(1 << 52)
 
 
+def _per_run(stored: DataFrame, names: tuple[str, ...], rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Number and features of each packet, once per run of its scope; for few scopes (checked)."""
+    placed = attach(stored.select(*by, "packet_number", *names), rows.select(*by, RUN), by, spread="packet_number", small=True)
+    return placed.filter(F.col(RUN).isNotNull())
+
+
 def _measured(stored: DataFrame, names: tuple[str, ...], rows: DataFrame, by: tuple[str, ...], centres: int, small: bool) -> DataFrame:
-    """Each packet once per run of its scope: keys, number, ``z1..zd``, and with centres label and distance."""
+    """Each packet once per run of its scope: keys, number, ``z1..zd`` (of many scopes only), and with centres label and distance."""
     keys = [*by, RUN]
+    if small and centres:
+        near = blocks.labelled(_per_run(stored, names, rows, by), names, rows.collect(), tuple(keys), centres)
+        return near.select("packet_number", *keys, "cluster_id", "distance")
     terms = Terms.of(rows, tuple(keys), len(names), centres)
     placed = attach(stored, terms.rows, by, spread="packet_number", small=small).filter(F.col(RUN).isNotNull())
     kept = ["packet_number", *keys]
@@ -86,6 +96,8 @@ def converged(stored: DataFrame, names: tuple[str, ...], rows: DataFrame, by: tu
     keys, z = [*by, RUN], z_names(len(names))
 
     def means(moving: DataFrame) -> DataFrame:
+        if small:
+            return blocks.cluster_means(_per_run(stored, names, moving, by), names, moving.collect(), tuple(keys), k, CENTRE_PLACES)
         near = _measured(stored, names, moving, by, k, small)
         return near.groupBy(*keys, "cluster_id").agg(F.array(*[F.round(F.avg(c), CENTRE_PLACES) for c in z]).alias("centre"))
 

@@ -49,3 +49,14 @@ def test_component_sums_over_blocks(scoped):
     names = ["z1", "z2", "z3"]
     wanted = {r["scope"]: pytest.approx(r["m"] + r["p"]) for r in scaled.groupBy("scope").agg(*pca._moments(names)).collect()}
     assert {r["scope"]: r["m"] + r["p"] for r in pca._scoped_moments(scaled, names, ("scope",)).collect()} == wanted
+
+
+def test_runs_over_blocks(scoped):
+    from packetweave.operators import restarts
+
+    features, rows = scoped
+    runs = rows.select("scope", F.explode(F.array(F.lit(0), F.lit(1))).alias(restarts.RUN), "means", "scales", "centres")
+    found = restarts._measured(features, NAMES, runs, ("scope",), 2, True)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    wanted = restarts._measured(features, NAMES, runs, ("scope",), 2, False).select(found.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
