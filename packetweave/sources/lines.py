@@ -145,6 +145,6 @@ def tolerant_fields(value: Column, width: int) -> Column:
         lambda piece, i: F.when(i % 2 == 0, F.replace(piece, F.lit(","), F.lit(SEPARATOR))).otherwise(piece),
     )
     fields = F.split(F.array_join(pieces, ""), SEPARATOR)
-    last = F.size(fields) - 1
-    cleaned = F.transform(fields, lambda f, i: unmarked(F.when(i == last, F.trim(f)).otherwise(f)))
+    # The fields are found once, not once per field.
+    cleaned = once(fields, lambda found: F.transform(found, lambda f, i: once(F.when(i == F.size(found) - 1, F.trim(f)).otherwise(f), unmarked)))
     return F.slice(F.concat(cleaned, F.array_repeat(F.lit(""), width)), 1, width)

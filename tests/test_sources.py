@@ -317,3 +317,9 @@ def test_splits_of_the_multiline_query_stay_few(spark, tmp_path):
     for size, wanted in ((1000, 1 << 16), (queries.MANY_SPLITS << 17, 1 << 17)):
         (tmp_path / "part").write_bytes(b"x" * size)
         assert queries._split_bytes(spark, str(tmp_path)) == wanted
+
+
+def test_tolerant_fields_are_found_once(spark):
+    frame = spark.createDataFrame([('a," b, ",c ',)], "value string").select(lines_of.tolerant_fields(F.col("value"), 4).alias("fields"))
+    assert frame._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    assert frame.first()["fields"] == ["a", " b, ", "c", ""]
