@@ -1,10 +1,13 @@
 """Near copies by the exact Jaccard similarity of five-word shingles.
 
 A text's set is that of its shingles' 64-bit hashes; texts of equal sets are one class.
-Candidates come from minhash bands: ``BANDS`` of ``ROWS`` minima each, so that a pair at
+Candidates come from two sources.  The fingerprint of each set goes through the index of
+``simhash``: postings of bytes by position, tally of shared bytes, comparison of bits; it
+meets every pair at 3 or fewer differing bits.  As bits can't decide at 0.8, minhash bands meet the
+others: ``BANDS`` of ``ROWS`` minima each, so that a pair at
 similarity s is met with probability 1 - (1 - s^ROWS)^BANDS: all but 5 in ten million at 0.8.
-Each band links its members to the smallest one, so links are linear in the members, and
-the components of these links hold all candidates.
+Each band or fingerprint links its members to the smallest one, so links are linear in the members, and
+the components of all links hold all candidates.
 
 Within a component every pair is counted exactly from the texts; those at ``LEAST`` or more are
 links, the others are not.  Components of more than ``TILE`` classes are dealt out as pairs of
@@ -24,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packetweave.llm import simhash
 from packetweave.llm.components import components
 from packetweave.llm.rows import row_key, unused
 from packetweave.storage import materialize
@@ -65,25 +69,37 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def set_classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, node, bands): node is a digest of the set."""
+    """(key, node, fp, bands): node is a digest of the set, fp its fingerprint, null for an empty set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py() or b"") for t in batch.column(1)]
             nodes = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+            prints = pa.array([simhash.majority(s) if len(s) else None for s in sets], pa.binary())
             met = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, met], names=["key", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), nodes, prints, met], names=["key", "node", "fp", "bands"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary"))
-    return rows.mapInArrow(of, f"key {dict(rows.dtypes)['key']}, node binary, bands array<bigint>")
+    return rows.mapInArrow(of, f"key {dict(rows.dtypes)['key']}, node binary, fp binary, bands array<bigint>")
+
+
+def print_links(classes: DataFrame) -> DataFrame:
+    """(u, v) between nodes whose fingerprints are equal or linked by the index of ``simhash``."""
+    prints = classes.select("node", "fp").filter("fp is not null")
+    firsts = materialize(prints.groupBy("fp").agg(F.min("node").alias("v")), "fingerprint-firsts")
+    near = materialize(simhash.links(firsts.select("fp")), "fingerprint-links")
+    low, high = (firsts.select(F.col("fp").alias(e), F.col("v").alias(f"{e}_node")) for e in ("u", "v"))
+    apart = near.join(low, "u").join(high, "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    return prints.join(firsts, "fp").select(F.col("node").alias("u"), "v").union(apart)
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(node, component): nodes that some band joins with others."""
+    """(node, component): nodes that the fingerprint index or some band joins with others."""
     rows = classes.select("node", F.explode("bands").alias("band"))
     met = rows.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("most")).filter("v <> most")
     met = materialize(met.select("band", "v"), "bands-met")
-    return components(rows.join(met, "band").select(F.col("node").alias("u"), "v").filter("u <> v").distinct())
+    banded = rows.join(met, "band").select(F.col("node").alias("u"), "v")
+    return components(print_links(classes).union(banded).filter("u <> v").distinct())
 
 
 def forest(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> list[tuple[int, int]]:
@@ -151,7 +167,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("key"))
     named = docs.select("doc_id", "text", row_key("doc_id", "text").alias("key"))
     found = set_classes(named.select(order.alias("order"), "text"), "order", "text")
-    classes = materialize(found.groupBy("node").agg(F.min("key").alias("first"), F.min("bands").alias("bands")), "set-classes")
+    classes = materialize(found.groupBy("node").agg(F.min("key").alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "set-classes")
     grouped = materialize(candidates(classes), "candidates")
     # A text of each class that has candidates; Spark checks whether these few columns can be broadcast.
     wanted = materialize(classes.join(grouped, "node").select(F.col("first.key").alias("key"), "node", "component"), "candidate-keys")

@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetweave.llm.components import components
-from packetweave.llm.shingles import one_of_each  # noqa: F401
 from packetweave.storage import materialize
 
 # Fixed values of the narrow fingerprint.
@@ -81,11 +80,15 @@ def fingerprint(text: bytes, design: Design = NARROW) -> bytes:
     starts = ends - lengths
     count = len(words) - size + 1
     spans = zip(starts[:count].tolist(), ends[size - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, count)
+    return majority(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, count), design)
+
+
+def majority(hashes: np.ndarray, design: Design = NARROW) -> bytes:
+    """The fingerprint of hashes: the bits that are set in over half of them."""
     made = []
     for word in range(design.words):
         bits = np.unpackbits(_further(hashes, word).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        made.append(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > count).tobytes())
+        made.append(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).tobytes())
     return b"".join(made)
 
 
@@ -189,3 +192,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     # All are written, so that a component or fingerprint with many members can be split in the joins.
     named = materialize(placed.join(smallest, "component").select("fp", "component_id"), "fingerprint-components")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies: ``shingles.one_of_each``, which takes candidates from this index."""
+    from packetweave.llm import shingles
+
+    return shingles.one_of_each(docs)

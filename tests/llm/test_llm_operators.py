@@ -298,6 +298,34 @@ def test_near_copies_just_above_and_below_point_eight(spark, monkeypatch, tile):
     assert {2 * n + 1 for n in range(60)} & {int(k) for k in kept} == {2 * n + 1 for n in range(0, 60, 2)}
 
 
+def test_near_copies_take_candidates_from_the_fingerprint_index(spark):
+    """Without any band: fingerprints at up to 3 bits are candidates, also over several links, those at 4 bits are not."""
+    from packetweave.llm import shingles
+
+    base, far = 0x0123456789ABCDEF, 0xFEDCBA9876543210
+    prints = {"a": base, "b": base ^ 0b111, "c": base ^ 0b111 ^ 7 << 60, "d": base, "e": far, "f": far ^ 0b1111, "g": None}
+    rows = [(n.encode(), None if p is None else bytearray(p.to_bytes(8, "big")), []) for n, p in prints.items()]
+    classes = spark.createDataFrame([(bytearray(n), p, b) for n, p, b in rows], "node binary, fp binary, bands array<bigint>")
+    found = {bytes(r.node).decode(): bytes(r.component).decode() for r in shingles.candidates(classes).collect()}
+    assert found == dict.fromkeys("abcd", "a")
+
+
+def test_fingerprints_of_shingle_sets(spark):
+    from packetweave.llm import shingles
+
+    once = "the river carries Stones that nobody counted before winter came"
+    texts = [(1, once), (2, once + " " + once), (3, "one"), (4, " "), (5, None)]
+    found = shingles.set_classes(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text")
+    got = {r.key: r.fp and int.from_bytes(r.fp, "big") for r in found.collect()}
+
+    def wanted(text):
+        words = folded(text).split()
+        hashes = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5]).encode(), 42) for i in range(max(1, len(words) - 4))}
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    assert got == {1: wanted(once), 2: wanted(once + " " + once), 3: wanted("one"), 4: None, 5: None}
+
+
 def test_near_copies_of_the_given_table_by_brute_force(spark, small):
     rows = [(r.doc_id, r.text) for r in documents(spark, small).select("doc_id", "text").collect()]
     kept = sorted(str(r.doc_id) for r in corpus_pipeline.near_copies(spark, documents(spark, small), small).collect())
