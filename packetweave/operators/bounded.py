@@ -41,6 +41,14 @@ ROUNDS, OVERSAMPLING = 5, 2
 RECOMPUTED, STEPS_APART = 0.25, 4
 # Bounds are compared with this relative slack, so that rounding never hides a tie.
 SLACK = 1e-9
+# Up to so many centres are measured directly; of more, rows whose products are held at a time, and how many
+# roundings per feature may separate these from squared differences.
+FEW, SLICE, ROUNDING = 8, 2048, 8
+
+# MD5 over columns of messages: its constants and rotations, and the powers of ten that tell a number's digits.
+_SINES = np.floor(np.abs(np.sin(np.arange(1, 65, dtype=np.float64))) * 2.0**32).astype(np.uint64).astype(np.uint32)
+_LEFT = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_POWERS = np.array([10**i for i in range(1, 19)], np.int64)
 
 Centres = np.ndarray  # runs x k x d, NaN for absent centres
 
@@ -62,6 +70,40 @@ def squares(z: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(found), np.inf, found)
 
 
+def nearest(z: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Label (lowest on ties) and squared distance, both as by ``squares``.
+
+    One matrix product tells the nearest centre of nearly all rows; those where rounding might decide are measured anew.
+    """
+    if len(centres) <= FEW:
+        found = squares(z, centres)
+        return found.argmin(axis=0), found.min(axis=0)
+    label, least = np.zeros(len(z), np.int64), np.full(len(z), np.inf)
+    there = np.flatnonzero(~np.isnan(centres).any(axis=1))
+    if not len(there):
+        return label, least
+    near = centres[there]
+    length, slack = (near**2).sum(axis=1), ROUNDING * (z.shape[1] + 8) * np.finfo(float).eps
+    for at in range(0, len(z), SLICE):
+        part = z[at : at + SLICE]
+        with np.errstate(invalid="ignore", over="ignore"):
+            found = part @ near.T
+            found *= -2
+            found += length
+            rows, first = np.arange(len(part)), found.argmin(axis=1)
+            limit = found[rows, first] + slack * ((part**2).sum(axis=1) + length.max())
+            found[rows, first] = np.inf
+            open_ = np.flatnonzero(~(found.min(axis=1) > limit))
+            own = there[first]
+            gap = ((part - centres[own]) ** 2).sum(axis=1)
+        if len(open_):
+            exact = squares(part[open_], centres)
+            own[open_] = exact.argmin(axis=0)
+            gap[open_] = exact.min(axis=0)
+        label[at : at + SLICE], least[at : at + SLICE] = own, gap
+    return label, least
+
+
 def nearest_two(z: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Label (lowest on ties), distance, and distance to the second nearest centre."""
     found = squares(z, centres)
@@ -82,7 +124,7 @@ def relabelled(z: np.ndarray, centres: np.ndarray, base: np.ndarray, label: np.n
     label = label.copy()
     rest = np.flatnonzero(~safe)
     if len(rest):
-        label[rest] = nearest_two(z[rest], centres)[0]
+        label[rest] = nearest(z[rest], centres)[0]
     return label, len(rest)
 
 
@@ -136,7 +178,7 @@ def _sums(rows: DataFrame, runs: list[int], centres: Centres, bounds: Bounds | N
             keys, counts, sums, needed = [], [], [], []
             for run in runs if len(z) else ():
                 if held is None:
-                    label, computed = nearest_two(z, centres[run])[0], len(z)
+                    label, computed = nearest(z, centres[run])[0], len(z)
                 else:
                     label, computed = relabelled(z, centres[run], base[run], held[0][:, run], held[1][:, run], held[2][:, run])
                 for i in np.unique(label):
@@ -193,7 +235,7 @@ def potentials(rows: DataFrame, centres: Centres, told: Told) -> dict[int, float
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             z = _matrix(batch.column(0))
-            sums = [float(squares(z, c).min(axis=0).sum()) if len(z) else 0.0 for c in centres]
+            sums = [float(nearest(z, c)[1].sum()) if len(z) else 0.0 for c in centres]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums, pa.float64())], names=["run", "cost"])
 
     told.jobs += 1
@@ -204,20 +246,74 @@ def potentials(rows: DataFrame, centres: Centres, told: Told) -> dict[int, float
 # Start centres.
 
 
-def races(seed: int, run: int, label: str, numbers: list[int]) -> np.ndarray:
+def _blocks(head: bytes, numbers: np.ndarray, digits: int) -> np.ndarray:
+    """Padded messages of ``head`` and numbers of that many digits: 16 words of 32 bits for each."""
+    size = len(head) + digits
+    block = np.zeros((len(numbers), 64), np.uint8)
+    block[:, : len(head)] = np.frombuffer(head, np.uint8)
+    rest = numbers.copy()
+    for at in range(size - 1, len(head) - 1, -1):
+        rest, last = np.divmod(rest, 10)
+        block[:, at] = last + ord("0")
+    block[:, size] = 0x80
+    block[:, 56:58] = (8 * size & 255, 8 * size >> 8)
+    return np.ascontiguousarray(block.view("<u4").T)
+
+
+def _md5_heads(block: np.ndarray) -> np.ndarray:
+    """The first 8 bytes of the MD5 of many messages of one block each, as big-endian numbers."""
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(block.shape[1], x, np.uint32) for x in start)
+    for i in range(64):
+        turn, (factor, offset) = i // 16, ((1, 0), (5, 1), (3, 5), (7, 0))[i // 16]
+        if turn == 0:
+            f = c ^ d
+            f &= b
+            f ^= d
+        elif turn == 1:
+            f = b ^ c
+            f &= d
+            f ^= c
+        elif turn == 2:
+            f = b ^ c ^ d
+        else:
+            f = c ^ (b | ~d)
+        f += a
+        f += block[(factor * i + offset) % 16]
+        f += _SINES[i]
+        left = np.uint32(_LEFT[turn][i % 4])
+        low = f >> np.uint32(32 - left)
+        f <<= left
+        f |= low
+        f += b
+        a, d, c, b = d, c, b, f
+    pair = np.stack([a + start[0], b + start[1]], axis=1).astype("<u4")
+    return pair.view(">u8")[:, 0].astype(np.uint64)
+
+
+def races(seed: int, run: int, label: str, numbers: list[int] | np.ndarray) -> np.ndarray:
     """Exponential numbers of packets: -ln of ``restarts.uniform``."""
-    head = f"{seed}:{run}:{label}:"
-    digests = b"".join([hashlib.md5(f"{head}{n}".encode(), usedforsecurity=False).digest()[:8] for n in numbers])
-    return -np.log(((np.frombuffer(digests, ">u8") >> np.uint64(12)).astype(np.float64) + 1.0) / float(1 << 52))
+    head, numbers = f"{seed}:{run}:{label}:".encode(), np.asarray(numbers, np.int64)
+    heads = np.empty(len(numbers), np.uint64)
+    digits = np.searchsorted(_POWERS, numbers, side="right") + 1
+    digits[(numbers < 0) | (len(head) + digits > 55)] = 0
+    for size in np.unique(digits).tolist():
+        at = np.flatnonzero(digits == size)
+        if size:
+            heads[at] = _md5_heads(_blocks(head, numbers[at], size))
+        else:
+            digests = [hashlib.md5(head + str(n).encode(), usedforsecurity=False).digest()[:8] for n in numbers[at].tolist()]
+            heads[at] = np.frombuffer(b"".join(digests), ">u8")
+    return -np.log(((heads >> np.uint64(12)).astype(np.float64) + 1.0) / float(1 << 52))
 
 
 def _raced(batch: pa.RecordBatch, sets: list[np.ndarray], run: int, seed: int, label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the packets that may be drawn next to the run's centres, the squared distances of all, and the places of the former."""
     z = _matrix(batch.column(1))
-    race = races(seed, run, label, batch.column(0).to_pylist())
+    race = races(seed, run, label, batch.column(0).to_numpy(zero_copy_only=False))
     if not len(sets[run]):
         return race, np.zeros(len(z)), np.arange(len(z))
-    gap = squares(z, sets[run]).min(axis=0)
+    gap = nearest(z, sets[run])[1]
     at = np.flatnonzero(gap > SAME_POINT)
     return race[at] / gap[at], gap, at
 
@@ -282,6 +378,28 @@ def _round(rows: DataFrame, sets: list[np.ndarray], numbers: list[list[int]], se
     return potentials
 
 
+def _weights(rows: DataFrame, sets: list[np.ndarray], told: Told) -> dict[tuple[int, int], int]:
+    """(run, candidate) to the number of packets nearest to it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(len(s), np.int64) for s in sets]
+        for batch in batches:
+            z = _matrix(batch.column(0))
+            for run in range(len(sets)) if len(z) else ():
+                totals[run] += np.bincount(nearest(z, sets[run])[0], minlength=len(sets[run]))
+        found = [(run, i, int(n)) for run, counts in enumerate(totals) for i, n in enumerate(counts) if n]
+        columns = list(zip(*found, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["run", "cluster", "n"])
+
+    counted = rows.select("z").mapInArrow(count, "run int, cluster int, n bigint").groupBy("run", "cluster").agg(F.sum("n").alias("n"))
+    found = {(r["run"], r["cluster"]): r["n"] for r in counted.collect()}
+    told.jobs += 1
+    told.asked += sum(found.values())
+    told.computed += sum(found.values())
+    return found
+
+
 def weighted_draw(candidates: np.ndarray, weights: np.ndarray, numbers: list[int], k: int, seed: int, run: int) -> np.ndarray:
     """``k`` of a few weighted candidates, one by one, by races with weight times squared distance."""
     chosen, gap = np.full((k, candidates.shape[1]), np.nan), np.ones(len(candidates))
@@ -313,9 +431,7 @@ def oversampled(rows: DataFrame, d: int, k: int, runs: int, seed: int, told: Tol
     for step in range(rounds):
         limits = [OVERSAMPLING * k / p if p > 0 else 0.0 for p in potentials]
         potentials = _round(rows, sets, numbers, seed, step, limits, told)
-    most = max(len(s) for s in sets)
-    padded = np.stack([np.vstack([s, np.full((most - len(s), d), np.nan)]) for s in sets])
-    counts = {key: n for key, (n, _) in _sums(rows, list(range(runs)), padded, None, told).items()}
+    counts = _weights(rows, sets, told)
     told.notes["candidates"] = [len(s) for s in sets]
     return np.stack([
         weighted_draw(s, np.array([counts.get((run, i), 0) for i in range(len(s))]), numbers[run], k, seed, run) for run, s in enumerate(sets)])

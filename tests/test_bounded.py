@@ -1,5 +1,7 @@
 """K-means over blocks: bounds, oversampled starts and many centres against plain forms."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -83,3 +85,25 @@ def test_many_centres_score_new_packets_alike(spark, small, tmp_path):
     again = load(spark, str(tmp_path / "m")).scored(model.packets.select(*dict.fromkeys(names)))
     first = {r["packet_number"]: (r["cluster_id"], r["is_anomaly"]) for r in model.scored().collect()}
     assert {r["packet_number"]: (r["cluster_id"], r["is_anomaly"]) for r in again.collect()} == first
+
+
+def test_races_are_md5_of_the_packet_number():
+    numbers = [0, 1, 9, 10, 12345, 10**18 - 1, 10**18, 9 * 10**18, -5, *range(1, 3000, 7)]
+    for seed, run, label in ((42, 3, "r2"), (10**40, 1, "0"), (1, 1, "w" * 60)):
+        heads = [int.from_bytes(hashlib.md5(f"{seed}:{run}:{label}:{n}".encode()).digest()[:8], "big") for n in numbers]
+        wanted = -np.log(((np.array(heads, np.uint64) >> np.uint64(12)).astype(float) + 1.0) / float(1 << 52))
+        assert (bounded.races(seed, run, label, np.array(numbers)) == wanted).all()
+        assert (np.concatenate([bounded._md5_heads(bounded._blocks(b"7:", np.array([n]), len(str(n)))) for n in (0, 98765)])
+                == [int.from_bytes(hashlib.md5(f"7:{n}".encode()).digest()[:8], "big") for n in (0, 98765)]).all()
+
+
+def test_nearest_by_products_equals_squared_differences():
+    rng = np.random.default_rng(5)
+    for k in (1, 8, 9, 51):
+        z, centres = rng.normal(size=(5000, 15)) * 100, rng.normal(size=(k, 15)) * 100
+        z[:k] = centres
+        if k > 3:
+            centres[1], centres[2], centres[3] = centres[0], np.nan, centres[0] + 1e-9
+        z[100], z[101, 0] = np.nan, np.inf
+        found, (label, least) = bounded.squares(z, centres), bounded.nearest(z, centres)
+        assert (label == found.argmin(axis=0)).all() and (least == found.min(axis=0)).all()
