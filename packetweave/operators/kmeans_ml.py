@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -26,17 +25,15 @@ def best_centres(
 ) -> tuple[list[list[float]], float]:
     """Centres (at most ``k``, fewer for few distinct rows) and training cost.
 
-    The vectors are kept for all restarts, spilling to disk where memory ends.
+    The trainer keeps the vectors of a run itself, ready with their norms, and drops them after it.  Of a frame that
+    is cached already it would decode every row again at each step.
     """
-    vectors = z_vectors(scaled, names, []).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        best = None
-        for run in range(restarts):
-            trainer = KMeans(featuresCol="z", k=k, seed=seed + run, maxIter=max_iter, tol=tol)
-            model = trainer.fit(vectors)
-            cost = model.summary.trainingCost
-            if best is None or cost < best[1]:
-                best = ([[float(x) for x in c] for c in model.clusterCenters()], cost)
-        return best
-    finally:
-        vectors.unpersist()
+    vectors = z_vectors(scaled, names, [])
+    best = None
+    for run in range(restarts):
+        trainer = KMeans(featuresCol="z", k=k, seed=seed + run, maxIter=max_iter, tol=tol)
+        model = trainer.fit(vectors)
+        cost = model.summary.trainingCost
+        if best is None or cost < best[1]:
+            best = ([[float(x) for x in c] for c in model.clusterCenters()], cost)
+    return best

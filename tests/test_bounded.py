@@ -107,3 +107,17 @@ def test_nearest_by_products_equals_squared_differences():
         z[100], z[101, 0] = np.nan, np.inf
         found, (label, least) = bounded.squares(z, centres), bounded.nearest(z, centres)
         assert (label == found.argmin(axis=0)).all() and (least == found.min(axis=0)).all()
+
+
+def test_ml_trainer_keeps_its_own_vectors(spark, monkeypatch):
+    """Of a cached frame, Spark's trainer decodes every row at each step."""
+    from pyspark.ml.clustering import KMeans
+
+    from packetweave.operators import kmeans_ml
+
+    cached, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, rows: cached.append(rows.is_cached) or fit(self, rows))
+    rows = spark.createDataFrame([(float(x), float(y)) for x in (0, 100) for y in range(10)], "a double, b double")
+    centres, cost = kmeans_ml.best_centres(rows, ["a", "b"], 2, restarts=2)
+    assert cached == [False, False]
+    assert sorted(centres) == [[0.0, 4.5], [100.0, 4.5]] and abs(cost - 165.0) < 1e-6
