@@ -51,7 +51,7 @@ class Scopes:
         return z, label, np.sqrt(squares[label, np.arange(len(at))])
 
 
-def _doubles(names: tuple[str, ...]) -> list:
+def doubles(names: tuple[str, ...]) -> list:
     return [F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)).alias(f"_x{j}") for j, n in enumerate(names)]
 
 
@@ -73,7 +73,7 @@ def cluster_means(features: DataFrame, names: tuple[str, ...], rows: list, by: t
             keys = [c.take(pa.array(first)) for c in table.columns[: len(by)]]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(label[first], pa.int32()), counts, *totals], names=[*by, "cluster_id", "_n", *sums])
 
-    source = features.select(*by, *_doubles(names))
+    source = features.select(*by, *doubles(names))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*by).schema.fields]
     summed = source.mapInArrow(add, ", ".join([*kinds, "cluster_id int, _n bigint", *(f"{s} double" for s in sums)]))
     total = F.sum("_n")
@@ -100,4 +100,4 @@ def labelled(stored: DataFrame, names: tuple[str, ...], rows: list, by: tuple[st
 
     key_places = [stored.columns.index(c) for c in by]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.schema.fields)
-    return stored.select("*", *_doubles(names)).mapInArrow(label, f"{kinds}, cluster_id int, distance double")
+    return stored.select("*", *doubles(names)).mapInArrow(label, f"{kinds}, cluster_id int, distance double")

@@ -32,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetweave.operators.kmeans import CENTRE_PLACES
-from packetweave.operators.restarts import COST_PLACES, MOST_STEPS, SAME_POINT, TOLERANCE
+from packetweave.operators.kmeans import CENTRE_PLACES, COST_PLACES, MOST_STEPS, SAME_POINT, TOLERANCE
 from packetweave.storage import materialize
 
 ROUNDS, OVERSAMPLING = 5, 2

@@ -16,6 +16,9 @@ from packetweave.operators.scaling import Terms, with_z, z_names
 from packetweave.storage import in_driver, is_small, materialize
 
 CENTRE_PLACES = 9
+# Of the trainers that run to convergence; packets within this squared distance of a centre are the same point.
+TOLERANCE, MOST_STEPS = 1e-4, 300
+SAME_POINT, COST_PLACES = 1e-12, 6
 
 
 TRAINED = "means array<double>, scales array<double>, centres array<array<double>>"

@@ -5,7 +5,7 @@ an exponential key, -ln(u) / d^2, u hashed from seed, run, step and packet numbe
 the smallest key wins, so a draw is one partial minimum.  All runs of all scopes
 share each scan; those that moved by no more than ``TOLERANCE`` in all drop out of the
 next ones.  The cheapest run of a scope stays, the earlier one where costs agree to
-``COST_PLACES``.
+``COST_PLACES``.  Few scopes (checked) go over stored blocks of packets (``scoped``), many through tables.
 
 Scopes with fewer distinct packets than centres get null for the centres that
 cannot be drawn.
@@ -13,20 +13,15 @@ cannot be drawn.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetweave.operators import blocks
-from packetweave.operators.kmeans import CENTRE_PLACES, nearest
+from packetweave.operators import blocks, scoped
+from packetweave.operators.kmeans import CENTRE_PLACES, COST_PLACES, MOST_STEPS, SAME_POINT, TOLERANCE, nearest
 from packetweave.operators.scaling import Terms, with_z, z_names
 from packetweave.storage import attach, in_driver, is_small, materialize
 
 RUN = "_run"
-TOLERANCE, MOST_STEPS = 1e-4, 300
-# Packets within this squared distance of a centre are the same point.
-SAME_POINT, COST_PLACES = 1e-12, 6
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -54,33 +49,27 @@ def _measured(stored: DataFrame, names: tuple[str, ...], rows: DataFrame, by: tu
     return nearest(scaled, terms, [*kept, *z_names(len(names))]) if centres else scaled
 
 
-def _frozen(rows: DataFrame, small: bool, label: str) -> DataFrame:
-    """Few rows (checked) stay with the driver, those of many scopes in a table."""
-    return in_driver(rows) if small else materialize(rows, label)
-
-
 def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys, "left")
 
 
-def drawn_starts(stored: DataFrame, names: tuple[str, ...], rows: DataFrame, by: tuple[str, ...], k: int, seed: int, small: bool) -> DataFrame:
+def drawn_starts(stored: DataFrame, names: tuple[str, ...], rows: DataFrame, by: tuple[str, ...], k: int, seed: int) -> DataFrame:
     """``rows`` (keys, run, means, scales, centres) with ``k`` drawn centres."""
     keys, numbers = [*by, RUN], range(len(names))
     scaled = ", ".join(f"round((cast(`{n}` as double) - means[{j}]) / scales[{j}], {CENTRE_PLACES})" for j, n in zip(numbers, names, strict=True))
     for step in range(k):
         race = -F.log(uniform(seed, F.col(RUN), F.lit(step), F.col("packet_number")))
-        found = _measured(stored, names, rows, by, step, small)
+        found = _measured(stored, names, rows, by, step, False)
         if step:
             squared = F.col("distance") * F.col("distance")
             race = F.when(squared > SAME_POINT, race / squared)
         # Numbers only, so that the minimum is a hash aggregate; the drawn packets are fetched after it.
         drawn = found.select(*keys, "packet_number", race.alias("_key")).groupBy(*keys).agg(F.min_by("packet_number", "_key").alias("packet_number"))
-        drawn = _frozen(drawn.filter("packet_number is not null"), small, "drawn")
-        drawn = F.broadcast(drawn) if small else drawn
+        drawn = materialize(drawn.filter("packet_number is not null"), "drawn")
         picked = stored.select(*by, "packet_number", *names).join(drawn, [*by, "packet_number"])
         picked = _same(picked, rows, keys).select(*keys, F.expr(f"array({scaled})").alias("_picked"))
-        rows = _frozen(_same(rows, picked, keys).select(
-            *keys, "means", "scales", F.concat("centres", F.array("_picked")).alias("centres")), small, "starts")
+        rows = materialize(_same(rows, picked, keys).select(
+            *keys, "means", "scales", F.concat("centres", F.array("_picked")).alias("centres")), "starts")
     return rows
 
 
@@ -91,43 +80,14 @@ def _shift(found: str) -> str:
     return f"aggregate({each}, 0D, (s, x) -> s + x)"
 
 
-def converged(stored: DataFrame, names: tuple[str, ...], rows: DataFrame, by: tuple[str, ...], k: int, small: bool, steps: int = MOST_STEPS) -> DataFrame:
-    """Steps of all runs together; a centre without packets stays where it is."""
+def converged(stored: DataFrame, names: tuple[str, ...], rows: DataFrame, by: tuple[str, ...], k: int, steps: int = MOST_STEPS) -> DataFrame:
+    """Steps of all runs together, a table per step; a centre without packets stays where it is."""
     keys, z = [*by, RUN], z_names(len(names))
-
-    def means(moving: DataFrame) -> DataFrame:
-        if small:
-            return blocks.cluster_means(_per_run(stored, names, moving, by), names, moving.collect(), tuple(keys), k, CENTRE_PLACES)
-        near = _measured(stored, names, moving, by, k, small)
-        return near.groupBy(*keys, "cluster_id").agg(F.array(*[F.round(F.avg(c), CENTRE_PLACES) for c in z]).alias("centre"))
-
-    return (_stepped_in_driver if small else _stepped_in_tables)(rows, keys, means, steps)
-
-
-def _stepped_in_driver(rows: DataFrame, keys: list[str], means: Callable[[DataFrame], DataFrame], steps: int) -> DataFrame:
-    """For few scopes (checked): one job per step, whose k rows per run come back."""
-    spark, schema = rows.sparkSession, rows.schema
-    state = {tuple(r[c] for c in keys): r.asDict() for r in rows.collect()}
-    moving = set(state)
-    for _ in range(steps):
-        shift = dict.fromkeys(moving, 0.0)
-        for found in means(spark.createDataFrame([state[key] for key in moving], schema)).collect():
-            key, i = tuple(found[c] for c in keys), found["cluster_id"]
-            old, new = state[key]["centres"][i], list(found["centre"])
-            shift[key] += sum((a - b) ** 2 for a, b in zip(old, new, strict=True))
-            state[key]["centres"][i] = new
-        moving = {key for key, moved in shift.items() if moved > TOLERANCE}
-        if not moving:
-            break
-    return spark.createDataFrame(list(state.values()), schema)
-
-
-def _stepped_in_tables(rows: DataFrame, keys: list[str], means: Callable[[DataFrame], DataFrame], steps: int) -> DataFrame:
-    """For many scopes: the same with a table per step."""
     rows = rows.withColumn("_moving", F.lit(True))
     for _ in range(steps):
-        found = means(rows.filter("_moving").drop("_moving")).groupBy(*keys).agg(
-            F.map_from_entries(F.collect_list(F.struct("cluster_id", "centre"))).alias("_found"))
+        near = _measured(stored, names, rows.filter("_moving").drop("_moving"), by, k, False)
+        means = near.groupBy(*keys, "cluster_id").agg(F.array(*[F.round(F.avg(c), CENTRE_PLACES) for c in z]).alias("centre"))
+        found = means.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cluster_id", "centre"))).alias("_found"))
         after = _same(rows, found, keys).withColumn(
             "_next", F.expr("transform(centres, (c, i) -> coalesce(try_element_at(_found, i), c))"))
         rows = materialize(after.select(
@@ -138,10 +98,10 @@ def _stepped_in_tables(rows: DataFrame, keys: list[str], means: Callable[[DataFr
     return rows.drop("_moving")
 
 
-def cheapest(stored: DataFrame, names: tuple[str, ...], rows: DataFrame, by: tuple[str, ...], k: int, small: bool) -> DataFrame:
+def cheapest(stored: DataFrame, names: tuple[str, ...], rows: DataFrame, by: tuple[str, ...], k: int) -> DataFrame:
     """The run of each scope with the smallest summed squared distance."""
     keys = [*by, RUN]
-    near = _measured(stored, names, rows, by, k, small)
+    near = _measured(stored, names, rows, by, k, False)
     costs = near.groupBy(*keys).agg(F.round(F.sum(F.col("distance") * F.col("distance")), COST_PLACES).alias("_cost"))
     best = rows.join(costs, keys).groupBy(*by).agg(F.min_by(F.struct("means", "scales", "centres"), F.struct("_cost", RUN)).alias("_best"))
     return best.select(*by, "_best.*")
@@ -155,8 +115,10 @@ def restarted(
     none = F.array().cast("array<array<double>>")
     rows = scale.select(*by, F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias(RUN), "means", "scales", none.alias("centres"))
     rows = materialize(rows, "runs") if by else in_driver(rows)
-    small = not by or is_small(rows, limit)
-    rows = drawn_starts(stored, names, rows, by, k, seed, small)
-    rows = converged(stored, names, rows, by, k, small, steps)
-    best = cheapest(stored, names, rows, by, k, small)
-    return materialize(best, "trained") if by else in_driver(best)
+    if not by or is_small(rows, limit):
+        trained = rows.filter(F.col(RUN) == 0).drop(RUN)
+        best = scoped.trained(stored, names, trained.collect(), by, k, restarts, seed, steps)
+        return trained.sparkSession.createDataFrame(best, trained.schema)
+    rows = drawn_starts(stored, names, rows, by, k, seed)
+    rows = converged(stored, names, rows, by, k, steps)
+    return materialize(cheapest(stored, names, rows, by, k), "trained")
